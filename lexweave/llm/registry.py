@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexweave.llm import oracles, warc
+from lexweave.llm import mixing, oracles, warc
 from lexweave.llm.common import table
 
 
@@ -15,7 +15,13 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(spark, table(spark, sf_dir, "pages")).drop("intact")
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words that the mix takes of every document."""
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("shards")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op7_mixing": op7_mixing,
     "op10_warc": op10_warc,
 }
 ORACLES: dict[str, str] = oracles.ORACLES
