@@ -6,13 +6,28 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexweave.llm import mixing, oracles, warc
+from lexweave.llm import licenses, lines, mixing, oracles, packing, simhash, toxicity, warc
 from lexweave.llm.common import table
 
 
-def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A record for every page, written to archives and read back."""
-    return warc.archive_round_trip(spark, table(spark, sf_dir, "pages")).drop("intact")
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of every piece of every document in sequences of 1024 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate group of every document."""
+    return simhash.near_groups(table(spark, sf_dir, "documents"))
+
+
+def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text without the lines whose templates recur."""
+    return lines.drop_recurring(table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every document."""
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,8 +35,23 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("shards")
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licence phrases and labels of every document."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A record for every page, written to archives and read back."""
+    return warc.archive_round_trip(spark, table(spark, sf_dir, "pages")).drop("intact")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_packing": op1_packing,
+    "op3_simhash": op3_simhash,
+    "op4_lines": op4_lines,
+    "op6_toxicity": op6_toxicity,
     "op7_mixing": op7_mixing,
+    "op8_licenses": op8_licenses,
     "op10_warc": op10_warc,
 }
 ORACLES: dict[str, str] = oracles.ORACLES
