@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexweave.llm import licenses, lines, mixing, oracles, packing, simhash, toxicity, warc
+from lexweave.llm import forest, licenses, lines, media, mixing, oracles, packing, quality, simhash, toxicity, warc
 from lexweave.llm.common import table
 
 
@@ -15,6 +15,11 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document stored as JPEG, read back."""
+    return media.features(media.store(table(spark, sf_dir, "documents")))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate group of every document."""
     return simhash.near_groups(table(spark, sf_dir, "documents"))
@@ -25,6 +30,11 @@ def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.drop_recurring(table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
 
 
+def op5_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest vectors of every twentieth."""
+    return forest.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The toxicity of every document."""
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -40,6 +50,11 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The perplexity of every document, and whether it is kept."""
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A record for every page, written to archives and read back."""
     return warc.archive_round_trip(spark, table(spark, sf_dir, "pages")).drop("intact")
@@ -47,11 +62,14 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_media": op2_media,
     "op3_simhash": op3_simhash,
     "op4_lines": op4_lines,
+    "op5_forest": op5_forest,
     "op6_toxicity": op6_toxicity,
     "op7_mixing": op7_mixing,
     "op8_licenses": op8_licenses,
+    "op9_quality": op9_quality,
     "op10_warc": op10_warc,
 }
 ORACLES: dict[str, str] = oracles.ORACLES
