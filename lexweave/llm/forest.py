@@ -4,10 +4,10 @@ Trees are fitted on a bounded sample (SAMPLE distinct vectors with the smallest
 at the sample's median, until a leaf stands for about LEAF rows of the whole table.  Every row is then indexed: each
 distinct vector goes to one leaf per tree.  To turn inner products into angles, vectors get one more
 component that fills their norm up to the largest.  A query searches all trees through one priority queue, which holds
-the subtrees by their margin, until VISITS leaves are open; leaf candidates are ranked by exact double-precision products.
+the subtrees by their margin, until as many leaves as SHARE of a tree's are open; leaf candidates are ranked by exact double-precision products.
 
 Equal vectors are one entry that keeps its smallest TOP + 1 ids: more can never be in a result, as ties go to the
-smaller id.  Leaves are dealt in chunks of at most about CHUNK entries, each compared with the leaf's queries in blocks.
+smaller id.  The query set meets the indexed rows in blocks of bounded size, each giving a query's best candidates.
 
 Defined results: vectors that are null, zero, of another length than most, or hold null or non-finite components take
 no part; rows that repeat an id and vector are one; an empty table gives no rows.
@@ -30,10 +30,12 @@ from lexweave.llm.common import materialize
 
 TOP = 20
 SAMPLE = 20_000
-TREES = 12
+TREES = 8
 LEAF = 128
-VISITS = 160
-CHUNK = 4096
+#: Leaves that a query opens, as a share of a tree's leaves: isotropic vectors need this many for a recall of 0.9.
+SHARE = 0.75
+ROW_BLOCK = 8192
+QUERY_BLOCK = 1024
 
 
 @dataclass(frozen=True)
@@ -100,7 +102,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1).astype(np.float64)
 
 
-def nearest(embeddings: DataFrame, every: int = 20, top: int = TOP, visits: int = VISITS) -> DataFrame:
+def nearest(embeddings: DataFrame, every: int = 20, top: int = TOP, share: float = SHARE) -> DataFrame:
     """query_id, rank, vec_id, score; queries are the rows whose vec_id is divisible by ``every``."""
     spark = embeddings.sparkSession
     v = F.col("embedding").cast("array<double>")
@@ -122,43 +124,50 @@ def nearest(embeddings: DataFrame, every: int = 20, top: int = TOP, visits: int
     sample = entries.orderBy(F.xxhash64("entry"), "entry").limit(SAMPLE).select("v").toArrow()["v"].combine_chunks()
     forest = fit(_matrix(sample), facts["n"], float(facts["largest"]))
 
+    nodes = 2 << forest.depth  # leaves are numbered tree * nodes + node
+    visits = math.ceil(share * (1 << forest.depth))
+
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                found = forest.leaves(_matrix(b.column("v"))) + (np.arange(len(forest.cuts), dtype=np.int64) << 32)
-                yield pa.RecordBatch.from_arrays([b.column("v"), b.column("entry"), pa.array(found.tolist(), pa.list_(pa.int64()))], names=["v", "entry", "leaves"])
+                found = forest.leaves(_matrix(b.column("v"))) + np.arange(len(forest.cuts), dtype=np.int64) * nodes
+                yield pa.RecordBatch.from_arrays([b.column("v"), b.column("entry"), pa.array(found.tolist(), pa.list_(pa.int32()))], names=["v", "entry", "leaves"])
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                found = [[(t << 32) + leaf for t, leaf in x] for x in forest.search(_matrix(b.column("v")), visits)]
-                yield pa.RecordBatch.from_arrays([b.column("v"), b.column("query_id"), pa.array(found, pa.list_(pa.int64()))], names=["v", "query_id", "leaves"])
-
-    table = entries.select("v", "entry").mapInArrow(index, "v array<double>, entry long, leaves array<long>")
-    table = materialize(table.select("v", "entry", F.explode("leaves").alias("leaf")), "leaves")
-    chunks = table.groupBy("leaf").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
-    table = table.join(chunks, "leaf").select("leaf", F.pmod(F.xxhash64("entry"), F.col("chunks")).cast("int").alias("chunk"), "v", "entry")
-    queries = rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"]).select("v", F.col("vec_id").alias("query_id"))
-    probes = queries.mapInArrow(probe, "v array<double>, query_id long, leaves array<long>").select("v", "query_id", F.explode("leaves").alias("leaf"))
-    probes = probes.join(chunks, "leaf").select("leaf", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "v", "query_id")
+                found = [[t * nodes + leaf for t, leaf in x] for x in forest.search(_matrix(b.column("v")), visits)]
+                yield pa.RecordBatch.from_arrays([b.column("v"), b.column("query_id"), pa.array(found, pa.list_(pa.int32()))], names=["v", "query_id", "leaves"])
+
+    # The query set meets the indexed rows in blocks; of a block, a query ranks the rows in leaves that it opened.
+    queries = materialize(rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"]).select("v", F.col("vec_id").alias("query_id")), "queries")
+    row_blocks, query_blocks = math.ceil(facts["n"] / ROW_BLOCK), max(1, math.ceil(queries.count() / QUERY_BLOCK))
+    dealt = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    every_block = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    table = entries.select("v", "entry").mapInArrow(index, "v array<double>, entry long, leaves array<int>")
+    table = table.select("v", "entry", "leaves", dealt("entry", row_blocks).alias("rb"), every_block(query_blocks).alias("qb"))
+    probes = queries.mapInArrow(probe, "v array<double>, query_id long, leaves array<int>")
+    probes = probes.select("v", "query_id", "leaves", dealt("query_id", query_blocks).alias("qb"), every_block(row_blocks).alias("rb"))
 
     def rank(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(c):
-            return pd.DataFrame({"query_id": [], "entry": [], "score": []})
-        x, ids, out = np.stack(c["v"].to_numpy()), c["entry"].to_numpy(), []
-        for low in range(0, len(q), 256):
-            part = q.iloc[low : low + 256]
-            scores = np.stack(part["v"].to_numpy()) @ x.T
-            for query, s in zip(part["query_id"].to_numpy(), scores):
+        out = [pd.DataFrame({"query_id": np.zeros(0, dtype=np.int64), "entry": np.zeros(0, dtype=np.int64), "score": np.zeros(0)})]
+        if len(q) and len(c):
+            x, ids, leaves = np.stack(c["v"].to_numpy()), c["entry"].to_numpy(), np.stack(c["leaves"].to_numpy())
+            for query, v, opened in zip(q["query_id"].to_numpy(), q["v"].to_numpy(), q["leaves"].to_numpy()):
+                is_open = np.zeros(leaves.max() + nodes, dtype=bool)
+                is_open[opened[opened < len(is_open)]] = True
+                near = np.flatnonzero(is_open[leaves].any(axis=1))
+                s = x[near] @ v
                 # One more than asked for, as the query's own entry is among them; ties are kept whole.
-                at = np.flatnonzero(s >= np.partition(s, -(top + 1))[-(top + 1)] - 1e-9) if len(s) > top + 1 else np.arange(len(s))
-                out.append(pd.DataFrame({"query_id": query, "entry": ids[at], "score": s[at]}))
+                if len(s) > top + 1:
+                    at = np.flatnonzero(s >= np.partition(s, -(top + 1))[-(top + 1)] - 1e-9)
+                    near, s = near[at], s[at]
+                out.append(pd.DataFrame({"query_id": query, "entry": ids[near], "score": s}))
         return pd.concat(out)
 
-    pairs = probes.groupBy("leaf", "chunk").cogroup(table.groupBy("leaf", "chunk")).applyInPandas(rank, "query_id long, entry long, score double")
-    best = pairs.groupBy("query_id", "entry").agg(F.first("score").alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "entry")
-    best = best.withColumn("r", F.rank().over(order)).where(F.col("r") <= 2 * top + 2)
+    pairs = probes.groupBy("qb", "rb").cogroup(table.groupBy("qb", "rb")).applyInPandas(rank, "query_id long, entry long, score double")
+    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "entry")
+    best = pairs.withColumn("r", F.row_number().over(order)).where(F.col("r") <= 2 * top + 2)
     named = best.join(entries.select("entry", "ids", "v"), "entry").join(queries.withColumnRenamed("v", "qv"), "query_id")
     exact = F.aggregate(F.zip_with("qv", "v", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
     named = named.select("query_id", exact.alias("score"), F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
