@@ -4,7 +4,149 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from lexweave.functions import text as T
+from lexweave.operators.chunking import chunk, reassemble
+from lexweave.operators.compare import flagged, sentence_pairs
+from lexweave.sources.tables import html_text, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+# Dollars per million tokens in and out.
+PRICES = [("openai:gpt-4o", 2.5, 10.0), ("openai:gpt-4o-mini", 0.15, 0.6), ("google:gemini-2.5-pro", 1.25, 10.0), ("google:gemini-2.5-flash", 0.3, 2.5)]
+
+
+def query(oracle: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def _docs(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents")
+
+
+_HITS = " + ".join(rf"CAST(regexp_matches(text, '{p}') AS INTEGER)" for p in T.LEGAL_PATTERNS)
+_STRIP = r"regexp_replace(text, '^\s+|\s+$', '', 'g')"
+_TOKENS = rf"CAST(ceil(length({_STRIP}) / 4.0) AS BIGINT)"
+_SENTENCES = rf"list_filter(string_split(regexp_replace({_STRIP}, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '')"
+
+
+@query(f"""SELECT lang, count(*) AS n_docs, CAST(sum(hits) AS BIGINT) AS legal_hits, CAST(sum(CAST(hits > 0 AS INTEGER)) AS BIGINT) AS legal_docs, CAST(sum(tokens) AS BIGINT) AS tokens
+FROM (SELECT lang, {_HITS} AS hits, {_TOKENS} AS tokens FROM documents) GROUP BY lang""")
+def triage_by_lang(spark: SparkSession, sf: str) -> DataFrame:
+    hits = T.legal_hits(F.col("text"))
+    rows = _docs(spark, sf).select("lang", hits.alias("hits"), T.token_estimate(F.col("text")).alias("tokens"))
+    return rows.groupBy("lang").agg(F.count("*").alias("n_docs"), F.sum("hits").alias("legal_hits"), F.sum((F.col("hits") > 0).cast("int")).alias("legal_docs"), F.sum("tokens").alias("tokens"))
+
+
+@query(f"SELECT doc_id, sha256({_STRIP}) AS source_hash FROM documents")
+def normalize_hash(spark: SparkSession, sf: str) -> DataFrame:
+    return _docs(spark, sf).select("doc_id", T.source_hash(F.col("text")).alias("source_hash"))
+
+
+@query(f"SELECT sha256({_STRIP}) AS source_hash, count(*) AS n_docs, min(doc_id) AS first_doc FROM documents GROUP BY 1 HAVING count(*) > 1")
+def duplicate_sources(spark: SparkSession, sf: str) -> DataFrame:
+    return normalize_hash(spark, sf).groupBy("source_hash").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc")).where("n_docs > 1")
+
+
+@query(f"SELECT doc_id, hits, CASE WHEN hits >= 3 THEN 'legal' WHEN hits = 0 THEN 'other' ELSE 'ambiguous' END AS legal_class FROM (SELECT doc_id, {_HITS} AS hits FROM documents)")
+def legal_class(spark: SparkSession, sf: str) -> DataFrame:
+    return _docs(spark, sf).select("doc_id", T.legal_hits(F.col("text")).alias("hits")).withColumn("legal_class", T.legal_class(F.col("hits")))
+
+
+@query(f"SELECT doc_id, CAST(unnest(range(len(s))) AS INTEGER) AS sentence_index, unnest(s) AS sentence FROM (SELECT doc_id, {_SENTENCES} AS s FROM documents)")
+def sentence_explode(spark: SparkSession, sf: str) -> DataFrame:
+    return _docs(spark, sf).select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("sentence_index", "sentence"))
+
+
+@query(f"SELECT lang, CAST(sum(len({_SENTENCES})) AS BIGINT) AS n_sentences, CAST(max(len({_SENTENCES})) AS BIGINT) AS most FROM documents GROUP BY lang")
+def sentence_counts(spark: SparkSession, sf: str) -> DataFrame:
+    n = F.size(T.sentences(F.col("text"))).cast("long")
+    return _docs(spark, sf).select("lang", n.alias("n")).groupBy("lang").agg(F.sum("n").alias("n_sentences"), F.max("n").alias("most"))
+
+
+@query(r"""WITH s AS (SELECT doc_id, CAST(i AS INTEGER) AS sentence_index, s[i + 1] AS sentence FROM (SELECT doc_id, """ + _SENTENCES + r""" AS s FROM documents), unnest(range(len(s))) AS u(i))
+SELECT doc_id, sentence_index, sentence, lag(sentence) OVER w AS before, lead(sentence) OVER w AS after FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY sentence_index)""")
+def neighbour_context(spark: SparkSession, sf: str) -> DataFrame:
+    w = Window.partitionBy("doc_id").orderBy("sentence_index")
+    rows = sentence_explode(spark, sf)
+    return rows.select("doc_id", "sentence_index", "sentence", F.lag("sentence").over(w).alias("before"), F.lead("sentence").over(w).alias("after"))
+
+
+@query(r"""SELECT doc_id, regexp_replace(regexp_replace(text, '(?i)(api[_-]?key|secret|token|password)\s*[:=]\s*\S+', '<redacted>', 'g'), '(?i)Bearer \S+', '<redacted>', 'g') AS text FROM documents""")
+def redact_secrets(spark: SparkSession, sf: str) -> DataFrame:
+    return _docs(spark, sf).select("doc_id", T.redact_secrets(F.col("text")).alias("text"))
+
+
+@query(r"""SELECT page_id, CASE WHEN length(m) > 500 THEN substr(m, 1, 500) || '...' ELSE m END AS detail FROM (
+SELECT page_id, regexp_replace(url, '(?:/[A-Za-z0-9_.@+-]+){2,}|(?:[A-Za-z]:\\)[^\s]+', '<path>', 'g') AS m FROM pages)""")
+def mask_paths(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "pages").select("page_id", T.mask_paths(F.col("url")).alias("detail"))
+
+
+@query(f"""SELECT p.selector, CAST(sum(t) AS BIGINT) AS tokens, round(sum(t) * (p.rate_in + p.rate_out) / 1000000, 6) AS cost
+FROM (SELECT {_TOKENS} AS t FROM documents), (VALUES {', '.join(f"('{s}', {i}::DOUBLE, {o}::DOUBLE)" for s, i, o in PRICES)}) AS p(selector, rate_in, rate_out) GROUP BY p.selector, p.rate_in, p.rate_out""")
+def token_cost(spark: SparkSession, sf: str) -> DataFrame:
+    prices = F.array(*[F.struct(F.lit(s).alias("selector"), F.lit(i + o).alias("rate")) for s, i, o in PRICES])
+    total = _docs(spark, sf).agg(F.sum(T.token_estimate(F.col("text"))).alias("tokens"))
+    return total.select(F.explode(prices).alias("p"), "tokens").select("p.selector", "tokens", F.round(F.col("tokens") * F.col("p.rate") / 1000000, 6).alias("cost"))
+
+
+@query("""SELECT doc_id, '[' || lang || '] ' || text AS translation, length(text) AS n_chars_in FROM documents""")
+def mock_translate_quick(spark: SparkSession, sf: str) -> DataFrame:
+    return _docs(spark, sf).select("doc_id", F.concat(F.lit("["), "lang", F.lit("] "), "text").alias("translation"), F.length("text").cast("long").alias("n_chars_in"))
+
+
+@query(r"""SELECT doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') = '' AS empty_text, length(text) < 40 AS short_text, contains(text, chr(65533)) AS encoding_loss, octet_length(encode(text)) > 20000000 AS too_large FROM documents""")
+def extraction_alerts(spark: SparkSession, sf: str) -> DataFrame:
+    t = F.col("text")
+    return _docs(spark, sf).select("doc_id", (T.stripped(t) == "").alias("empty_text"), (F.length(t) < 40).alias("short_text"), F.contains(t, F.lit("�")).alias("encoding_loss"), (F.octet_length(t) > 20_000_000).alias("too_large"))
+
+
+@query("SELECT doc_id, '# ' || source || chr(10) || chr(10) || '---' || chr(10) || chr(10) || text AS markdown FROM documents")
+def export_compose(spark: SparkSession, sf: str) -> DataFrame:
+    return _docs(spark, sf).select("doc_id", T.cover_and_body(F.concat(F.lit("# "), "source"), F.col("text"), F.lit("md")).alias("markdown"))
+
+
+@query(r"""WITH a AS (SELECT page_id, regexp_replace(html, '(?is)<(script|style|nav|footer)\b[^>]*>.*?</(script|style|nav|footer)>', '', 'g') AS h FROM pages),
+b AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(h, '(?i)<h1[^>]*>', chr(10) || chr(10) || '# ', 'g'), '(?i)<li[^>]*>', chr(10) || '- ', 'g'), '(?i)<br\s*/?>', chr(10), 'g') AS h FROM a),
+c AS (SELECT page_id, regexp_replace(regexp_replace(h, '(?i)</?(p|div|ul|h1)\b[^>]*>', chr(10) || chr(10), 'g'), '(?s)<[^>]*>', '', 'g') AS h FROM b)
+SELECT page_id, regexp_replace(regexp_replace(h, '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS markdown FROM c""")
+def html_to_md(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "pages").select("page_id", html_text(F.col("html")).alias("markdown"))
+
+
+def _conversations(spark: SparkSession, sf: str) -> DataFrame:
+    turn = F.concat(F.lit("# "), "role", F.lit("\n\n"), "text")
+    turns = F.array_sort(F.collect_list(F.struct("turn", turn.alias("text"))))
+    return table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(turns, lambda t: t["text"]), "\n\n").alias("text"))
+
+
+@query()
+def chunk_conversations(spark: SparkSession, sf: str) -> DataFrame:
+    return chunk(_conversations(spark, sf), "conv_id", "text")
+
+
+@query()
+def reassembled_conversations(spark: SparkSession, sf: str) -> DataFrame:
+    return reassemble(chunk_conversations(spark, sf), "conv_id")
+
+
+@query()
+def chunk_pages(spark: SparkSession, sf: str) -> DataFrame:
+    return chunk(html_to_md(spark, sf), "page_id", "markdown")
+
+
+@query()
+def compare_passes(spark: SparkSession, sf: str) -> DataFrame:
+    """The first pass against one that a fixed rewriting makes."""
+    rows = _docs(spark, sf).select("doc_id", F.col("text").alias("one"), F.regexp_replace("text", r"\b(the|der|la|el)\b", "a").alias("two"))
+    return flagged(sentence_pairs(rows, ["doc_id"], "one", "two"))
