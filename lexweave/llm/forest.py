@@ -125,7 +125,7 @@ def nearest(embeddings: DataFrame, every: int = 20, top: int = TOP, share: float
     forest = fit(_matrix(sample), facts["n"], float(facts["largest"]))
 
     nodes = 2 << forest.depth  # leaves are numbered tree * nodes + node
-    visits = math.ceil(share * (1 << forest.depth))
+    visits = max(2 * len(forest.cuts), math.ceil(share * (1 << forest.depth)))  # small tables: more than a leaf of each tree
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
