@@ -175,3 +175,16 @@ def test_warc(spark):
     rows = [(1, "http://a/", "x" * 1200), (2, "http://b/", "x" * 1200), (3, None, None), (4, "http://c/", "y")]
     got = {r["page_id"]: r for r in warc.archive_round_trip(spark, spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got[1]["record_type"] == "revisit" and got[1]["refers_to"] == 2 and got[3]["payload_bytes"] == 0
+
+
+def test_token_ids_are_those_of_tokenizers():
+    from tokenizers import Tokenizer
+
+    path = packing.default_tokenizer()
+    plain, coder = Tokenizer.from_file(path), packing.Coder(path)
+    rng = np.random.default_rng(5)
+    odd = ["", " ", "\n\n  x\t y", "it's we'll I'M 12,345 ½ ٣٤", "<|endoftext|> in <|endoftext|>x", "a" * 5000, " " * 5000 + "b", "漢字かな交じり\u00a0文\u2028e\u0301", "\x00\x85\u3000 x", "🙂👍🏽 é"]
+    odd += ["".join(chr(c) for c in rng.choice([32, 10, 39, 97, 115, 65, 49, 46, 0xE9, 0x4E2D, 0x1F642, 0xA0, 0x301], 400)) for _ in range(50)]
+    assert coder.fast is not None
+    for text in odd:
+        assert coder.ids(text) == plain.encode(text, add_special_tokens=False).ids
