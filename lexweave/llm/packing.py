@@ -16,6 +16,7 @@ import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -75,9 +76,8 @@ class Coder:
         import json
 
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.path, self.tokenizer = path, None
         with open(path, encoding="utf-8") as f:
             kept = json.load(f)
         vocabulary, merges = kept["model"]["vocab"], kept["model"]["merges"]
@@ -94,10 +94,20 @@ class Coder:
     def ids(self, text: str) -> list[int]:
         slow = self.fast is None or any(a in text for a in self.added)
         if slow or max(map(len, text.split()), default=0) > self.RUN or _SPACES.search(text):
+            if self.tokenizer is None:
+                from tokenizers import Tokenizer
+
+                self.tokenizer = Tokenizer.from_file(self.path)
             return self.tokenizer.encode(text, add_special_tokens=False).ids
         return self.fast.encode_ordinary(text)
 
 
+@lru_cache(maxsize=1)
+def _coder(path: str) -> Coder:
+    """One per Python worker, however many tasks it runs."""
+    return Coder(path)
+
+
 def pieces(documents: DataFrame, tokenizer: str | None = None, size: int = LENGTH) -> DataFrame:
     path = tokenizer or default_tokenizer()
 
@@ -105,7 +115,7 @@ def pieces(documents: DataFrame, tokenizer: str | None = None, size: int = LENGT
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        coder = Coder(path)
+        coder = _coder(path)
         schema = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")])
         for b in batches:
             rows = []
