@@ -39,7 +39,7 @@ def sentence_pairs(rows: DataFrame, keys: list[str], one: str, two: str) -> Data
     pairs = F.zip_with(a, b, lambda x, y: F.struct(x.alias("translation_1"), y.alias("translation_2")))
     out = rows.select(*keys, F.posexplode(pairs).alias("sentence_index", "p"))
     blank = lambda c: F.coalesce(F.col(f"p.{c}"), F.lit("")).alias(c)
-    return out.select(*keys, "sentence_index", blank("translation_1"), blank("translation_2"))
+    return out.select(*keys, "sentence_index", blank("translation_1"), blank("translation_2"))  # sentences are never empty, so no pair is
 
 
 def flagged(pairs: DataFrame, threshold: float = SIMILARITY_THRESHOLD, glossary: Column | None = None) -> DataFrame:

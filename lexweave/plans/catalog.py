@@ -7,9 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lexweave.functions import formats as R
 from lexweave.functions import text as T
-from lexweave.operators.chunking import chunk, reassemble
+from lexweave.operators import jobs as J
+from lexweave.operators.chunking import chunk, document_summary, language_sample, reassemble
 from lexweave.operators.compare import flagged, sentence_pairs
+from lexweave.operators.completion import mock
+from lexweave.operators.reconcile import discrepancies, resolved_chunks
 from lexweave.sources.tables import html_text, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -150,3 +154,99 @@ def compare_passes(spark: SparkSession, sf: str) -> DataFrame:
     """The first pass against one that a fixed rewriting makes."""
     rows = _docs(spark, sf).select("doc_id", F.col("text").alias("one"), F.regexp_replace("text", r"\b(the|der|la|el)\b", "a").alias("two"))
     return flagged(sentence_pairs(rows, ["doc_id"], "one", "two"))
+
+
+@query("SELECT lang, any_value(CASE lang WHEN 'en' THEN 'English' WHEN 'fr' THEN 'French' WHEN 'de' THEN 'German' WHEN 'es' THEN 'Spanish' ELSE lang END) AS language, count(*) AS n FROM documents GROUP BY lang")
+def language_names(spark: SparkSession, sf: str) -> DataFrame:
+    return _docs(spark, sf).groupBy("lang").agg(F.first(R.language_name(F.col("lang"))).alias("language"), F.count("*").alias("n"))
+
+
+_ISSUES = """(SELECT 'j' || (doc_id % 97) AS job_id, doc_id AS pos, CASE doc_id % 5 WHEN 0 THEN 'warn' WHEN 1 THEN 'info' ELSE 'debug' END AS severity, 'm' || doc_id AS message FROM documents)"""
+
+
+def _issues(spark: SparkSession, sf: str) -> DataFrame:
+    """Issues that a rule makes of the documents' ids."""
+    d = F.col("doc_id")
+    job = F.concat(F.lit("j"), (d % 97).cast("string"))
+    return _docs(spark, sf).select(job.alias("job_id"), d.alias("pos"), F.when(d % 5 == 0, "warn").when(d % 5 == 1, "info").otherwise("debug").alias("severity"), F.concat(F.lit("m"), d.cast("string")).alias("message"))
+
+
+_JOBS = f"""(SELECT job_id, count(severity) AS n_issues, CAST(sum(CAST(severity = 'warn' AS INTEGER)) AS BIGINT) AS n_warnings,
+CASE WHEN job_id = 'j7' THEN 'failed' WHEN bool_or(severity = 'warn') THEN 'completed_with_warnings' ELSE 'completed' END AS status FROM {_ISSUES} GROUP BY job_id)"""
+
+
+@query(f"SELECT * FROM {_JOBS}")
+def issue_rollup(spark: SparkSession, sf: str) -> DataFrame:
+    return J.job_status(_issues(spark, sf), F.col("job_id") == "j7")
+
+
+@query(f"""SELECT *, CASE WHEN failed > 0 THEN 'failed' WHEN with_warnings > 0 THEN 'completed_with_warnings' ELSE 'completed' END AS status, CASE WHEN failed > 0 THEN 2 WHEN with_warnings > 0 THEN 3 ELSE 0 END AS exit_code
+FROM (SELECT count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'completed_with_warnings') AS with_warnings, count(*) FILTER (status = 'failed') AS failed FROM {_JOBS})""")
+def batch_status(spark: SparkSession, sf: str) -> DataFrame:
+    return J.batch_status(issue_rollup(spark, sf))
+
+
+@query(f"SELECT job_id, string_agg(message, '|' ORDER BY pos) AS warnings FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY pos) AS nth FROM {_ISSUES} WHERE severity = 'warn') WHERE nth <= 3 GROUP BY job_id")
+def top_warnings(spark: SparkSession, sf: str) -> DataFrame:
+    return J.top_warnings(_issues(spark, sf)).select("job_id", F.array_join("warnings", "|").alias("warnings"))
+
+
+@query("""SELECT source, string_agg('e' || doc_id, '|' ORDER BY doc_id) FILTER (nth <= 4) || CASE WHEN max(nth) > 4 THEN '|+ ' || (max(nth) - 4) || ' more item(s) listed in the job metadata.' ELSE '' END AS items
+FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS nth FROM documents WHERE doc_id % 3 = 0) GROUP BY source""")
+def review_items(spark: SparkSession, sf: str) -> DataFrame:
+    d = F.col("doc_id")
+    rows = _docs(spark, sf).select("source", d.alias("pos"), F.when(d % 3 == 0, "breaking").otherwise("low").alias("severity"), F.lit(False).alias("resolved"), F.concat(F.lit("e"), d.cast("string")).alias("explanation"))
+    return J.review_items(rows, "source").select("source", F.array_join("items", "|").alias("items"))
+
+
+def _turns(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "conversations").select("conv_id", F.col("turn").alias("chunk_index"), F.sha2("text", 256).alias("source_hash"), "text")
+
+
+def _memo(spark: SparkSession, sf: str) -> DataFrame:
+    return _turns(spark, sf).where("(conv_id + chunk_index) % 4 <> 0")
+
+
+@query("""SELECT c.conv_id, c.turn AS chunk_index FROM conversations c LEFT JOIN (SELECT conv_id, min(turn) AS gap FROM conversations WHERE (conv_id + turn) % 4 = 0 GROUP BY conv_id) g USING (conv_id) WHERE gap IS NULL OR turn < gap""")
+def resume_prefix(spark: SparkSession, sf: str) -> DataFrame:
+    return J.completed_prefix(_turns(spark, sf), _memo(spark, sf), ["conv_id"]).select("conv_id", "chunk_index")
+
+
+@query("SELECT conv_id, turn AS chunk_index FROM conversations WHERE (conv_id + turn) % 4 = 0")
+def pending_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    return J.pending(_turns(spark, sf), _memo(spark, sf), ["conv_id"]).select("conv_id", "chunk_index")
+
+
+@query(r"""SELECT code, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN contains(text, chr(65533)) THEN 'ENCODING_LOSS' END, CASE WHEN length(text) = 0 THEN 'EMPTY_EXTRACTION' END,
+CASE WHEN length(text) / (1 + doc_id % 3) < 50 THEN 'LOW_TEXT_DENSITY' END, CASE WHEN octet_length(encode(text)) > 20000000 THEN 'LARGE_INPUT_FILE' END], lambda x: x IS NOT NULL)) AS code FROM documents) GROUP BY code""")
+def alert_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Alerts as if a document had one to three pages by its id."""
+    t = F.col("text")
+    codes = J.alerts(t, 1 + F.col("doc_id") % 3, F.octet_length(t), F.contains(t, F.lit("�")))
+    return _docs(spark, sf).select(F.explode(codes).alias("code")).groupBy("code").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT count(*) AS total, count(*) FILTER (ok) AS passed, count(*) FILTER (NOT ok) AS failed, round(100.0 * count(*) FILTER (ok) / count(*), 1)::DOUBLE AS pass_rate
+FROM (SELECT item_id % 9 <> 0 AND length(text) >= 120 AS ok FROM benchmark)""")
+def qa_summary(spark: SparkSession, sf: str) -> DataFrame:
+    b = table(spark, sf, "benchmark").withColumn("backend", F.lit("text"))
+    rows = b.select(F.col("item_id").alias("file"), "backend", F.length("text").alias("chars"), F.when(F.col("item_id") % 9 == 0, "broken").alias("error"), F.lit("").alias("hash"))
+    golden = b.select(F.col("item_id").alias("file"), "backend", F.lit(120).alias("min_chars"), F.lit(None).cast("string").alias("golden_hash"))
+    return J.qa_summary(J.qa_rows(rows, golden))
+
+
+def _two_passes(spark: SparkSession, sf: str) -> DataFrame:
+    text = F.col("text")
+    return _docs(spark, sf).select("doc_id", F.lit(0).alias("chunk_index"), text.alias("source"), text.alias("t1"), F.regexp_replace("text", r"\b(the|der|la|el)\b", "a").alias("t2"))
+
+
+@query()
+def reconcile_thorough(spark: SparkSession, sf: str) -> DataFrame:
+    """Reconciled documents of two passes under the mock completion."""
+    chunks = _two_passes(spark, sf)
+    return reassemble(resolved_chunks(chunks, discrepancies(chunks, mock())), "doc_id")
+
+
+@query()
+def document_summaries(spark: SparkSession, sf: str) -> DataFrame:
+    return _conversations(spark, sf).select("conv_id", document_summary(F.col("text")).alias("summary"), language_sample(F.col("text")).alias("sample"))
