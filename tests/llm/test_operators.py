@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from lexweave.llm import forest, licenses, lines, media, mixing, packing, quality, simhash, toxicity, warc
+from lexweave.llm import forest, licenses, lines, media, mixing, nearcopies, packing, quality, simhash, toxicity, warc
 
 WORDS = ["alpha", "beta", "gamma", "delta", "eps", "zeta", "eta", "theta", "iota", "kappa", "lam", "mu"]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, length int, score double, rank int"
@@ -73,6 +73,34 @@ def test_simhash_hot_key(spark, monkeypatch):
     assert classes(got) == classes(want)
 
 
+def test_near_copies(spark, empty, monkeypatch):
+    """Pairs at 0.8 to 1 are grouped, and less similar ones stay, also where a set is dealt over several chunks."""
+    import corpus_pipeline
+
+    rng = np.random.default_rng(6)
+    rows = []
+    for _ in range(20):
+        base = [f"w{x}" for x in rng.integers(0, 5000, 200)]
+        rows.append(base)
+        for edits in (1, 2, 3, 4, 6, 9):
+            other = list(base)
+            for at in rng.choice(200, edits, replace=False):
+                other[at] = "changed"
+            rows.append(other)
+    sets = [{tuple(r[i : i + 5]) for i in range(196)} for r in rows]
+    group = list(range(len(rows)))
+    near = [(i, j) for i in group for j in range(i) if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8]
+    for _ in rows:
+        for i, j in near:
+            group[i] = group[j] = min(group[i], group[j])
+    table = spark.createDataFrame([(i, " ".join(r)) for i, r in enumerate(rows)], "doc_id long, text string")
+    for chunk in (256, 2):
+        monkeypatch.setattr(nearcopies, "CHUNK", chunk)
+        kept = {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, table, "").collect()}
+        assert kept == set(group) and 20 < len(kept) < len(rows)
+    assert nearcopies.one_of_each_group(empty).count() == 0
+
+
 def test_packing(docs, empty):
     rows = packing.pack(docs).collect()
     spans, covered = {}, {}
