@@ -168,6 +168,17 @@ def test_forest(spark):
     assert forest.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_forest_recall_on_middle_tables(spark):
+    x = np.random.default_rng(9).standard_normal((3000, 64))
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    hits = 0
+    for q, own in forest.nearest(table).toPandas().groupby("query_id")["vec_id"]:
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits += len(set(own) & set(np.argsort(-s)[:20].tolist()))
+    assert hits / 3000 >= 0.93
+
+
 def test_mixing(docs, empty):
     got = mixing.mix(docs).collect()
     assert all(0 <= r["taken"] <= 2 * r["size"] for r in got)
