@@ -198,6 +198,16 @@ def test_quality(docs, empty, labels):
     assert quality.score(empty, labels).count() == 0
 
 
+def test_quality_keeps_unseen_documents_like_the_trusted(spark):
+    rng = np.random.default_rng(8)
+    words = [f"w{x}" for x in range(3000)]
+    rows = [(i, "en", " ".join(rng.choice(words, 60))) for i in range(400)] + [(1000 + i, "en", " ".join(f"junk{x}" for x in rng.integers(0, 10**9, 60))) for i in range(20)]
+    marks = spark.createDataFrame([(i, 1) for i in range(200)], "doc_id long, quality int")
+    got = {r["doc_id"]: r["kept"] for r in quality.score(spark.createDataFrame(rows, "doc_id long, lang string, text string"), marks).collect()}
+    assert np.mean([got[i] for i in range(200, 400)]) > 0.9 and np.mean([got[i] for i in range(200)]) > 0.9
+    assert not any(got[1000 + i] for i in range(20))
+
+
 def test_quality_sums_to_one(spark):
     """Over all known words and the unknown one, p(. | w1) is one."""
     text = "a b a c a b d a b"
