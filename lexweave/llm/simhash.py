@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from lexweave.llm.common import materialize, text_of
 from lexweave.llm.components import components
+from lexweave.llm.nearcopies import one_of_each_group as one_of_each_group  # the stage's choice
 
 SEGMENTS = ((42, 22, 1), (21, 21, 1), (0, 21, 0))  # shift, bits, radius
 DISTANCE = 4
@@ -161,9 +162,3 @@ def near_groups(documents: DataFrame) -> DataFrame:
     found = components(near_links(nodes))
     nodes = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     return docs.join(nodes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def one_of_each_group(documents: DataFrame) -> DataFrame:
-    """The documents that are the smallest of their group; of rows that repeat a doc_id, one."""
-    kept = near_groups(documents).where("doc_id = component_id").select("doc_id").distinct()
-    return documents.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*documents.columns)

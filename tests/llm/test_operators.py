@@ -101,6 +101,12 @@ def test_near_copies(spark, empty, monkeypatch):
     assert nearcopies.one_of_each_group(empty).count() == 0
 
 
+def test_near_copies_keep_rows_without_or_with_equal_ids(spark):
+    rows = [(None, "a b c d e f"), (None, "g h i j k l"), (1, "a b c d e f"), (2, "m n o p q r"), (2, "s t u v w x"), (2, "s t u v w x"), (None, None)]
+    kept = simhash.one_of_each_group(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, kept), key=str) == sorted([(1, "a b c d e f"), (None, "g h i j k l"), (2, "m n o p q r"), (2, "s t u v w x"), (None, None)], key=str)
+
+
 def test_packing(docs, empty):
     rows = packing.pack(docs).collect()
     spans, covered = {}, {}
