@@ -243,11 +243,12 @@ def thumbnails(frames: list[dict]) -> list[np.ndarray]:
 
 
 def difference_hash(grey: np.ndarray) -> str:
-    """64 bits: whether brightness falls from one of 9 columns to the next, over 8 rows of a shrunken thumbnail."""
-    y = np.linspace(0, grey.shape[0] - 1, 8).astype(int)
-    cuts = np.linspace(0, grey.shape[1], 10).astype(int)[:-1]
-    means = np.add.reduceat(grey[y].astype(np.int64), np.minimum(cuts, grey.shape[1] - 1), axis=1)
-    return np.packbits(means[:, :-1] > means[:, 1:]).tobytes().hex()
+    """64 bits: whether mean brightness falls from one of 9 column groups to the next, over 8 bands of all rows (few rows: repeated)."""
+    height, width = grey.shape
+    rows, cuts = np.arange(8) * height // 8, np.arange(10) * width // 9
+    sums = np.add.reduceat(np.add.reduceat(grey.astype(np.int64), rows, axis=0), cuts[:-1], axis=1)
+    wide = np.maximum(1, np.diff(cuts))
+    return np.packbits(sums[:, :-1] * wide[1:] > sums[:, 1:] * wide[:-1]).tobytes().hex()
 
 
 def payload_of(text: str) -> tuple[bytes, int]:

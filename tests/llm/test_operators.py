@@ -138,6 +138,17 @@ def test_media(docs, empty):
     assert end == len(coded) and media.thumbnails([frame])[0].tobytes() == noise
 
 
+def test_difference_hash_sees_all_rows_and_compares_means():
+    for height in (1, 3, 8, 50):
+        assert media.difference_hash(np.full((height, 192), 77, dtype=np.uint8)) == "0" * 16
+    grey = np.full((64, 192), 100, dtype=np.uint8)
+    for row in range(64):
+        other = grey.copy()
+        other[row, :21] = 255
+        bits = int(media.difference_hash(other), 16)
+        assert bits == 1 << (63 - 8 * (row // 8))
+
+
 def test_lines(spark, empty):
     common = "this line of 12 words recurs"
     rows = [(i, f"own words {WORDS[i]} here\n{common.replace('12', str(i))}\nlast {WORDS[i + 1]} one") for i in range(5)] + [(9, None), (10, "")]
