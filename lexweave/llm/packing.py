@@ -81,6 +81,7 @@ class Coder:
         with open(path, encoding="utf-8") as f:
             kept = json.load(f)
         vocabulary, merges = kept["model"]["vocab"], kept["model"]["merges"]
+        self.size = 1 + max([*vocabulary.values(), *(t["id"] for t in kept["added_tokens"])])
         plain = kept["normalizer"] is None and kept["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
         made = [vocabulary["".join(m if isinstance(m, list) else m.split(" "))] for m in merges]
         self.added = [t["content"] for t in kept["added_tokens"]]
@@ -103,7 +104,7 @@ class Coder:
 
 
 @lru_cache(maxsize=1)
-def _coder(path: str) -> Coder:
+def shared_coder(path: str) -> Coder:
     """One per Python worker, however many tasks it runs."""
     return Coder(path)
 
@@ -115,7 +116,7 @@ def pieces(documents: DataFrame, tokenizer: str | None = None, size: int = LENGT
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        coder = _coder(path)
+        coder = shared_coder(path)
         schema = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")])
         for b in batches:
             rows = []

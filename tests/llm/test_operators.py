@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from lexweave.llm import forest, licenses, lines, media, mixing, nearcopies, packing, quality, simhash, toxicity, warc
+from lexweave.llm import forest, licenses, lines, media, mixing, nearcopies, packing, simhash, toxicity, warc
 
 WORDS = ["alpha", "beta", "gamma", "delta", "eps", "zeta", "eta", "theta", "iota", "kappa", "lam", "mu"]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, length int, score double, rank int"
@@ -209,34 +209,6 @@ def test_licenses(docs, empty):
     assert got[0]["n_words"] == 0 and licenses.scan(empty).count() == 0
 
 
-def test_quality(docs, empty, labels):
-    got = {r["doc_id"]: r for r in quality.score(docs, labels).collect()}
-    assert got[0]["perplexity"] == 1.0 and all(r["perplexity"] >= 1 for r in got.values())
-    assert quality.score(empty, labels).count() == 0
-
-
-def test_quality_keeps_unseen_documents_like_the_trusted(spark):
-    rng = np.random.default_rng(8)
-    words = [f"w{x}" for x in range(3000)]
-    rows = [(i, "en", " ".join(rng.choice(words, 60))) for i in range(400)] + [(1000 + i, "en", " ".join(f"junk{x}" for x in rng.integers(0, 10**9, 60))) for i in range(20)]
-    marks = spark.createDataFrame([(i, 1) for i in range(200)], "doc_id long, quality int")
-    got = {r["doc_id"]: r["kept"] for r in quality.score(spark.createDataFrame(rows, "doc_id long, lang string, text string"), marks).collect()}
-    assert np.mean([got[i] for i in range(200, 400)]) > 0.9 and np.mean([got[i] for i in range(200)]) > 0.9
-    assert not any(got[1000 + i] for i in range(20))
-
-
-def test_quality_sums_to_one(spark):
-    """Over all known words and the unknown one, p(. | w1) is one."""
-    text = "a b a c a b d a b"
-    table, unknown = quality.model(spark.createDataFrame([(text,)], "text string"))
-    terms = {r["key"]: (r["one"], r["two"]) for r in table.collect()}
-    w = {x: quality._words(x)[1] for x in "abcd"}
-    total = np.exp(terms[2 * w["a"]][0]) * np.exp(unknown)
-    for x in w.values():
-        total += np.exp(terms[2 * w["a"]][0] + terms[2 * x][1] + terms.get(quality._pair(w["a"], x), (0, 0))[1])
-    assert abs(total - 1) < 1e-9
-
-
 def test_warc(spark):
     rows = [(1, "http://a/", "x" * 1200), (2, "http://b/", "x" * 1200), (3, None, None), (4, "http://c/", "y")]
     got = {r["page_id"]: r for r in warc.archive_round_trip(spark, spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
