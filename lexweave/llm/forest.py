@@ -1,16 +1,21 @@
 """Nearest neighbours by inner product: a forest of random-projection trees and exact reranking.
 
-Trees are fitted on a bounded sample (SAMPLE distinct vectors with the smallest digests): a node projects on a random direction and splits
-at the sample's median, until a leaf stands for about LEAF rows of the whole table.  Every row is then indexed: each
-distinct vector goes to one leaf per tree.  To turn inner products into angles, vectors get one more
-component that fills their norm up to the largest.  A query searches all trees through one priority queue, which holds
-the subtrees by their margin, until as many leaves as SHARE of a tree's are open; leaf candidates are ranked by exact double-precision products.
-
-Equal vectors are one entry that keeps its smallest TOP + 1 ids: more can never be in a result, as ties go to the
-smaller id.  The query set meets the indexed rows in blocks of bounded size, each giving a query's best candidates.
-
-Defined results: vectors that are null, zero, of another length than most, or hold null or non-finite components take
-no part; rows that repeat an id and vector are one; an empty table gives no rows.
+Trees are fitted on a bounded sample (SAMPLE distinct vectors with the smallest digests): a node projects on a random direction
+and splits at the sample's median, until a leaf stands for about LEAF rows of the whole table, or for SUPPORT rows of the sample.
+Every row is then indexed: each distinct vector goes to one leaf per tree.  To turn inner products into angles, vectors get one
+more component that fills their norm up to the largest.  A query searches all trees through one priority queue, which holds the
+subtrees by their margin, until as many leaves as SHARE of a tree's are open.
+
+Leaves are joined, not tables: a cell is a run of a tree's neighbouring leaves that holds about CELL rows, a row is sent to
+the cell of its leaf in each tree, and a query to the cells where it opened leaves, with those leaves.  A cell ranks, for each of its
+queries, the rows in the opened leaves by exact double-precision products and passes the best on; a cell that holds more rows,
+as of equal or crowded vectors, is dealt over parts, so none is a single task's.  What a query costs is the leaves that it opens.
+
+Equal vectors are one entry that keeps its smallest TOP + 1 ids: more can never be in a result, as ties go to the smaller id.
+
+Defined results: vectors that are null, zero, of another length than most, or hold null or non-finite components take no part, nor
+do rows without an id; rows that repeat an id count once, with the smallest of its vectors (component by component); ties go to
+the smaller id; a vector set of any length is indexed whole; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,14 +34,14 @@ from pyspark.sql import functions as F
 from lexweave.llm.common import materialize
 
 TOP = 20
-SAMPLE = 20_000
+SAMPLE = 1 << 16
+SUPPORT = 8
 TREES = 8
 LEAF = 128
 #: Leaves that a query opens, as a share of a tree's leaves: isotropic vectors of 64 components reach a recall of 0.96 with it
 #: at 2,000 to 8,000 rows (1.25: 0.93, 0.75: 0.82), and more with more rows.
 SHARE = 1.5
-ROW_BLOCK = 8192
-QUERY_BLOCK = 1024
+CELL = 8192
 
 
 @dataclass(frozen=True)
@@ -46,6 +51,11 @@ class Forest:
     depth: int
     largest: float  # norm
 
+    @property
+    def nodes(self) -> int:
+        """Leaves are numbered tree * nodes + node."""
+        return 2 << self.depth
+
     def lift(self, x: np.ndarray) -> np.ndarray:
         rest = np.sqrt(np.maximum(0, self.largest**2 - (x * x).sum(axis=1)))
         return np.hstack([x, rest[:, None]]) / self.largest
@@ -57,32 +67,32 @@ class Forest:
             node, at = np.ones(len(x), dtype=np.int64), lifted @ directions.T
             for level in range(self.depth):
                 node = 2 * node + (at[:, level] > cuts[node])
-            out[:, t] = node
+            out[:, t] = node + t * self.nodes
         return out
 
-    def search(self, queries: np.ndarray, visits: int) -> list[list[tuple[int, int]]]:
-        """Per query, the (tree, leaf) pairs that a shared priority queue opens."""
+    def search(self, queries: np.ndarray, visits: int) -> list[np.ndarray]:
+        """Per query, the leaves that a shared priority queue opens, sorted."""
         norms = np.linalg.norm(queries, axis=1)
         lifted = np.hstack([queries / norms[:, None], np.zeros((len(queries), 1))])
         at = np.einsum("qc,tlc->qtl", lifted, self.directions)
-        first, out = 1 << self.depth, []
+        first, cuts, out = 1 << self.depth, self.cuts.tolist(), []
         for q in at.tolist():
-            heap = [(0.0, t, 1, 0) for t in range(len(self.cuts))]
-            found: list[tuple[int, int]] = []
+            heap = [(0.0, t, 1, 0) for t in range(len(cuts))]
+            found: list[int] = []
             while heap and len(found) < visits:
                 gap, t, node, level = heapq.heappop(heap)
                 while node < first:
-                    over = q[t][level] - self.cuts[t, node]
+                    over = q[t][level] - cuts[t][node]
                     side = int(over > 0)
                     heapq.heappush(heap, (max(gap, abs(over)), t, 2 * node + 1 - side, level + 1))
                     node, level = 2 * node + side, level + 1
-                found.append((t, node))
-            out.append(found)
+                found.append(node + t * self.nodes)
+            out.append(np.sort(np.array(found, dtype=np.int64)))
         return out
 
 
 def fit(sample: np.ndarray, rows: int, largest: float, trees: int = TREES, leaf: int = LEAF, seed: int = 5) -> Forest:
-    depth = max(0, min(math.ceil(math.log2(max(1, rows / leaf))), int(math.log2(max(1, len(sample) / 8)))))
+    depth = max(0, min(math.ceil(math.log2(max(1, rows / leaf))), int(math.log2(max(1, len(sample) / SUPPORT)))))
     rng = np.random.default_rng(seed)
     directions = rng.standard_normal((trees, max(1, depth), sample.shape[1] + 1))
     directions /= np.linalg.norm(directions, axis=2, keepdims=True)
@@ -91,9 +101,12 @@ def fit(sample: np.ndarray, rows: int, largest: float, trees: int = TREES, leaf:
     for t in range(trees):
         node, at = np.ones(len(sample), dtype=np.int64), lifted @ directions[t].T
         for level in range(depth):
-            for k in range(1 << level, 2 << level):
-                here = at[node == k, level]
-                forest.cuts[t, k] = np.median(here) if len(here) else 0.0
+            order = np.lexsort((at[:, level], node))
+            ends = np.searchsorted(node[order], np.arange(1 << level, (2 << level) + 1))
+            for k, (low, high) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist()), 1 << level):
+                if high > low:
+                    middle = (low + high) // 2
+                    forest.cuts[t, k] = at[order[(high - low) % 2 - 1 + middle : middle + 1], level].mean()
             node = 2 * node + (at[:, level] > forest.cuts[t][node])
     return forest
 
@@ -103,17 +116,21 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1).astype(np.float64)
 
 
-def nearest(embeddings: DataFrame, every: int = 20, top: int = TOP, share: float = SHARE) -> DataFrame:
-    """query_id, rank, vec_id, score; queries are the rows whose vec_id is divisible by ``every``."""
-    spark = embeddings.sparkSession
+def _sound(embeddings: DataFrame) -> DataFrame:
+    """vec_id, v: the vectors that take part, one for each id."""
     v = F.col("embedding").cast("array<double>")
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where("vec_id is not null and v is not null and size(v) > 0")
     sound = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(math.inf))) & F.exists("v", lambda x: x != 0)
-    rows = materialize(rows.where(sound), "vectors")
+    return materialize(rows.where(sound).groupBy("vec_id").agg(F.min("v").alias("v")), "vectors")
+
+
+def nearest(embeddings: DataFrame, every: int = 20, top: int = TOP, share: float = SHARE) -> DataFrame:
+    """query_id, rank, vec_id, score; queries are the rows whose vec_id is divisible by ``every``."""
+    spark = embeddings.sparkSession
+    rows = _sound(embeddings)
     usual = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    result = "query_id long, rank int, vec_id long, score double"
     if usual is None:
-        return spark.createDataFrame([], result)
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rows = rows.where(F.size("v") == usual["d"])
     # The smallest top + 1 ids of each distinct vector: by buckets first, so a very common vector is no single task's.
     bucket = F.pmod(F.xxhash64("vec_id"), F.lit(256))
@@ -125,39 +142,50 @@ def nearest(embeddings: DataFrame, every: int = 20, top: int = TOP, share: float
     sample = entries.orderBy(F.xxhash64("entry"), "entry").limit(SAMPLE).select("v").toArrow()["v"].combine_chunks()
     forest = fit(_matrix(sample), facts["n"], float(facts["largest"]))
 
-    nodes = 2 << forest.depth  # leaves are numbered tree * nodes + node
-    visits = max(2 * len(forest.cuts), math.ceil(share * (1 << forest.depth)))  # small tables: more than a leaf of each tree
+    leaves, nodes = 1 << forest.depth, forest.nodes
+    visits = max(2 * len(forest.cuts), math.ceil(share * leaves))  # of few leaves: more than one of each tree
+    run = max(1, int(CELL * leaves / facts["n"]))  # neighbouring leaves of a tree in a cell, so that a row is once in a cell
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                found = forest.leaves(_matrix(b.column("v"))) + np.arange(len(forest.cuts), dtype=np.int64) * nodes
-                yield pa.RecordBatch.from_arrays([b.column("v"), b.column("entry"), pa.array(found.tolist(), pa.list_(pa.int32()))], names=["v", "entry", "leaves"])
+                found = pa.array(forest.leaves(_matrix(b.column("v"))).tolist(), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([b.column("v"), b.column("entry"), found], names=["v", "entry", "leaves"])
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows:
-                found = [[t * nodes + leaf for t, leaf in x] for x in forest.search(_matrix(b.column("v")), visits)]
-                yield pa.RecordBatch.from_arrays([b.column("v"), b.column("query_id"), pa.array(found, pa.list_(pa.int32()))], names=["v", "query_id", "leaves"])
-
-    # The query set meets the indexed rows in blocks; of a block, a query ranks the rows in leaves that it opened.
-    queries = materialize(rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"]).select("v", F.col("vec_id").alias("query_id")), "queries")
-    row_blocks, query_blocks = math.ceil(facts["n"] / ROW_BLOCK), max(1, math.ceil(queries.count() / QUERY_BLOCK))
-    dealt = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
-    every_block = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    table = entries.select("v", "entry").mapInArrow(index, "v array<double>, entry long, leaves array<int>")
-    table = table.select("v", "entry", "leaves", dealt("entry", row_blocks).alias("rb"), every_block(query_blocks).alias("qb"))
-    probes = queries.mapInArrow(probe, "v array<double>, query_id long, leaves array<int>")
-    probes = probes.select("v", "query_id", "leaves", dealt("query_id", query_blocks).alias("qb"), every_block(row_blocks).alias("rb"))
+            ids, at, opened, cells = b.column("query_id").to_numpy(), [], [], []
+            for i, found in enumerate(forest.search(_matrix(b.column("v")), visits) if b.num_rows else []):
+                cell = found - found % nodes + found % nodes // run
+                starts = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
+                cells += cell[starts].tolist()
+                opened += [x.tolist() for x in np.split(found, starts[1:])]
+                at += [i] * len(starts)
+            if at:
+                yield pa.RecordBatch.from_arrays([b.column("v").take(pa.array(at)), pa.array(ids[at]), pa.array(opened, pa.list_(pa.int64())), pa.array(cells, pa.int64())], names=["v", "query_id", "opened", "cell"])
+
+    queries = materialize(rows.where(F.col("vec_id") % every == 0).select("v", F.col("vec_id").alias("query_id")), "queries")
+    table = entries.select("v", "entry").mapInArrow(index, "v array<double>, entry long, leaves array<long>")
+    table = table.select("v", "entry", F.explode("leaves").alias("leaf")).withColumn("cell", F.expr(f"leaf - leaf % {nodes} + leaf % {nodes} div {run}"))
+    # A crowded cell is dealt over parts: by the rows that it has, counted first.
+    crowded = materialize(table.groupBy("cell").count().where(F.col("count") > 2 * CELL).select("cell", F.ceil(F.col("count") / CELL).cast("int").alias("parts")), "crowded")
+    part = F.coalesce("parts", F.lit(1))
+    table = table.join(crowded, "cell", "left").withColumn("part", F.pmod(F.xxhash64("entry"), part).cast("int")).drop("parts")
+    probes = queries.mapInArrow(probe, "v array<double>, query_id long, opened array<long>, cell long")
+    probes = probes.join(crowded, "cell", "left").withColumn("part", F.explode(F.sequence(F.lit(0), part - 1))).drop("parts")
 
     def rank(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         out = [pd.DataFrame({"query_id": np.zeros(0, dtype=np.int64), "entry": np.zeros(0, dtype=np.int64), "score": np.zeros(0)})]
         if len(q) and len(c):
-            x, ids, leaves = np.stack(c["v"].to_numpy()), c["entry"].to_numpy(), np.stack(c["leaves"].to_numpy())
-            for query, v, opened in zip(q["query_id"].to_numpy(), q["v"].to_numpy(), q["leaves"].to_numpy()):
-                is_open = np.zeros(leaves.max() + nodes, dtype=bool)
-                is_open[opened[opened < len(is_open)]] = True
-                near = np.flatnonzero(is_open[leaves].any(axis=1))
+            c = c.sort_values(["leaf", "entry"])
+            x, ids, leaf = np.stack(c["v"].to_numpy()), c["entry"].to_numpy(), c["leaf"].to_numpy()
+            kinds, starts = np.unique(leaf, return_index=True)
+            ends = np.append(starts[1:], len(leaf))
+            for query, v, opened in zip(q["query_id"].to_numpy(), q["v"].to_numpy(), q["opened"].to_numpy()):
+                own = np.isin(kinds, opened)
+                if not own.any():
+                    continue
+                near = np.concatenate([np.arange(a, b) for a, b in zip(starts[own], ends[own])])
                 s = x[near] @ v
                 # One more than asked for, as the query's own entry is among them; ties are kept whole.
                 if len(s) > top + 1:
@@ -166,7 +194,9 @@ def nearest(embeddings: DataFrame, every: int = 20, top: int = TOP, share: float
                 out.append(pd.DataFrame({"query_id": query, "entry": ids[near], "score": s}))
         return pd.concat(out)
 
-    pairs = probes.groupBy("qb", "rb").cogroup(table.groupBy("qb", "rb")).applyInPandas(rank, "query_id long, entry long, score double")
+    pairs = probes.groupBy("cell", "part").cogroup(table.groupBy("cell", "part")).applyInPandas(rank, "query_id long, entry long, score double")
+    # A row is found through several trees; its scores there may differ in the last digits.
+    pairs = pairs.groupBy("query_id", "entry").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "entry")
     best = pairs.withColumn("r", F.row_number().over(order)).where(F.col("r") <= 2 * top + 2)
     named = best.join(entries.select("entry", "ids", "v"), "entry").join(queries.withColumnRenamed("v", "qv"), "query_id")

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from lexweave.llm import forest, licenses, lines, media, mixing, nearcopies, packing, simhash, toxicity, warc
+from lexweave.llm import licenses, lines, media, mixing, nearcopies, packing, simhash, toxicity, warc
 
 WORDS = ["alpha", "beta", "gamma", "delta", "eps", "zeta", "eta", "theta", "iota", "kappa", "lam", "mu"]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, length int, score double, rank int"
@@ -168,34 +168,6 @@ def test_toxicity(spark, docs, empty, labels):
     assert toxicity.without_toxic(docs, labels).columns == docs.columns
 
 
-def test_forest(spark):
-    x = np.random.default_rng(5).standard_normal((300, 8))
-    x[7] = x[8] = x[40]
-    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(300, None), (301, [0.0] * 8), (302, [float("nan")] * 8), (320, [None] * 8), (340, [])]
-    got = forest.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
-    f = x.astype(np.float32).astype(float)
-    hits = 0
-    for q in range(0, 300, 20):
-        s = f @ f[q]
-        s[q] = -np.inf
-        own = sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])
-        assert [r["rank"] for r in own] == list(range(1, 21)) and all(abs(r["score"] - s[r["vec_id"]]) < 1e-9 for r in own)
-        hits += len({r["vec_id"] for r in own} & set(np.lexsort((np.arange(300), -s))[:20].tolist()))
-    assert hits / 300 >= 0.9
-    assert forest.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
-
-
-def test_forest_recall_on_middle_tables(spark):
-    x = np.random.default_rng(9).standard_normal((3000, 64))
-    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
-    hits = 0
-    for q, own in forest.nearest(table).toPandas().groupby("query_id")["vec_id"]:
-        s = x @ x[q]
-        s[q] = -np.inf
-        hits += len(set(own) & set(np.argsort(-s)[:20].tolist()))
-    assert hits / 3000 >= 0.93
-
-
 def test_mixing(docs, empty):
     got = mixing.mix(docs).collect()
     assert all(0 <= r["taken"] <= 2 * r["size"] for r in got)
