@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from lexweave.llm import licenses, lines, media, mixing, nearcopies, packing, simhash, toxicity, warc
+from lexweave.llm import licenses, media, mixing, nearcopies, packing, simhash, toxicity, warc
 
 WORDS = ["alpha", "beta", "gamma", "delta", "eps", "zeta", "eta", "theta", "iota", "kappa", "lam", "mu"]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, length int, score double, rank int"
@@ -149,15 +149,6 @@ def test_difference_hash_sees_all_rows_and_compares_means():
         assert bits == 1 << (63 - 8 * (row // 8))
 
 
-def test_lines(spark, empty):
-    common = "this line of 12 words recurs"
-    rows = [(i, f"own words {WORDS[i]} here\n{common.replace('12', str(i))}\nlast {WORDS[i + 1]} one") for i in range(5)] + [(9, None), (10, "")]
-    got = {r["doc_id"]: r for r in lines.drop_recurring(spark.createDataFrame(rows, "doc_id long, text string"), counts=True).collect()}
-    assert "recurs" in got[0]["text"] and all("recurs" not in got[i]["text"] for i in range(1, 5))
-    assert all(got[i]["n_dropped"] == 1 for i in range(1, 5)) and got[9]["text"] is None
-    assert lines.drop_recurring(empty).count() == 0
-
-
 def test_toxicity(spark, docs, empty, labels):
     rng = np.random.default_rng(4)
     rows = [(i, " ".join(rng.choice(WORDS, 30)) + (" vile nasty" if i % 4 == 0 else "")) for i in range(400)]
