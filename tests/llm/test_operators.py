@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from lexweave.llm import licenses, media, mixing, nearcopies, packing, simhash, toxicity, warc
+from lexweave.llm import media, mixing, nearcopies, packing, simhash, toxicity, warc
 
 WORDS = ["alpha", "beta", "gamma", "delta", "eps", "zeta", "eta", "theta", "iota", "kappa", "lam", "mu"]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, length int, score double, rank int"
@@ -165,13 +165,6 @@ def test_mixing(docs, empty):
     assert mixing.mix(empty).count() == 0 and mixing.mixed_documents(docs).columns == docs.columns
 
 
-def test_licenses(docs, empty):
-    got = {r["doc_id"]: r for r in licenses.scan(docs).collect()}
-    last = got[len(texts()) - 1]
-    assert (last["n_base"], last["first_word"], last["last_word"], last["base_labels"]) == (2, 0, 4, "mit")
-    assert got[0]["n_words"] == 0 and licenses.scan(empty).count() == 0
-
-
 def test_warc(spark):
     rows = [(1, "http://a/", "x" * 1200), (2, "http://b/", "x" * 1200), (3, None, None), (4, "http://c/", "y")]
     got = {r["page_id"]: r for r in warc.archive_round_trip(spark, spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
