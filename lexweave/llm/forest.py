@@ -8,7 +8,8 @@ subtrees by their margin, until as many leaves as SHARE of a tree's are open.
 
 Leaves are joined, not tables: a cell is a run of a tree's neighbouring leaves that holds about CELL rows, a row is sent to
 the cell of its leaf in each tree, and a query to the cells where it opened leaves, with those leaves.  A cell ranks, for each of its
-queries, the rows in the opened leaves by exact double-precision products and passes the best on; a cell that holds more rows,
+queries, the rows in the opened leaves by exact double-precision products and passes the best on, those that beat what the query has
+found among BOUND of the sample's vectors (at most an eighth of the table); a cell that holds more rows,
 as of equal or crowded vectors, is dealt over parts, so none is a single task's.  What a query costs is the leaves that it opens.
 
 Equal vectors are one entry that keeps its smallest TOP + 1 ids: more can never be in a result, as ties go to the smaller id.
@@ -42,6 +43,7 @@ LEAF = 128
 #: at 2,000 to 8,000 rows (1.25: 0.93, 0.75: 0.82), and more with more rows.
 SHARE = 1.5
 CELL = 8192
+BOUND = 4096
 
 
 @dataclass(frozen=True)
@@ -139,8 +141,11 @@ def nearest(embeddings: DataFrame, every: int = 20, top: int = TOP, share: float
     entries = materialize(least.withColumn("entry", F.col("ids")[0]), "entries")
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
     facts = entries.agg(F.count("*").alias("n"), F.max(norm).alias("largest")).first()
-    sample = entries.orderBy(F.xxhash64("entry"), "entry").limit(SAMPLE).select("v").toArrow()["v"].combine_chunks()
-    forest = fit(_matrix(sample), facts["n"], float(facts["largest"]))
+    sample = entries.orderBy(F.xxhash64("entry"), "entry").limit(SAMPLE).select("v", "entry").toArrow().combine_chunks()
+    vectors = _matrix(sample["v"].combine_chunks())
+    forest = fit(vectors, facts["n"], float(facts["largest"]))
+    known = max(1, min(BOUND, facts["n"] // 8))
+    known, known_ids = np.ascontiguousarray(vectors[:known]), sample["entry"].to_numpy()[:known]
 
     leaves, nodes = 1 << forest.depth, forest.nodes
     visits = max(2 * len(forest.cuts), math.ceil(share * leaves))  # of few leaves: more than one of each tree
@@ -152,9 +157,19 @@ def nearest(embeddings: DataFrame, every: int = 20, top: int = TOP, share: float
                 found = pa.array(forest.leaves(_matrix(b.column("v"))).tolist(), pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([b.column("v"), b.column("entry"), found], names=["v", "entry", "leaves"])
 
+    def _best(b: pa.RecordBatch) -> list[list[tuple[int, float]]]:
+        """Of each query, the top + 1 best of the known vectors."""
+        out = []
+        for v in _matrix(b.column("v")) if b.num_rows else []:
+            s = known @ v
+            at = np.argsort(-s, kind="stable")[: top + 1]
+            out.append([(int(known_ids[i]), float(s[i])) for i in at])
+        return out
+
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, at, opened, cells = b.column("query_id").to_numpy(), [], [], []
+            floors = np.array([own[-1][1] if len(own) > top else -math.inf for own in _best(b)])
             for i, found in enumerate(forest.search(_matrix(b.column("v")), visits) if b.num_rows else []):
                 cell = found - found % nodes + found % nodes // run
                 starts = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
@@ -162,7 +177,12 @@ def nearest(embeddings: DataFrame, every: int = 20, top: int = TOP, share: float
                 opened += [x.tolist() for x in np.split(found, starts[1:])]
                 at += [i] * len(starts)
             if at:
-                yield pa.RecordBatch.from_arrays([b.column("v").take(pa.array(at)), pa.array(ids[at]), pa.array(opened, pa.list_(pa.int64())), pa.array(cells, pa.int64())], names=["v", "query_id", "opened", "cell"])
+                yield pa.RecordBatch.from_arrays([b.column("v").take(pa.array(at)), pa.array(ids[at]), pa.array(opened, pa.list_(pa.int64())), pa.array(cells, pa.int64()), pa.array(floors[at])], names=["v", "query_id", "opened", "cell", "floor"])
+
+    def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [(q, *x) for q, own in zip(b.column("query_id").to_pylist(), _best(b)) for x in own]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "entry", "score"])
 
     queries = materialize(rows.where(F.col("vec_id") % every == 0).select("v", F.col("vec_id").alias("query_id")), "queries")
     table = entries.select("v", "entry").mapInArrow(index, "v array<double>, entry long, leaves array<long>")
@@ -171,7 +191,7 @@ def nearest(embeddings: DataFrame, every: int = 20, top: int = TOP, share: float
     crowded = materialize(table.groupBy("cell").count().where(F.col("count") > 2 * CELL).select("cell", F.ceil(F.col("count") / CELL).cast("int").alias("parts")), "crowded")
     part = F.coalesce("parts", F.lit(1))
     table = table.join(crowded, "cell", "left").withColumn("part", F.pmod(F.xxhash64("entry"), part).cast("int")).drop("parts")
-    probes = queries.mapInArrow(probe, "v array<double>, query_id long, opened array<long>, cell long")
+    probes = queries.mapInArrow(probe, "v array<double>, query_id long, opened array<long>, cell long, floor double")
     probes = probes.join(crowded, "cell", "left").withColumn("part", F.explode(F.sequence(F.lit(0), part - 1))).drop("parts")
 
     def rank(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
@@ -181,20 +201,21 @@ def nearest(embeddings: DataFrame, every: int = 20, top: int = TOP, share: float
             x, ids, leaf = np.stack(c["v"].to_numpy()), c["entry"].to_numpy(), c["leaf"].to_numpy()
             kinds, starts = np.unique(leaf, return_index=True)
             ends = np.append(starts[1:], len(leaf))
-            for query, v, opened in zip(q["query_id"].to_numpy(), q["v"].to_numpy(), q["opened"].to_numpy()):
+            for query, v, opened, floor in zip(q["query_id"].to_numpy(), q["v"].to_numpy(), q["opened"].to_numpy(), q["floor"].to_numpy()):
                 own = np.isin(kinds, opened)
                 if not own.any():
                     continue
                 near = np.concatenate([np.arange(a, b) for a, b in zip(starts[own], ends[own])])
                 s = x[near] @ v
                 # One more than asked for, as the query's own entry is among them; ties are kept whole.
-                if len(s) > top + 1:
-                    at = np.flatnonzero(s >= np.partition(s, -(top + 1))[-(top + 1)] - 1e-9)
-                    near, s = near[at], s[at]
+                least = max(floor, np.partition(s, -(top + 1))[-(top + 1)]) if len(s) > top + 1 else floor
+                at = np.flatnonzero(s >= least - 1e-9)
+                near, s = near[at], s[at]
                 out.append(pd.DataFrame({"query_id": query, "entry": ids[near], "score": s}))
         return pd.concat(out)
 
     pairs = probes.groupBy("cell", "part").cogroup(table.groupBy("cell", "part")).applyInPandas(rank, "query_id long, entry long, score double")
+    pairs = pairs.unionByName(queries.select("v", "query_id").mapInArrow(seeds, "query_id long, entry long, score double"))
     # A row is found through several trees; its scores there may differ in the last digits.
     pairs = pairs.groupBy("query_id", "entry").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "entry")
