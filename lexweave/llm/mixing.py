@@ -10,8 +10,11 @@
    quota vector is a multivariate-hypergeometric draw from the node's, so the shards' mixes differ only as chance
    has it and their sums are exact.  Shards draw disjoint runs of the permuted blocks and shuffle their documents.
 
+What a document gives follows from the units that the tree dealt: ``taken`` sums them, ``shards`` names them.
+
 Defined results: a null text has no words; a document without words is never taken; the null source comes last;
-equal rows are separate documents; the mix of an empty table is empty.
+equal rows are separate documents, but rows that share an id share its place in the order, ties by size; a null id is one id; a text of
+any length counts whole; other columns are kept by ``mixed_documents`` and ignored by ``mix``; the mix of an empty table is empty.
 """
 
 from __future__ import annotations
@@ -25,8 +28,8 @@ from pyspark.sql import functions as F
 from lexweave.llm.common import WORD_PATTERN, materialize, text_of
 
 BLOCKS = 4096
-#: Sources are a catalogue of feeds; their sizes are the only table that the driver reads.
-MAX_SOURCES = 100_000
+#: Sources up to which their table (600 bytes each) goes to all tasks; more are joined by shards.
+BROADCAST_SOURCES = 100_000
 
 
 @dataclass(frozen=True)
@@ -69,10 +72,10 @@ def splitting_tree(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
     return out
 
 
-def _boundary(rows: DataFrame, digits: str, before: str, sources: DataFrame, suffix: str) -> DataFrame:
+def _boundary(rows: DataFrame, digits: str, before: str, sources: DataFrame, suffix: str, sent) -> DataFrame:
     """For each source, the value of ``digits`` at which the words pass the rest of the quota, and the words before it."""
     w = Window.partitionBy("skey").orderBy(digits)
-    sums = rows.groupBy("skey", digits).agg(F.sum("size").alias("words")).join(F.broadcast(sources.select("skey", "rest", before)), "skey")
+    sums = rows.groupBy("skey", digits).agg(F.sum("size").alias("words")).join(sent(sources.select("skey", "rest", before)), "skey")
     sums = sums.withColumn("ahead", F.col(before) + F.sum("words").over(w) - F.col("words"))
     at = sums.where((F.col("ahead") < F.col("rest")) & (F.col("ahead") + F.col("words") >= F.col("rest")))
     return at.groupBy("skey").agg(F.min(digits).alias(f"at{suffix}"), F.min("ahead").alias(f"ahead{suffix}"))
@@ -96,10 +99,9 @@ def mix(documents: DataFrame, plan: MixPlan = MixPlan(), whole: bool = False, ke
     rows = rows.withColumns({"block": digit(1), "sub": digit(4)})
     thin = materialize(rows.drop(*keep), "mix-rows")
     rows = rows if keep else thin
-    found = thin.groupBy("skey").agg(F.sum("size").alias("size")).limit(MAX_SOURCES + 1).collect()
-    if len(found) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    found = sorted(found, key=lambda r: (r["skey"] == "n", r["skey"]))
+    # Sources are a catalogue of feeds; their sizes are the only table that the driver reads.
+    found = sorted(thin.groupBy("skey").agg(F.sum("size").alias("size")).collect(), key=lambda r: (r["skey"] == "n", r["skey"]))
+    sent = F.broadcast if len(found) <= BROADCAST_SOURCES else lambda df: df
     sizes = [int(r["size"]) for r in found]
     wanted = targets(sizes, plan)
     quota = [int(t + 0.5) for t in wanted]
@@ -108,20 +110,20 @@ def mix(documents: DataFrame, plan: MixPlan = MixPlan(), whole: bool = False, ke
     schema = "skey string, source_size long, target double, passes int, rest long, zero long"
     sources = spark.createDataFrame([(r["skey"], s, t, p, x, 0) for r, s, t, p, x in zip(found, sizes, wanted, passes, rest)], schema)
 
-    first = _boundary(thin, "block", "zero", sources, "1")
-    sources = sources.join(F.broadcast(first), "skey", "left").fillna({"at1": -1, "ahead1": 0})
-    within = thin.join(F.broadcast(sources.select("skey", "at1")), "skey").where("block = at1")
-    sources = materialize(sources.join(F.broadcast(_boundary(within, "sub", "ahead1", sources, "2")), "skey", "left").fillna({"at2": -1, "ahead2": 0}), "mix-sources")
+    first = _boundary(thin, "block", "zero", sources, "1", sent)
+    sources = sources.join(sent(first), "skey", "left").fillna({"at1": -1, "ahead1": 0})
+    within = thin.join(sent(sources.select("skey", "at1")), "skey").where("block = at1")
+    sources = materialize(sources.join(sent(_boundary(within, "sub", "ahead1", sources, "2", sent)), "skey", "left").fillna({"at2": -1, "ahead2": 0}), "mix-sources")
 
     # Blocks that each source gives: whole passes, and those of the permuted order up to where its quota ends.
     ends = {r["skey"]: r["at1"] for r in sources.select("skey", "at1").collect()}
     blocks = np.array([p * BLOCKS + ends[r["skey"]] + 1 for p, r in zip(passes, found)], dtype=np.int64)
     runs = np.cumsum(splitting_tree(blocks, plan.shards, _number(plan.seed)), axis=0).T if len(found) else np.zeros((0, plan.shards), dtype=np.int64)
     tree = spark.createDataFrame([(r["skey"], [int(x) for x in run]) for r, run in zip(found, runs)], "skey string, runs array<long>")
-    sources = sources.join(F.broadcast(tree), "skey")
+    sources = sources.join(sent(tree), "skey")
 
     at = F.struct("block", "sub")
-    rows = rows.join(F.broadcast(sources), "skey")
+    rows = rows.join(sent(sources), "skey")
     inside = (F.col("block") == F.col("at1")) & (F.col("sub") == F.col("at2"))
     outer = rows.where(~inside).withColumn("part", F.when(at < F.struct("at1", "at2"), F.col("size")).otherwise(F.lit(0)))
     w = Window.partitionBy("skey").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -130,19 +132,15 @@ def mix(documents: DataFrame, plan: MixPlan = MixPlan(), whole: bool = False, ke
     if whole:
         edge = edge.withColumn("part", F.when(F.col("part") * 2 >= F.col("size"), F.col("size")).otherwise(F.lit(0)))
     out = outer.unionByName(edge)
-    copies = F.col("passes") + F.when(F.col("part") > 0, 1).otherwise(0)
-    copies = F.when(F.col("size") > 0, copies).otherwise(0)
-    units = F.transform(F.sequence(F.lit(0), copies - 1), lambda i: i * BLOCKS + F.col("block"))
-    shards = F.transform(units, lambda u: F.size(F.filter("runs", lambda x: x <= u)))
-    return out.select(
-        "doc_id",
-        "size",
-        "source_size",
-        "target",
-        (F.col("passes") * F.col("size") + F.col("part")).cast("long").alias("taken"),
-        F.when(copies > 0, shards).otherwise(F.array().cast("array<int>")).alias("shards"),
-        *keep,
-    )
+    # The units (passes of a block) that the tree dealt to shards: of the last one, where the quota ends, a document gives its part.
+    on_edge, part = F.col("block") == F.col("at1"), F.col("part")
+    units = F.transform(F.sequence(F.lit(0), F.col("passes")), lambda i: i * BLOCKS + F.col("block"))
+    dealt = F.when(F.col("size") > 0, F.filter(units, lambda u: u < F.element_at("runs", -1))).otherwise(F.array().cast("array<int>"))
+    out = out.withColumn("dealt", dealt)
+    drawn = F.when(on_edge & (part == 0), F.slice("dealt", 1, F.greatest(F.size("dealt") - 1, F.lit(0)))).otherwise(F.col("dealt"))
+    taken = F.size("dealt") * F.col("size") - F.when(on_edge & (F.size("dealt") > 0), F.col("size") - part).otherwise(0)
+    shards = F.transform(drawn, lambda u: F.size(F.filter("runs", lambda x: x <= u)))
+    return out.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), shards.alias("shards"), *keep)
 
 
 def _number(seed: str) -> int:

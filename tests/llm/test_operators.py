@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from lexweave.llm import media, mixing, nearcopies, packing, simhash, toxicity, warc
+from lexweave.llm import media, nearcopies, packing, simhash, toxicity, warc
 
 WORDS = ["alpha", "beta", "gamma", "delta", "eps", "zeta", "eta", "theta", "iota", "kappa", "lam", "mu"]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, length int, score double, rank int"
@@ -159,10 +159,6 @@ def test_toxicity(spark, docs, empty, labels):
     assert toxicity.without_toxic(docs, labels).columns == docs.columns
 
 
-def test_mixing(docs, empty):
-    got = mixing.mix(docs).collect()
-    assert all(0 <= r["taken"] <= 2 * r["size"] for r in got)
-    assert mixing.mix(empty).count() == 0 and mixing.mixed_documents(docs).columns == docs.columns
 
 
 def test_warc(spark):
