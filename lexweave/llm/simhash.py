@@ -6,10 +6,12 @@ one bit or the third ones are equal (else at least 2 + 2 + 1 bits would differ).
 segments; the Hamming balls of radius 1 around the first two segments are enumerated downwards (a set bit
 cleared), as of two segments that differ in one bit, the one with the bit reaches the other.  Matches are verified on
 the complete distance.  A key's members are compared in blocks, and only a spanning forest of each block leaves, never
-all pairs; a key of more than BLOCK members is dealt over pairs of chunks, so no task holds a whole hot key.
+all pairs; a key with a crowd of table rows or ball members is dealt over pairs of chunks, so no task holds a whole hot key.
 
 Defined results: null is empty text; texts of less than four words are one shingle; no words give fingerprint zero,
-linked like any other; equal rows share a fingerprint; an empty table gives no rows.
+linked like any other; equal rows share a fingerprint, and rows that repeat an id with other texts have their own; rows without an id take
+part, and a group without any id has a null component; a component is its smallest id, so ties cannot be; texts of any length are
+read whole, in slices; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -143,14 +145,20 @@ def near_links(nodes: DataFrame) -> DataFrame:
     entries = _entries(nodes)
     segments = F.array(*[F.shiftrightunsigned("fp", s).bitwiseAND(F.lit((1 << n) - 1)) + F.lit(k << 32) for k, (s, n, _) in enumerate(SEGMENTS)])
     hot = nodes.select(F.explode(segments).alias("key")).groupBy("key").count().where(F.col("count") > BLOCK)
-    hot = hot.select("key", F.ceil(F.col("count") / BLOCK).cast("int").alias("chunks"))
-    rows = entries.join(hot, "key", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
-    # A hot key's table is cut into chunks, and so are all that are compared with it: block = table chunk * chunks + chunk.
-    own = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
-    as_table = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: F.struct((own * F.col("chunks") + j).alias("block"), F.lit(False).alias("probe")))
-    as_probe = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda i: F.struct((i * F.col("chunks") + own).alias("block"), F.lit(True).alias("probe")))
+    # The ball members of a hot key's fingerprints crowd the keys below it, so those are cut too; other keys have at most 23 * BLOCK rows.
+    value = F.col("key").bitwiseAND(F.lit((1 << 32) - 1))
+    wide = F.element_at(F.array(*[F.lit(n if radius else 0) for _, n, radius in SEGMENTS]), (F.shiftright("key", 32) + 1).cast("int"))
+    bits = F.transform(F.filter(F.sequence(F.lit(0), F.lit(31)), lambda i: i < wide), lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i))
+    below = hot.select(F.explode(F.filter(bits, lambda x: value.bitwiseAND(x) != 0)).alias("bit"), "key", "count").select((F.col("key") - F.col("bit")).alias("key"), F.lit(0).cast("long").alias("tables"), F.col("count").alias("members"))
+    hot = hot.select("key", F.col("count").alias("tables"), F.col("count").alias("members")).unionByName(below)
+    hot = hot.groupBy("key").agg(F.greatest(F.lit(1), F.ceil(F.sum("tables") / BLOCK)).cast("int").alias("down"), F.ceil(F.sum("members") / BLOCK).cast("int").alias("across"))
+    rows = entries.join(hot, "key", "left").withColumns({"down": F.coalesce("down", F.lit(1)), "across": F.coalesce("across", F.lit(1))})
+    # A cut key's table is dealt over ``down`` chunks, and all that is compared with it over ``across``: block = table chunk * across + chunk.
+    own = lambda n: F.pmod(F.xxhash64("fp"), F.col(n)).cast("int")
+    as_table = F.transform(F.sequence(F.lit(0), F.col("across") - 1), lambda j: F.struct((own("down") * F.col("across") + j).alias("block"), F.lit(False).alias("probe")))
+    as_probe = F.transform(F.sequence(F.lit(0), F.col("down") - 1), lambda i: F.struct((i * F.col("across") + own("across")).alias("block"), F.lit(True).alias("probe")))
     one = F.array(F.struct(F.lit(0).alias("block"), F.col("probe").alias("probe")))
-    dealt = F.when(F.col("chunks") == 1, one).when(F.col("probe"), as_probe).otherwise(F.concat(as_table, as_probe))
+    dealt = F.when(F.col("down") * F.col("across") == 1, one).when(F.col("probe"), as_probe).otherwise(F.concat(as_table, as_probe))
     rows = rows.select("key", F.explode(dealt).alias("d"), "fp", "node").select("key", "d.block", "d.probe", "fp", "node")
     return rows.repartition("key", "block").sortWithinPartitions("key", "block").mapInArrow(_links, "a long, b long")
 
