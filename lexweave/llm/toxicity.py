@@ -126,7 +126,7 @@ def score(documents: DataFrame, labels: DataFrame, keep: list[str] = ()) -> Data
     """doc_id, held_out, score, predicted of every document, with the columns in ``keep``."""
     model = fit(documents, labels)
     index = {w: i for i, w in enumerate(model.words)}
-    rows = documents.select(F.col("doc_id").cast("long"), held_out().alias("held_out"), text_of().alias("__text"), F.struct(F.lit(0), *keep).alias("__kept"))
+    rows = documents.select(F.col("doc_id").cast("long"), F.coalesce(held_out(), F.lit(False)).alias("held_out"), text_of().alias("__text"), F.struct(F.lit(0), *keep).alias("__kept"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
