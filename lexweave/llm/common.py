@@ -23,8 +23,20 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def scratch_root(spark: SparkSession) -> str:
+    """The application's own folder for written intermediate tables; results read them, so their owner drops it after the last use."""
+    return f"{shared_dir(spark)}/lexweave/{spark.sparkContext.applicationId}"
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Deletes what the operators of this application have written; DataFrames that they returned cannot be read any more."""
+    jvm, path = spark.sparkContext._jvm, scratch_root(spark)
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/lexweave/{name}-{uuid.uuid4().hex}"
+    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

@@ -1,16 +1,21 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
 Positives are confirmed toxic texts among the training rows; the unlabelled set is a sample of all texts.  A text is
-the set of its lower-cased words; the FEATURES words whose shares differ most between the two sets (two-proportion
-z) make a binary vector.  A numpy logistic model minimises the class-prior-corrected risk
+the set of its lower-cased words and their beginnings of PREFIXES bytes; the FEATURES of these whose shares differ most between the
+two sets (two-proportion z) make a binary vector.  A numpy logistic model minimises the class-prior-corrected risk
 pi E_p[l+] + max(0, E_u[l-] - pi E_p[l-]); where the bracket falls below zero, its gradient is reversed.  The
 prior pi is the share of toxic rows among the labelled training rows.
 
-Fitting uses at most SAMPLE positives and SAMPLE unlabelled texts, those with the smallest digests of their ids; scores
-are given to every whole text.  Held-out rows (crc32 of the id as text, mod 3, is 1) give no labels.
+The bias is then moved so that THRESHOLD stands MARGIN of the way from the CLEAN quantile of the labelled clean training rows to the
+median of the positives, where that is higher; the order of scores stays that of the fitted model.
 
-Defined results: null is empty text, scored like any other; several labels of an id count as toxic if one does; equal
-texts have equal scores; without positives or unlabelled texts every score is the prior; an empty table gives no rows.
+Fitting uses at most SAMPLE positives, SAMPLE labelled clean and SAMPLE unlabelled texts, those with the smallest digests of their
+ids; scores are given to every whole text.  Held-out rows (crc32 of the id as text, mod 3, is 1) give no labels.
+
+Defined results: null is empty text, scored like any other; several labels of an id count as toxic if one does; labels that are null, or
+of a null id, say nothing; rows without an id are scored, are not held out and give no labels; rows that repeat an id are scored each
+and all stand for its label; equal texts have equal scores, ties of digests go to the smaller id; texts of any length are read whole;
+without positives or unlabelled texts every score is the prior; columns in ``keep`` may have any name; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,6 +32,9 @@ from lexweave.llm.common import text_of
 
 SAMPLE = 20_000
 FEATURES = 512
+PREFIXES = (4, 5, 6, 7)
+CLEAN = 0.999
+MARGIN = 0.05
 THRESHOLD = 0.7
 _SEPARATORS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 0x80 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
@@ -35,6 +43,11 @@ def words_of(text: str) -> set[bytes]:
     return set(text.encode("utf-8", "replace").translate(_SEPARATORS).split())
 
 
+def features_of(text: str) -> set[bytes]:
+    words = words_of(text)
+    return words.union(w[:k] + b"*" for w in words for k in PREFIXES if len(w) > k)
+
+
 def held_out():
     return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 1
 
@@ -46,7 +59,7 @@ class Model:
     bias: float
 
     def score(self, text: str, index: dict[bytes, int]) -> float:
-        at = sorted(index[w] for w in index.keys() & words_of(text))
+        at = sorted(index[w] for w in index.keys() & features_of(text))
         return float(1 / (1 + np.exp(-np.clip(self.bias + self.weights[at].sum(), -30, 30))))
 
 
@@ -70,15 +83,16 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds:
 
 
 def _sampled(documents: DataFrame, labels: DataFrame) -> tuple[DataFrame, float]:
-    """The texts to fit on (text, kind: p or u) and the class prior."""
+    """The texts to fit on (text, kind: p, u or n, labelled clean) and the class prior."""
     known = labels.where("doc_id is not null and toxic is not null").select(F.col("doc_id").cast("long"), F.col("toxic").cast("int").alias("toxic"))
     known = known.where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counts = known.agg(F.count("*").alias("n"), F.sum(F.when(F.col("toxic") == 1, 1).otherwise(0)).alias("k")).first()
     prior = min(0.9, max(0.001, (counts["k"] or 0) / counts["n"])) if counts["n"] else 0.01
     first = lambda df: df.orderBy(F.xxhash64(F.lit("toxicity"), "doc_id"), "doc_id").limit(SAMPLE)
     ids = first(known.where("toxic = 1").select("doc_id")).withColumn("kind", F.lit("p"))
-    ids = ids.unionByName(first(documents.select(F.col("doc_id").cast("long"))).withColumn("kind", F.lit("u")))
-    # At most 2 * SAMPLE ids.
+    ids = ids.unionByName(first(known.where("toxic = 0").select("doc_id")).withColumn("kind", F.lit("n")))
+    ids = ids.unionByName(first(documents.select(F.col("doc_id").cast("long")).where("doc_id IS NOT NULL")).withColumn("kind", F.lit("u")))
+    # At most 3 * SAMPLE ids.
     return documents.select(F.col("doc_id").cast("long"), text_of().alias("text")).join(F.broadcast(ids), "doc_id").select("text", "kind"), prior
 
 
@@ -89,11 +103,11 @@ def fit(documents: DataFrame, labels: DataFrame) -> Model:
     def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for text, kind in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                found = [b"", *words_of(text)]  # the empty word counts texts
+                found = [b"", *features_of(text)]  # the empty word counts texts
                 p = int(kind == "p")
                 yield pa.RecordBatch.from_pydict({"word": found, "p": [p] * len(found), "u": [1 - p] * len(found)}, pa.schema([("word", pa.binary()), ("p", pa.int64()), ("u", pa.int64())]))
 
-    counted = sample.mapInArrow(shares, "word binary, p long, u long").groupBy("word").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
+    counted = sample.where("kind <> 'n'").mapInArrow(shares, "word binary, p long, u long").groupBy("word").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
     counted = counted.persist()
     total = counted.where("length(word) = 0").first()
     if total is None or not total["p"] or not total["u"]:
@@ -113,13 +127,22 @@ def fit(documents: DataFrame, labels: DataFrame) -> Model:
         for b in batches:
             bits = np.zeros((b.num_rows, len(words)), dtype=np.uint8)
             for i, text in enumerate(b.column(0).to_pylist()):
-                bits[i, [index[w] for w in index.keys() & words_of(text)]] = 1
+                bits[i, [index[w] for w in index.keys() & features_of(text)]] = 1
             packed = [r.tobytes() for r in np.packbits(bits, axis=1)]
             yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary()), b.column(1)], names=["bits", "kind"])
 
-    rows = sorted((r["kind"], bytes(r["bits"])) for r in sample.mapInArrow(vectors, "bits binary, kind string").collect())  # at most 2 * SAMPLE rows of FEATURES bits
+    rows = sorted((r["kind"], bytes(r["bits"])) for r in sample.mapInArrow(vectors, "bits binary, kind string").collect())  # at most some 3 * SAMPLE rows of FEATURES bits
     matrix = lambda kind: np.unpackbits(np.frombuffer(b"".join(x for k, x in rows if k == kind), dtype=np.uint8).reshape(-1, (len(words) + 7) // 8), axis=1, count=len(words))
-    return Model(words, *fit_nnpu(matrix("p"), matrix("u"), prior))
+    weights, bias = fit_nnpu(matrix("p"), matrix("u"), prior)
+    return Model(words, weights, bias + shift(matrix("p") @ weights + bias, matrix("n") @ weights + bias))
+
+
+def shift(positive: np.ndarray, clean: np.ndarray) -> float:
+    """What moves the threshold between the logits of labelled clean and of positive texts; nothing where they are not apart."""
+    if not len(clean):
+        return 0.0
+    low, high = np.quantile(clean, CLEAN), np.median(positive)
+    return float(np.log(THRESHOLD / (1 - THRESHOLD)) - (low + MARGIN * (high - low))) if low < high else 0.0
 
 
 def score(documents: DataFrame, labels: DataFrame, keep: list[str] = ()) -> DataFrame:

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from lexweave.llm import media, nearcopies, packing, simhash, toxicity, warc
+from lexweave.llm import media, nearcopies, packing, simhash, warc
 
 WORDS = ["alpha", "beta", "gamma", "delta", "eps", "zeta", "eta", "theta", "iota", "kappa", "lam", "mu"]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, length int, score double, rank int"
@@ -149,14 +149,6 @@ def test_difference_hash_sees_all_rows_and_compares_means():
         assert bits == 1 << (63 - 8 * (row // 8))
 
 
-def test_toxicity(spark, docs, empty, labels):
-    rng = np.random.default_rng(4)
-    rows = [(i, " ".join(rng.choice(WORDS, 30)) + (" vile nasty" if i % 4 == 0 else "")) for i in range(400)]
-    marks = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "doc_id long, toxic int")
-    got = toxicity.score(spark.createDataFrame(rows, "doc_id long, text string"), marks).where("held_out").collect()
-    assert np.mean([r["predicted"] == int(r["doc_id"] % 4 == 0) for r in got]) > 0.95
-    assert toxicity.score(docs, labels).count() == docs.count() and toxicity.score(empty, labels).count() == 0
-    assert toxicity.without_toxic(docs, labels).columns == docs.columns
 
 
 
