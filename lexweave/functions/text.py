@@ -6,17 +6,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Patterns, prices and thresholds that results depend on.
-LEGAL_WORDS = ["whereas", "hereby", "herein", "thereof", "party", "parties", "agreement", "contract", "shall", "liability", "jurisdiction", "governing law", "witnesseth"]
-LEGAL_PATTERNS = [rf"(?i)\b{w}\b" for w in LEGAL_WORDS] + [r"(?i)\bindemnif"]
+LEGAL_PATTERNS = [
+    r"(?i)\bwhereas\b", r"(?i)\bhereby\b", r"(?i)\bherein\b", r"(?i)\bthereof\b", r"(?i)\bindemnif", r"(?i)\bparty\b", r"(?i)\bparties\b", r"(?i)\bagreement\b", r"(?i)\bcontract\b",
+    r"(?i)\bshall\b", r"(?i)\bliability\b", r"(?i)\bjurisdiction\b", r"(?i)\bgoverning law\b", r"(?i)\bwitnesseth\b",
+]
 SENTENCE_BOUNDARY = r"(?<=[.!?])\s+"
 SECRET = r"(?i)(api[_-]?key|secret|token|password)\s*[:=]\s*\S+"
-BEARER = r"(?i)Bearer \S+"
+BEARER = r"(?i)Bearer\s+\S+"
 PATHS = r"(?:/[A-Za-z0-9_.@+-]+){2,}|(?:[A-Za-z]:\\)[^\s]+"
 PROTECTED = r"\b\d{1,2}[/.-]\d{1,2}[/.-]\d{2,4}\b|\b\d+(?:[.,]\d+)?%|\$\s?\d+(?:[.,]\d+)?|\b\d+(?:[.,]\d+)?\b"
 PROPER_NOUNS = r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\b"
 SLIDE_MARKER = r"(?m)^\s*--\s*0*(\d+)\s+of\s+\d+\s*--\s*$"
-OCR_LANGUAGE_DEFAULT = "en"
-RTL_LANGUAGES = ["ar", "he"]
 
 
 def stripped(text: Column) -> Column:

@@ -25,17 +25,15 @@ REVIEW_DEFAULT = "A significant translation difference may need your review."
 
 
 def completed_prefix(chunks: DataFrame, memo: DataFrame, keys: list[str]) -> DataFrame:
-    """Chunks (keys, chunk_index, source_hash) before the first that the memo lacks, with its text."""
-    joined = chunks.join(memo.select(*keys, "chunk_index", "source_hash", F.col("text").alias("memo_text")), [*keys, "chunk_index", "source_hash"], "left")
-    gaps = joined.where("memo_text is null").groupBy(*keys).agg(F.min("chunk_index").alias("gap"))
-    out = joined.join(gaps, keys, "left").where("gap is null or chunk_index < gap")
+    """Chunks (keys, chunk_index, source_hash, llm, pass_num) before the first that the memo lacks for the same text, model and pass, with its text."""
+    on = [*keys, "chunk_index", "source_hash", "llm", "pass_num"]
+    joined = chunks.join(memo.select(*on, F.col("text").alias("memo_text")), on, "left")
+    run = [*keys, "llm", "pass_num"]
+    gaps = joined.where("memo_text is null").groupBy(*run).agg(F.min("chunk_index").alias("gap"))
+    out = joined.join(gaps, run, "left").where("gap is null or chunk_index < gap")
     return out.drop("gap")
 
 
-def pending(chunks: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
-    return chunks.join(done, [*keys, "chunk_index"], "left_anti")
-
-
 def alerts(text: Column, pages: Column, size: Column, encoding_loss: Column) -> Column:
     """An array of the codes of a text's extraction alerts."""
     n = F.coalesce(F.length(text), F.lit(0))
@@ -96,8 +94,10 @@ def top_warnings(issues: DataFrame) -> DataFrame:
 
 def review_items(found: DataFrame, key: str) -> DataFrame:
     """key, items: explanations of the first unresolved breaking discrepancies by pos, and how many more there are."""
-    w = Window.partitionBy(key)
-    rows = found.where("severity = 'breaking' and not resolved").withColumns({"nth": F.row_number().over(w.orderBy("pos")), "n": F.count("*").over(w)}).where(F.col("nth") <= MOST_REVIEW_ITEMS)
+    found = found.where("severity = 'breaking' and not resolved")
+    total = found.groupBy(key).agg(F.count("*").alias("n"))
+    w = Window.partitionBy(key).orderBy("pos")
+    rows = found.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= MOST_REVIEW_ITEMS).join(total, key)
     text = F.coalesce(F.nullif(F.col("explanation"), F.lit("")), F.lit(REVIEW_DEFAULT))
     items = F.transform(F.array_sort(F.collect_list(F.struct("nth", text.alias("t")))), lambda x: x["t"])
     more = F.max("n") - MOST_REVIEW_ITEMS
@@ -136,10 +136,11 @@ def qa_rows(rows: DataFrame, golden: DataFrame) -> DataFrame:
     checks = {
         "extract_ok": F.col("error").isNull(),
         "min_chars_ok": F.coalesce(F.coalesce("chars", F.lit(0)) >= F.coalesce("min_chars", F.lit(1)), F.lit(False)),
+        "pages_ok": (F.coalesce("pages", F.lit(1)) > 0) if "pages" in rows.columns else F.lit(True),
         "hash_ok": F.col("golden_hash").isNull() | F.coalesce(F.col("hash") == F.col("golden_hash"), F.lit(False)),
     }
     out = out.withColumns(checks)
-    return out.withColumn("passed", F.col("extract_ok") & F.col("min_chars_ok") & F.col("hash_ok"))
+    return out.withColumn("passed", F.col("extract_ok") & F.col("min_chars_ok") & F.col("pages_ok") & F.col("hash_ok"))
 
 
 def qa_summary(rows: DataFrame) -> DataFrame:
@@ -147,3 +148,30 @@ def qa_summary(rows: DataFrame) -> DataFrame:
     out = rows.agg(F.count("*").alias("total"), F.coalesce(F.sum(F.col("passed").cast("long")), F.lit(0)).alias("passed"))
     rate = F.when(F.col("total") == 0, 100.0).otherwise(F.round(100.0 * F.col("passed") / F.greatest("total", F.lit(1)), 1))
     return out.select("total", "passed", (F.col("total") - F.col("passed")).alias("failed"), rate.alias("pass_rate"))
+
+
+def issues_of_alerts(rows: DataFrame) -> DataFrame:
+    """Issues (job_id, code, severity, message, stage, pos) of rows (job_id, alerts, an array of codes)."""
+    code = F.col("code")
+    severity = F.when(code == "EMPTY_EXTRACTION", "error").when(code == "LARGE_INPUT_FILE", "info").otherwise("warn")
+    out = rows.select("job_id", F.posexplode("alerts").alias("pos", "code"))
+    return out.select("job_id", "code", severity.alias("severity"), F.concat(F.lit("Extraction: "), F.lower(F.replace(code, F.lit("_"), F.lit(" ")))).alias("message"), F.lit("extracting").alias("stage"), F.col("pos").cast("long").alias("pos"))
+
+
+def job_summary(jobs: DataFrame, issues: DataFrame, found: DataFrame) -> DataFrame:
+    """job_id, headline, warnings, items of jobs (job_id, status, no_translate, skipped, target_lang), their issues and discrepancies."""
+    head = headline(F.col("status"), F.col("no_translate"), F.col("skipped"), F.col("target_lang"))
+    none = F.array().cast("array<string>")
+    out = jobs.join(top_warnings(issues), "job_id", "left").join(review_items(found, "job_id"), "job_id", "left")
+    return out.select("job_id", head.alias("headline"), F.coalesce("warnings", none).alias("warnings"), F.coalesce("items", none).alias("items"))
+
+
+def results_report(jobs: DataFrame, issues: DataFrame) -> DataFrame:
+    """job_id, markdown: outcome, languages and a table of the issues by pos; a job's issues are one cell, as its report is one text."""
+    cell = lambda c: F.replace(F.coalesce(F.col(c), F.lit("")), F.lit("|"), F.lit("\\|"))
+    line = F.concat(F.lit("| "), cell("severity"), F.lit(" | "), cell("code"), F.lit(" | "), cell("message"), F.lit(" |"))
+    lines = issues.groupBy("job_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", line.alias("line")))), lambda x: x["line"]).alias("lines"))
+    table = F.when(F.size("lines") > 0, F.concat(F.lit("\n\n## Issues\n\n| severity | code | message |\n| --- | --- | --- |\n"), F.array_join("lines", "\n"))).otherwise("")
+    head = F.concat(F.lit("# Results\n\n**Outcome:** "), headline(F.col("status"), F.col("no_translate"), F.col("skipped"), F.col("target_lang")))
+    language = F.concat(F.lit("\n\n**Language:** "), F.col("source_lang"), F.lit(" → "), F.col("target_lang"))
+    return jobs.join(lines, "job_id", "left").select("job_id", F.concat(head, F.coalesce(language, F.lit("")), F.coalesce(table, F.lit("")), F.lit("\n")).alias("markdown"))

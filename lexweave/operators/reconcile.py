@@ -75,7 +75,7 @@ def discrepancies(chunks: DataFrame, complete: Completion, lang: str = "en", thr
     other = rows.where("not equivalent")
     other = other.withColumn("translation_3", complete(third_pass_system(code), F.when(F.col("source_span") != "", F.col("source_span")).otherwise(F.col("source"))))
     other = consensus(other, "translation_1", "translation_2", "translation_3")
-    ask = F.concat(F.lit("Source span:\n"), "source_span", *[x for k in (1, 2, 3) for x in (F.lit(f"\n\nVariant {k}:\n"), F.col(f"translation_{k}"))])
+    ask = F.concat(F.lit("Source span:\n"), F.when(F.col("source_span") != "", F.col("source_span")).otherwise(F.col("source")), *[x for k in (1, 2, 3) for x in (F.lit(f"\n\nVariant {k}:\n"), F.col(f"translation_{k}"))])
     hard = F.col("unclear") | (F.col("severity") == "breaking")
     other = other.withColumn("judged", F.when(hard, complete(adjudication_system(code), ask)))
     unparsed = answer_object(F.col("judged")).isNull()

@@ -91,7 +91,7 @@ READERS = {"docx": _docx, "odt": _odt, "epub": _epub}
 
 def office_files(spark: SparkSession, path: str) -> DataFrame:
     """path, bytes, text, error of the DOCX, ODT and EPUB files under a folder."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{docx,odt,epub}").option("recursiveFileLookup", "true").load(path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{[dD][oO][cC][xX],[oO][dD][tT],[eE][pP][uU][bB]}").option("recursiveFileLookup", "true").load(path)
 
     @F.pandas_udf("text string, error string")
     def parse(paths: pd.Series, contents: pd.Series) -> pd.DataFrame:
@@ -100,7 +100,7 @@ def office_files(spark: SparkSession, path: str) -> DataFrame:
             try:
                 with zipfile.ZipFile(io.BytesIO(content)) as z:
                     rows.append((READERS[p.rsplit(".", 1)[1].lower()](z), None))
-            except (zipfile.BadZipFile, ElementTree.ParseError, KeyError, ValueError) as e:
+            except Exception as e:  # noqa: BLE001  damaged and encrypted members fail in many ways, and are all this file's own
                 rows.append((None, f"{type(e).__name__}: {e}"))
         return pd.DataFrame(rows, columns=["text", "error"])
 
