@@ -16,7 +16,7 @@ JOB_ID = r"^[a-zA-Z0-9_-]{1,128}\n?$"
 BLOCKED = ["127.0.0.0/8", "10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16", "169.254.0.0/16", "::1/128", "fc00::/7", "fe80::/10"]
 LOCAL_HOSTS = ["localhost", "localhost.localdomain"]
 SEVERITIES = ["debug", "info", "warn", "error"]
-HTTP_DATE = "EEE, dd MMM yyyy HH:mm:ss 'GMT'"
+HTTP_DATE = "dd MMM yyyy HH:mm:ss"
 
 
 def job_id_ok(job: Column) -> Column:
@@ -56,18 +56,22 @@ def webhook_error(url: Column, https_only: bool = False, resolved: Column | None
     return out if resolved is None else out.when(F.exists(resolved, blocked_address), "address").when(F.size(resolved) == 0, "unresolved")
 
 
-@F.pandas_udf("string")
-def signature(bodies: pd.Series, secrets: pd.Series) -> pd.Series:
-    """sha256=<hex> of HMAC-SHA256, which has no built-in function."""
+def _signed(bodies: pd.Series, secrets: pd.Series) -> pd.Series:
     return pd.Series([None if b is None or not s else "sha256=" + hmac.new(s.encode(), b.encode(), hashlib.sha256).hexdigest() for b, s in zip(bodies, secrets)], dtype="object")
 
 
+def signature(body: Column, secret: Column) -> Column:
+    """sha256=<hex> of HMAC-SHA256, which has no built-in function."""
+    return F.pandas_udf(_signed, "string")(body, secret)
+
+
 def retry_after(value: Column, now: Column | None = None) -> Column:
     """Seconds that a Retry-After header asks for (a number or an HTTP date), at least 0; null if it says nothing."""
     v = stripped(value)
     now = F.current_timestamp() if now is None else now
     seconds = F.when(v.rlike(r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$"), v.cast("double"))
-    date = F.try_to_timestamp(v, F.lit(HTTP_DATE))
+    # The weekday says nothing more; times are UTC, as the session's time zone has to be.
+    date = F.try_to_timestamp(F.nullif(F.regexp_extract(v, r"^[A-Z][a-z]{2}, (\d{2} [A-Z][a-z]{2} \d{4} \d{2}:\d{2}:\d{2}) GMT$", 1), F.lit("")), F.lit(HTTP_DATE))
     return F.greatest(F.lit(0.0), F.coalesce(seconds, F.unix_timestamp(date) - F.unix_timestamp(now)).cast("double")) + F.when(seconds.isNull() & date.isNull(), F.lit(None).cast("double")).otherwise(0.0)
 
 

@@ -19,6 +19,11 @@ PROPER_NOUNS = r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\b"
 SLIDE_MARKER = r"(?m)^\s*--\s*0*(\d+)\s+of\s+\d+\s*--\s*$"
 
 
+def let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often it is used: expressions are trees, and repeats multiply in them."""
+    return F.transform(F.array(value), use)[0]
+
+
 def stripped(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexweave.functions.text import SENTENCE_BOUNDARY, normalize, stripped
+from lexweave.functions.text import SENTENCE_BOUNDARY, let, normalize, stripped
 
 # Default sizes.
 MAX_CHARS = 2500
@@ -67,16 +67,21 @@ def reassemble(chunks: DataFrame, key: str) -> DataFrame:
 
 def document_summary(text: Column) -> Column:
     """The beginnings of the first and last chunk."""
-    c = chunk_array(text, SAMPLE_CHUNK, 0)
-    head = lambda i: F.left(F.element_at(c, i)["text"], F.lit(SUMMARY_PART))
-    made = F.when(F.size(c) == 0, text).when(F.size(c) == 1, head(1)).otherwise(F.concat(head(1), F.lit("\n...\n"), head(-1)))
-    return F.left(made, F.lit(SUMMARY_CHARS))
+
+    def made(c: Column) -> Column:
+        head = lambda i: F.left(F.element_at(c, i)["text"], F.lit(SUMMARY_PART))
+        return F.when(F.size(c) == 0, text).when(F.size(c) == 1, head(1)).otherwise(F.concat(head(1), F.lit("\n...\n"), head(-1)))
+
+    return F.left(let(chunk_array(text, SAMPLE_CHUNK, 0), made), F.lit(SUMMARY_CHARS))
 
 
 def language_sample(text: Column) -> Column:
     """The first, middle and last chunk."""
-    c = F.transform(chunk_array(text, SAMPLE_CHUNK, 0), lambda x: x["text"])
-    n = F.size(c)
-    middle = F.when(n > 2, F.slice(c, F.floor(n / 2).cast("int") + 1, 1)).otherwise(F.slice(c, 1, 0))
-    last = F.when(n > 1, F.slice(c, -1, 1)).otherwise(F.slice(c, 1, 0))
-    return F.left(F.array_join(F.concat(F.slice(c, 1, 1), middle, last), "\n\n"), F.lit(SAMPLE_CHARS))
+
+    def made(c: Column) -> Column:
+        n = F.size(c)
+        middle = F.when(n > 2, F.slice(c, F.floor(n / 2).cast("int") + 1, 1)).otherwise(F.slice(c, 1, 0))
+        last = F.when(n > 1, F.slice(c, -1, 1)).otherwise(F.slice(c, 1, 0))
+        return F.array_join(F.transform(F.concat(F.slice(c, 1, 1), middle, last), lambda x: x["text"]), "\n\n")
+
+    return F.left(let(chunk_array(text, SAMPLE_CHUNK, 0), made), F.lit(SAMPLE_CHARS))

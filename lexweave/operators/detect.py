@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lexweave.functions.text import legal_hits, stripped
+from lexweave.functions.text import legal_hits, let, stripped
 from lexweave.operators.chunking import language_sample
 from lexweave.operators.completion import Completion, language_answer
 
@@ -37,9 +37,13 @@ SCRIPT_SHARE = 0.3
 
 def scores(sample: Column) -> Column:
     """Array of (n, lang): how many of a sample's words are a language's function words, the most first; ties in order of codes."""
-    words = F.split(F.lower(sample), r"[^\p{L}]+")
-    found = [F.struct((-F.size(F.filter(words, lambda w, own=own: w.isin(own)))).alias("n"), F.lit(lang).alias("lang")) for lang, own in sorted(WORDS.items())]
-    return F.transform(F.array_sort(F.array(*found)), lambda x: F.struct((-x["n"]).alias("n"), x["lang"].alias("lang")))
+
+    def count(words: Column) -> Column:
+        among = lambda own: lambda w: w.isin(own)
+        return F.array_sort(F.array(*[F.struct((-F.size(F.filter(words, among(own)))).alias("n"), F.lit(lang).alias("lang")) for lang, own in sorted(WORDS.items())]))
+
+    found = let(F.split(F.lower(sample), r"[^\p{L}]+"), count)
+    return F.transform(found, lambda x: F.struct((-x["n"]).alias("n"), x["lang"].alias("lang")))
 
 
 def rule(sample: Column) -> Column:
@@ -47,31 +51,38 @@ def rule(sample: Column) -> Column:
 
     A script's confidence is its share of the letters; that of words is the share of the best language in all function words found.
     """
+    answer = lambda lang, confidence: F.struct(lang.alias("lang"), confidence.cast("double").alias("confidence"))
     letters = F.greatest(F.regexp_count(sample, F.lit(r"\p{L}")), F.lit(1))
-    out = F.when(F.lit(False), F.struct(F.lit("").alias("lang"), F.lit(0.0).alias("confidence")))
-    for lang, pattern in SCRIPTS.items():
-        share = F.regexp_count(sample, F.lit(pattern)) / letters
-        out = out.when(share >= SCRIPT_SHARE, F.struct(F.lit(lang).alias("lang"), F.least(F.lit(1.0), share).alias("confidence")))
-    ranked = scores(sample)
-    total = F.aggregate(ranked, F.lit(0), lambda s, x: s + x["n"])
-    return out.when(total > 0, F.struct(ranked[0]["lang"].alias("lang"), (ranked[0]["n"] / total).alias("confidence")))
+    shares = F.array(*[F.struct(F.lit(lang).alias("lang"), (F.regexp_count(sample, F.lit(pattern)) / letters).alias("share")) for lang, pattern in SCRIPTS.items()])
+    script = let(F.filter(shares, lambda x: x["share"] >= SCRIPT_SHARE), lambda x: F.when(F.size(x) > 0, answer(x[0]["lang"], F.least(F.lit(1.0), x[0]["share"]))))
+
+    def best(ranked: Column) -> Column:
+        total = F.aggregate(ranked, F.lit(0), lambda s, x: s + x["n"])
+        return F.when(total > 0, answer(ranked[0]["lang"], ranked[0]["n"] / total))
+
+    return F.coalesce(script, let(scores(sample), best))
 
 
-def language(text: Column, complete: Completion | None = None, threshold: float = CONFIDENT, sample: Column | None = None) -> Column:
+def language(text: Column, complete: Completion | None = None, threshold: float = CONFIDENT) -> Column:
     """(lang, confidence, used_ai) of a text, from its first, middle and last chunk.
 
     Short samples and those without any sign go to the completion (confidence 0.5), or are unknown (0) without one; an unsure rule
     asks the completion but keeps its own confidence, and without one its own language.
     """
-    sample = language_sample(text) if sample is None else sample
-    found = rule(sample)
     answer = lambda lang, confidence, ai: F.struct(lang.alias("lang"), confidence.cast("double").alias("confidence"), F.lit(ai).alias("used_ai"))
-    nothing = (F.length(stripped(sample)) < SHORT) | found.isNull()
-    if complete is None:
-        return F.when(nothing, answer(F.lit("unknown"), F.lit(0.0), False)).otherwise(answer(found["lang"], found["confidence"], False))
-    asked = language_answer(complete(F.lit("Name the main language of the text. Answer with its two-letter ISO 639-1 code only."), F.left(sample, F.lit(AI_SAMPLE))))
-    sure = answer(found["lang"], found["confidence"], False)
-    return F.when(nothing, answer(asked, F.lit(AI_CONFIDENCE), True)).when(found["confidence"] >= threshold, sure).otherwise(answer(asked, found["confidence"], True))
+    system = F.lit("Name the main language of the text. Answer with its two-letter ISO 639-1 code only.")
+    sample = language_sample(text)
+    # A client's answer is no part of a lambda, so the prompt is made beside it.
+    asked = None if complete is None else language_answer(complete(system, F.left(sample, F.lit(AI_SAMPLE))))
+    found = let(sample, lambda s: F.when(F.length(stripped(s)) >= SHORT, rule(s)))
+    if asked is None:
+        return let(found, lambda f: F.when(f.isNull(), answer(F.lit("unknown"), F.lit(0.0), False)).otherwise(answer(f["lang"], f["confidence"], False)))
+    return let(
+        F.struct(found.alias("found"), asked.alias("asked")),
+        lambda x: F.when(x["found"].isNull(), answer(x["asked"], F.lit(AI_CONFIDENCE), True))
+        .when(x["found"]["confidence"] >= threshold, answer(x["found"]["lang"], x["found"]["confidence"], False))
+        .otherwise(answer(x["asked"], x["found"]["confidence"], True)),
+    )
 
 
 def source_mismatch(override: Column, detected: Column) -> Column:
@@ -81,13 +92,16 @@ def source_mismatch(override: Column, detected: Column) -> Column:
 
 def legal(text: Column, complete: Completion | None = None) -> Column:
     """(is_legal, used_ai, parse_failed): three hits are legal, none is not; one or two are confirmed, or legal from two on."""
-    hits = legal_hits(text)
     answer = lambda is_legal, ai, failed: F.struct(is_legal.alias("is_legal"), F.lit(ai).alias("used_ai"), failed.alias("parse_failed"))
     no = F.lit(False)
-    settled = F.when(hits >= LEGAL_HITS, answer(F.lit(True), False, no)).when(hits == 0, answer(no, False, no))
     if complete is None:
-        return settled.otherwise(answer(hits >= 2, False, no))
+        return let(legal_hits(text), lambda hits: answer(hits >= 2, False, no))
     raw = complete(F.lit('Is this document mainly a legal contract, agreement or similar instrument? Answer with JSON: {"is_legal": bool, "confidence": number}.'), F.left(text, F.lit(AI_SAMPLE)))
     found = F.try_parse_json(F.nullif(F.regexp_extract(raw, LEGAL_OBJECT, 0), F.lit("")))
     said = F.coalesce(~F.try_variant_get(found, "$.is_legal", "string").isin("", "false", "0", "0.0", "[]", "{}"), no)
-    return settled.when(found.isNull(), answer(hits >= 2, True, F.lit(True))).otherwise(answer(said, True, no))
+
+    def decide(x: Column) -> Column:
+        settled = F.when(x["hits"] >= LEGAL_HITS, answer(F.lit(True), False, no)).when(x["hits"] == 0, answer(no, False, no))
+        return settled.when(~x["parsed"], answer(x["hits"] >= 2, True, F.lit(True))).otherwise(answer(x["said"], True, no))
+
+    return let(F.struct(legal_hits(text).alias("hits"), found.isNotNull().alias("parsed"), said.alias("said")), decide)

@@ -4,24 +4,27 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexweave.functions import formats as R
+from lexweave.functions import rules as U
 from lexweave.functions import text as T
+from lexweave.operators import detect as D
+from lexweave.operators import glossary as G
 from lexweave.operators import jobs as J
 from lexweave.operators.chunking import chunk, document_summary, language_sample, reassemble
 from lexweave.operators.compare import flagged, sentence_pairs
 from lexweave.operators.completion import mock
 from lexweave.operators.reconcile import discrepancies, resolved_chunks
-from lexweave.sources.tables import html_text, table
+from lexweave.operators.translate import LEGAL_NOTE
+from lexweave.operators.translate import pending as pending_rows
+from lexweave.operators.translate import translate_documents
+from lexweave.sources.tables import ENTITIES, html_text, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-# Dollars per million tokens in and out.
-PRICES = [("openai:gpt-4o", 2.5, 10.0), ("openai:gpt-4o-mini", 0.15, 0.6), ("google:gemini-2.5-pro", 1.25, 10.0), ("google:gemini-2.5-flash", 0.3, 2.5)]
-
 
 def query(oracle: str | None = None):
     def add(f):
@@ -78,14 +81,20 @@ def sentence_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(r"""WITH s AS (SELECT doc_id, CAST(i AS INTEGER) AS sentence_index, s[i + 1] AS sentence FROM (SELECT doc_id, """ + _SENTENCES + r""" AS s FROM documents), unnest(range(len(s))) AS u(i))
-SELECT doc_id, sentence_index, sentence, lag(sentence) OVER w AS before, lead(sentence) OVER w AS after FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY sentence_index)""")
+SELECT doc_id, sentence_index, sentence, concat_ws(' ', lag(sentence, 2) OVER w, lag(sentence) OVER w) AS before, concat_ws(' ', lead(sentence) OVER w, lead(sentence, 2) OVER w) AS after
+FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY sentence_index)""")
 def neighbour_context(spark: SparkSession, sf: str) -> DataFrame:
-    w = Window.partitionBy("doc_id").orderBy("sentence_index")
-    rows = sentence_explode(spark, sf)
-    return rows.select("doc_id", "sentence_index", "sentence", F.lag("sentence").over(w).alias("before"), F.lead("sentence").over(w).alias("after"))
+    """Two sentences on either side; they lie in the sentence's own array, so nothing is shuffled."""
+    rows = _docs(spark, sf).select("doc_id", T.sentences(F.col("text")).alias("all"))
+    near = lambda low, n: F.array_join(F.slice("all", low, n), " ")
+    i = F.col("sentence_index")
+    rows = rows.select("doc_id", "all", F.posexplode("all").alias("sentence_index", "sentence"))
+    before = F.when(i > 0, near(F.greatest(i - 1, F.lit(1)), F.least(i, F.lit(2)))).otherwise("")
+    after = F.when(i + 1 < F.size("all"), near(F.least(i + 2, F.size("all")), F.lit(2))).otherwise("")
+    return rows.select("doc_id", "sentence_index", "sentence", before.alias("before"), after.alias("after"))
 
 
-@query(r"""SELECT doc_id, regexp_replace(regexp_replace(text, '(?i)(api[_-]?key|secret|token|password)\s*[:=]\s*\S+', '<redacted>', 'g'), '(?i)Bearer \S+', '<redacted>', 'g') AS text FROM documents""")
+@query(r"""SELECT doc_id, regexp_replace(regexp_replace(text, '(?i)(api[_-]?key|secret|token|password)\s*[:=]\s*\S+', '<redacted>', 'g'), '(?i)Bearer\s+\S+', '<redacted>', 'g') AS text FROM documents""")
 def redact_secrets(spark: SparkSession, sf: str) -> DataFrame:
     return _docs(spark, sf).select("doc_id", T.redact_secrets(F.col("text")).alias("text"))
 
@@ -96,23 +105,24 @@ def mask_paths(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", T.mask_paths(F.col("url")).alias("detail"))
 
 
-@query(f"""SELECT p.selector, CAST(sum(t) AS BIGINT) AS tokens, round(sum(t) * (p.rate_in + p.rate_out) / 1000000, 6) AS cost
-FROM (SELECT {_TOKENS} AS t FROM documents), (VALUES {', '.join(f"('{s}', {i}::DOUBLE, {o}::DOUBLE)" for s, i, o in PRICES)}) AS p(selector, rate_in, rate_out) GROUP BY p.selector, p.rate_in, p.rate_out""")
+@query(f"""SELECT p.selector, t.tokens, round_even((t.tokens * p.rate_in + t.tokens * p.rate_out) / 1000000, 6) AS cost
+FROM (SELECT CAST(sum({_TOKENS}) AS BIGINT) AS tokens FROM documents) AS t, (VALUES {', '.join(f"('{s}', {i}::DOUBLE, {o}::DOUBLE)" for s, (i, o) in R.PRICES.items())}) AS p(selector, rate_in, rate_out)""")
 def token_cost(spark: SparkSession, sf: str) -> DataFrame:
-    prices = F.array(*[F.struct(F.lit(s).alias("selector"), F.lit(i + o).alias("rate")) for s, i, o in PRICES])
+    """What the corpus would cost if translations were as long as their sources."""
     total = _docs(spark, sf).agg(F.sum(T.token_estimate(F.col("text"))).alias("tokens"))
-    return total.select(F.explode(prices).alias("p"), "tokens").select("p.selector", "tokens", F.round(F.col("tokens") * F.col("p.rate") / 1000000, 6).alias("cost"))
+    rows = total.select(F.explode(F.array(*map(F.lit, R.PRICES))).alias("selector"), "tokens")
+    return rows.withColumn("cost", R.cost(F.col("selector"), F.col("tokens"), F.col("tokens")))
 
 
-@query("""SELECT doc_id, '[' || lang || '] ' || text AS translation, length(text) AS n_chars_in FROM documents""")
-def mock_translate_quick(spark: SparkSession, sf: str) -> DataFrame:
-    return _docs(spark, sf).select("doc_id", F.concat(F.lit("["), "lang", F.lit("] "), "text").alias("translation"), F.length("text").cast("long").alias("n_chars_in"))
+_PROMPT = f"""'Source language: ' || lang || '. Target language: English (en).' || CASE WHEN {_HITS} >= 2 THEN '{LEGAL_NOTE}' ELSE '' END || chr(10)
+|| 'Document summary:' || chr(10) || regexp_replace(substr({_STRIP}, 1, 250), '^\\s+|\\s+$', '', 'g') || chr(10) || chr(10) || 'Chunk 1' || chr(10) || chr(10) || {_STRIP}"""
 
 
-@query(r"""SELECT doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') = '' AS empty_text, length(text) < 40 AS short_text, contains(text, chr(65533)) AS encoding_loss, octet_length(encode(text)) > 20000000 AS too_large FROM documents""")
-def extraction_alerts(spark: SparkSession, sf: str) -> DataFrame:
-    t = F.col("text")
-    return _docs(spark, sf).select("doc_id", (T.stripped(t) == "").alias("empty_text"), (F.length(t) < 40).alias("short_text"), F.contains(t, F.lit("�")).alias("encoding_loss"), (F.octet_length(t) > 20_000_000).alias("too_large"))
+@query(f"SELECT doc_id, '[EN] ' || {_PROMPT} || chr(10) AS text FROM documents WHERE {_STRIP} <> ''")
+def mock_translate_quick(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents chunked, translated by the mock, which repeats its prompt, and joined again; the documents are one paragraph, so one chunk."""
+    rows = _docs(spark, sf).select("doc_id", "text", F.col("lang").alias("source_lang"), F.lit("en").alias("target_lang"), D.legal(F.col("text"))["is_legal"].alias("is_legal"), F.lit("").alias("context"))
+    return translate_documents(rows, mock(), "doc_id", "mock")
 
 
 @query("SELECT doc_id, '# ' || source || chr(10) || chr(10) || '---' || chr(10) || chr(10) || text AS markdown FROM documents")
@@ -120,10 +130,27 @@ def export_compose(spark: SparkSession, sf: str) -> DataFrame:
     return _docs(spark, sf).select("doc_id", T.cover_and_body(F.concat(F.lit("# "), "source"), F.col("text"), F.lit("md")).alias("markdown"))
 
 
-@query(r"""WITH a AS (SELECT page_id, regexp_replace(html, '(?is)<(script|style|nav|footer)\b[^>]*>.*?</(script|style|nav|footer)>', '', 'g') AS h FROM pages),
-b AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(h, '(?i)<h1[^>]*>', chr(10) || chr(10) || '# ', 'g'), '(?i)<li[^>]*>', chr(10) || '- ', 'g'), '(?i)<br\s*/?>', chr(10), 'g') AS h FROM a),
-c AS (SELECT page_id, regexp_replace(regexp_replace(h, '(?i)</?(p|div|ul|h1)\b[^>]*>', chr(10) || chr(10), 'g'), '(?s)<[^>]*>', '', 'g') AS h FROM b)
-SELECT page_id, regexp_replace(regexp_replace(h, '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS markdown FROM c""")
+def _html_sql() -> str:
+    """The steps of html_text in SQL."""
+    h = "html"
+    step = lambda pattern, by: f"regexp_replace({h}, '{pattern}', {by}, 'g')"
+    h = step(r"(?is)<!--.*?-->|<(script|style|head|template)\b[^>]*>.*?</(script|style|head|template)>", "''")
+    for level in range(1, 7):
+        h = step(rf"(?i)<h{level}\b[^>]*>", f"chr(10) || chr(10) || '{'#' * level} '")
+    h = step(r'(?is)<a\b[^>]*?\bhref="([^"]*)"[^>]*>(.*?)</a>', r"'[\2](\1)'")
+    h = step(r"(?i)</?(b|strong)\b[^>]*>", "'**'")
+    h = step(r"(?i)</?(i|em)\b[^>]*>", "'*'")
+    h = step(r"(?i)<li\b[^>]*>", "chr(10) || '- '")
+    h = step(r"(?i)<br\s*/?>", "chr(10)")
+    h = step(r"(?i)</?(p|div|ul|ol|h[1-6]|article|section|nav|footer|table|tr)\b[^>]*>", "chr(10) || chr(10)")
+    h = step(r"(?s)<[^>]*>", "''")
+    for entity, char in ENTITIES.items():
+        h = f"replace({h}, '{entity}', chr({ord(char)}))"
+    h = step(r"\n{3,}", "chr(10) || chr(10)")
+    return step(r"^\s+|\s+$", "''")
+
+
+@query(f"SELECT page_id, {_html_sql()} AS markdown FROM pages")
 def html_to_md(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", html_text(F.col("html")).alias("markdown"))
 
@@ -134,12 +161,22 @@ def _conversations(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(turns, lambda t: t["text"]), "\n\n").alias("text"))
 
 
-@query()
+def _chunk_sql(most: int, overlap: bool) -> str:
+    """Chunks of the conversations: a turn is a heading and a paragraph, and a heading closes the chunk before it."""
+    strip = r"regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '^\s+|\s+$', '', 'g')"
+    alone = "h || chr(10) || chr(10) || x" if overlap else "x"
+    return f"""SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, k) - 1 AS INTEGER) AS chunk_index, text, h AS heading_context FROM (
+SELECT conv_id, turn, h, CAST(unnest(range(len(c))) AS INTEGER) AS k, unnest(c) AS text FROM (
+SELECT conv_id, turn, h, CASE WHEN x = '' THEN [h] WHEN length(h) + 2 + length(x) <= {most} THEN [h || chr(10) || chr(10) || x] ELSE [h, {alone}] END AS c
+FROM (SELECT conv_id, turn, '# ' || role AS h, {strip} AS x FROM conversations WHERE text IS NOT NULL AND role IS NOT NULL)))"""
+
+
+@query(_chunk_sql(2500, True))
 def chunk_conversations(spark: SparkSession, sf: str) -> DataFrame:
     return chunk(_conversations(spark, sf), "conv_id", "text")
 
 
-@query()
+@query(f"SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY chunk_index) || chr(10) AS text FROM ({_chunk_sql(2500, True)}) GROUP BY conv_id")
 def reassembled_conversations(spark: SparkSession, sf: str) -> DataFrame:
     return reassemble(chunk_conversations(spark, sf), "conv_id")
 
@@ -200,11 +237,14 @@ def review_items(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _turns(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "conversations").select("conv_id", F.col("turn").alias("chunk_index"), F.sha2("text", 256).alias("source_hash"), "text")
+    return table(spark, sf, "conversations").select("conv_id", F.col("turn").alias("chunk_index"), F.sha2("text", 256).alias("source_hash"), F.lit("mock").alias("llm"), F.lit(1).alias("pass_num"), "text")
 
 
 def _memo(spark: SparkSession, sf: str) -> DataFrame:
-    return _turns(spark, sf).where("(conv_id + chunk_index) % 4 <> 0")
+    """Turns done before; some with an older text, another model or in another pass, so they are not done."""
+    place = (F.col("conv_id") + F.col("chunk_index")) % 16
+    rows = _turns(spark, sf).withColumn("source_hash", F.when(place == 0, "old").otherwise(F.col("source_hash")))
+    return rows.withColumns({"llm": F.when(place == 4, "other").otherwise(F.col("llm")), "pass_num": F.when(place == 8, 2).otherwise(F.col("pass_num"))}).where(place != 12)
 
 
 @query("""SELECT c.conv_id, c.turn AS chunk_index FROM conversations c LEFT JOIN (SELECT conv_id, min(turn) AS gap FROM conversations WHERE (conv_id + turn) % 4 = 0 GROUP BY conv_id) g USING (conv_id) WHERE gap IS NULL OR turn < gap""")
@@ -214,7 +254,7 @@ def resume_prefix(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT conv_id, turn AS chunk_index FROM conversations WHERE (conv_id + turn) % 4 = 0")
 def pending_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    return J.pending(_turns(spark, sf), _memo(spark, sf), ["conv_id"]).select("conv_id", "chunk_index")
+    return pending_rows(_turns(spark, sf), _memo(spark, sf), ["conv_id"]).select("conv_id", "chunk_index")
 
 
 @query(r"""SELECT code, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN contains(text, chr(65533)) THEN 'ENCODING_LOSS' END, CASE WHEN length(text) = 0 THEN 'EMPTY_EXTRACTION' END,
@@ -247,6 +287,102 @@ def reconcile_thorough(spark: SparkSession, sf: str) -> DataFrame:
     return reassemble(resolved_chunks(chunks, discrepancies(chunks, mock())), "doc_id")
 
 
-@query()
+@query(f"""SELECT conv_id, substr(CASE WHEN len(c) = 1 THEN substr(c[1], 1, 250) ELSE substr(c[1], 1, 250) || chr(10) || '...' || chr(10) || substr(c[len(c)], 1, 250) END, 1, 500) AS summary,
+substr(c[1] || CASE WHEN len(c) > 2 THEN chr(10) || chr(10) || c[len(c) // 2 + 1] ELSE '' END || CASE WHEN len(c) > 1 THEN chr(10) || chr(10) || c[len(c)] ELSE '' END, 1, 8000) AS sample
+FROM (SELECT conv_id, list(text ORDER BY chunk_index) AS c FROM ({_chunk_sql(2000, False)}) GROUP BY conv_id)""")
 def document_summaries(spark: SparkSession, sf: str) -> DataFrame:
     return _conversations(spark, sf).select("conv_id", document_summary(F.col("text")).alias("summary"), language_sample(F.col("text")).alias("sample"))
+
+
+@query(f"SELECT doc_id, CAST({_HITS} AS INTEGER) AS hits, {_HITS} >= 2 AS is_legal FROM documents")
+def legal_hits(spark: SparkSession, sf: str) -> DataFrame:
+    """Hits, and the classification where no completion confirms one or two of them."""
+    return _docs(spark, sf).select("doc_id", T.legal_hits(F.col("text")).cast("int").alias("hits"), D.legal(F.col("text"))["is_legal"].alias("is_legal"))
+
+
+@query(rf"""SELECT item_id, array_to_string(list_sort(list_distinct(list_concat(regexp_extract_all(text, '{T.PROTECTED}'), regexp_extract_all(text, '{T.PROPER_NOUNS}')))), '|') AS tokens
+FROM (SELECT item_id, regexp_replace(text, '[^\x00-\x7F]', 'x', 'g') AS text FROM benchmark)""")
+def protected_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    """In plain letters, as engines differ in what they take for the end of a word with accents."""
+    plain = F.regexp_replace("text", r"[^\x00-\x7F]", "x")
+    return table(spark, sf, "benchmark").select("item_id", F.array_join(T.protected_tokens(plain), "|").alias("tokens"))
+
+
+@query("SELECT b.item_id, CASE WHEN length(b.text) >= length(c.text) THEN b.text ELSE c.text END AS pick FROM benchmark b JOIN benchmark c ON c.item_id = b.item_id + 1")
+def pick_equivalent(spark: SparkSession, sf: str) -> DataFrame:
+    """Of every item and the next one the longer text, as of two variants."""
+    b = table(spark, sf, "benchmark")
+    c = b.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("other"))
+    return b.join(c, "item_id").select("item_id", T.longer_variant(F.col("text"), F.col("other")).alias("pick"))
+
+
+@query("SELECT o_orderpriority, CASE WHEN lower(p) IN ('low', 'medium', 'high', 'breaking') THEN lower(p) ELSE 'medium' END AS severity, count(*) AS n FROM (SELECT o_orderpriority, regexp_replace(o_orderpriority, '^[0-9]+-', '') AS p FROM orders) GROUP BY 1, 2")
+def severity_norm(spark: SparkSession, sf: str) -> DataFrame:
+    p = F.col("o_orderpriority")
+    return table(spark, sf, "orders").select(p, T.severity(F.regexp_replace(p, "^[0-9]+-", "")).alias("severity")).groupBy("o_orderpriority", "severity").agg(F.count("*").alias("n"))
+
+
+def _detect_sql() -> str:
+    words = r"regexp_split_to_array(lower(sample), '[^\p{L}]+')"
+    counts = ", ".join("{'n': -len(list_filter(w, x -> x IN (" + ", ".join(f"'{x}'" for x in own) + f"))), 'lang': '{lang}'" + "}" for lang, own in sorted(D.WORDS.items()))
+    scripts = " ".join(f"WHEN {share} >= {D.SCRIPT_SHARE} THEN {{'lang': '{lang}', 'confidence': least(1.0, {share})}}" for lang, p in D.SCRIPTS.items() for share in [f"len(regexp_extract_all(sample, '{p}'))::DOUBLE / letters"])
+    found = f"CASE {scripts} WHEN total > 0 THEN {{'lang': s[1].lang, 'confidence': -s[1].n::DOUBLE / total}} END"
+    return f"""SELECT doc_id, lang AS given, CASE WHEN length(sample) < 40 OR f IS NULL THEN 'unknown' ELSE f.lang END AS detected, CASE WHEN length(sample) < 40 OR f IS NULL THEN 0.0 ELSE f.confidence END AS confidence
+FROM (SELECT doc_id, lang, sample, {found} AS f FROM (SELECT *, -list_sum([x.n for x in s]) AS total FROM (SELECT doc_id, lang, sample, greatest(1, len(regexp_extract_all(sample, '\\p{{L}}'))) AS letters, list_sort([{counts}]) AS s
+FROM (SELECT doc_id, lang, sample, {words} AS w FROM (SELECT doc_id, lang, regexp_replace(substr({_STRIP}, 1, 8000), '^\\s+|\\s+$', '', 'g') AS sample FROM documents)))))"""
+
+
+@query(_detect_sql())
+def lang_detect(spark: SparkSession, sf: str) -> DataFrame:
+    found = D.language(F.col("text"))
+    return _docs(spark, sf).select("doc_id", F.col("lang").alias("given"), found.alias("f")).select("doc_id", "given", F.col("f.lang").alias("detected"), F.col("f.confidence").alias("confidence"))
+
+
+@query(f"SELECT given, detected, count(*) AS n FROM ({_detect_sql()}) GROUP BY given, detected")
+def lang_confusion(spark: SparkSession, sf: str) -> DataFrame:
+    return lang_detect(spark, sf).groupBy("given", "detected").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT doc_id, given, detected FROM ({_detect_sql()}) WHERE given IS NOT NULL AND detected <> 'unknown' AND detected <> given")
+def source_lang_mismatch(spark: SparkSession, sf: str) -> DataFrame:
+    rows = lang_detect(spark, sf)
+    return rows.where(D.source_mismatch(F.col("given"), F.col("detected"))).select("doc_id", "given", "detected")
+
+
+def _glossaries(spark: SparkSession, sf: str) -> DataFrame:
+    """Two glossaries of every region as JSON: its nations, every third as itself, and the even ones again with other translations."""
+    n = table(spark, sf, "nation")
+    one = F.when(F.col("n_nationkey") % 3 == 0, F.lower("n_name")).otherwise(F.reverse("n_name"))
+    pair = lambda value: F.map_from_entries(F.collect_list(F.struct("n_name", value)))
+    two = F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit("x"), "n_name"))
+    second = F.map_filter(pair(F.coalesce(two, F.lit(" "))), lambda k, v: v != " ")
+    return n.groupBy("n_regionkey").agg(F.to_json(pair(one)).alias("one"), F.to_json(second).alias("two"))
+
+
+@query("SELECT n_regionkey, string_agg(t, '|' ORDER BY t) AS tokens FROM (SELECT DISTINCT n_regionkey, CASE WHEN n_nationkey % 3 = 0 THEN n_name ELSE reverse(n_name) END AS t FROM nation) GROUP BY n_regionkey")
+def glossary_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    return _glossaries(spark, sf).select("n_regionkey", F.array_join(G.tokens(G.parse(F.col("one"))), "|").alias("tokens"))
+
+
+@query("""SELECT n_regionkey, string_agg('- ' || chr(39) || n_name || chr(39) || CASE WHEN keep THEN ': keep unchanged (do not translate)' ELSE ' → ' || chr(39) || CASE WHEN n_nationkey % 2 = 0 THEN 'x' || n_name ELSE reverse(n_name) END || chr(39) END, chr(10) ORDER BY keep DESC, n_name) AS block
+FROM (SELECT *, n_nationkey % 3 = 0 AS keep FROM nation) GROUP BY n_regionkey""")
+def glossary_merge(spark: SparkSession, sf: str) -> DataFrame:
+    block = G.prompt_block(G.merge(G.parse(F.col("one")), G.parse(F.col("two"))))
+    return _glossaries(spark, sf).select("n_regionkey", F.replace(block, F.lit("Glossary terms:\n"), F.lit("")).alias("block"))
+
+
+@query(r"""SELECT page_id, CASE WHEN NOT regexp_matches(url, '^(?i:https?)://') THEN 'scheme' WHEN host = '' THEN 'host' WHEN host IN ('localhost', 'localhost.localdomain') THEN 'localhost'
+WHEN regexp_matches(host, '^(127|10)(\.[0-9]{1,3}){3}$|^192\.168(\.[0-9]{1,3}){2}$|^169\.254(\.[0-9]{1,3}){2}$|^172\.(1[6-9]|2[0-9]|3[01])(\.[0-9]{1,3}){2}$') THEN 'address' END AS error
+FROM (SELECT page_id, url, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)) AS host FROM
+(SELECT page_id, CASE page_id % 7 WHEN 0 THEN 'ftp://x/y' WHEN 1 THEN 'http://10.0.' || page_id % 200 || '.1:80/a' WHEN 2 THEN 'https://172.20.1.9/' WHEN 3 THEN 'https://LocalHost/x' WHEN 4 THEN 'https://8.8.8.8/' ELSE url END AS url FROM pages))""")
+def webhook_urls(spark: SparkSession, sf: str) -> DataFrame:
+    """Why pages' URLs, some replaced by others that a rule makes, could be no webhook's."""
+    p = F.col("page_id")
+    url = F.when(p % 7 == 0, "ftp://x/y").when(p % 7 == 1, F.concat(F.lit("http://10.0."), (p % 200).cast("string"), F.lit(".1:80/a"))).when(p % 7 == 2, "https://172.20.1.9/").when(p % 7 == 3, "https://LocalHost/x").when(p % 7 == 4, "https://8.8.8.8/").otherwise(F.col("url"))
+    return table(spark, sf, "pages").select("page_id", U.webhook_error(url).alias("error"))
+
+
+@query("""SELECT conv_id, turn AS chunk_index, 'translate-pass' || (turn % 2 + 1) || '-chunk-' || lpad(CAST(turn AS VARCHAR), 4, '0') || '.md' AS name FROM conversations""")
+def checkpoint_names(spark: SparkSession, sf: str) -> DataFrame:
+    t = F.col("turn").cast("int")
+    return table(spark, sf, "conversations").select("conv_id", F.col("turn").alias("chunk_index"), U.checkpoint_name(t % 2 + 1, t).alias("name"))
