@@ -324,7 +324,7 @@ def severity_norm(spark: SparkSession, sf: str) -> DataFrame:
 
 def _detect_sql() -> str:
     words = r"regexp_split_to_array(lower(sample), '[^\p{L}]+')"
-    counts = ", ".join("{'n': -len(list_filter(w, x -> x IN (" + ", ".join(f"'{x}'" for x in own) + f"))), 'lang': '{lang}'" + "}" for lang, own in sorted(D.WORDS.items()))
+    counts = ", ".join("{'n': -len(list_filter(w, lambda x: x IN (" + ", ".join(f"'{x}'" for x in own) + f"))), 'lang': '{lang}'" + "}" for lang, own in sorted(D.WORDS.items()))
     scripts = " ".join(f"WHEN {share} >= {D.SCRIPT_SHARE} THEN {{'lang': '{lang}', 'confidence': least(1.0, {share})}}" for lang, p in D.SCRIPTS.items() for share in [f"len(regexp_extract_all(sample, '{p}'))::DOUBLE / letters"])
     found = f"CASE {scripts} WHEN total > 0 THEN {{'lang': s[1].lang, 'confidence': -s[1].n::DOUBLE / total}} END"
     return f"""SELECT doc_id, lang AS given, CASE WHEN length(sample) < 40 OR f IS NULL THEN 'unknown' ELSE f.lang END AS detected, CASE WHEN length(sample) < 40 OR f IS NULL THEN 0.0 ELSE f.confidence END AS confidence
