@@ -48,6 +48,20 @@ def features_of(text: str) -> set[bytes]:
     return words.union(w[:k] + b"*" for w in words for k in PREFIXES if len(w) > k)
 
 
+class Index:
+    """Places of the chosen features; most words of a text are told from them by their first bytes."""
+
+    def __init__(self, features: tuple[bytes, ...]):
+        self.at = {w: i for i, w in enumerate(features)}
+        self.heads = frozenset(w[: PREFIXES[0]] for w in features)
+
+    def places(self, text: str) -> list[int]:
+        """The places of features_of(text) that are in the index, sorted."""
+        near = [w for w in words_of(text) if w[: PREFIXES[0]] in self.heads]
+        found = {self.at[x] for w in near for x in (w, *(w[:k] + b"*" for k in PREFIXES if len(w) > k)) if x in self.at}
+        return sorted(found)
+
+
 def held_out():
     return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 1
 
@@ -58,8 +72,8 @@ class Model:
     weights: np.ndarray
     bias: float
 
-    def score(self, text: str, index: dict[bytes, int]) -> float:
-        at = sorted(index[w] for w in index.keys() & features_of(text))
+    def score(self, text: str, index: Index) -> float:
+        at = index.places(text)
         return float(1 / (1 + np.exp(-np.clip(self.bias + self.weights[at].sum(), -30, 30))))
 
 
@@ -121,13 +135,13 @@ def fit(documents: DataFrame, labels: DataFrame) -> Model:
     words = tuple(bytes(r["word"]) for r in chosen)
     if not words:
         return nothing
-    index = {w: i for i, w in enumerate(words)}
+    index = Index(words)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             bits = np.zeros((b.num_rows, len(words)), dtype=np.uint8)
             for i, text in enumerate(b.column(0).to_pylist()):
-                bits[i, [index[w] for w in index.keys() & features_of(text)]] = 1
+                bits[i, index.places(text)] = 1
             packed = [r.tobytes() for r in np.packbits(bits, axis=1)]
             yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary()), b.column(1)], names=["bits", "kind"])
 
@@ -148,7 +162,7 @@ def shift(positive: np.ndarray, clean: np.ndarray) -> float:
 def score(documents: DataFrame, labels: DataFrame, keep: list[str] = ()) -> DataFrame:
     """doc_id, held_out, score, predicted of every document, with the columns in ``keep``."""
     model = fit(documents, labels)
-    index = {w: i for i, w in enumerate(model.words)}
+    index = Index(model.words)
     rows = documents.select(F.col("doc_id").cast("long"), F.coalesce(held_out(), F.lit(False)).alias("held_out"), text_of().alias("__text"), F.struct(F.lit(0), *keep).alias("__kept"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

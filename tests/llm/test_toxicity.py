@@ -70,3 +70,14 @@ def test_odd_rows(spark):
     assert toxicity.score(docs.limit(0), marks).count() == 0
     bare = toxicity.score(docs, marks.limit(0)).collect()
     assert len(bare) == len(rows) and len({r["score"] for r in bare}) == 1
+
+
+def test_places_are_those_of_the_features():
+    rng = np.random.default_rng(6)
+    letters = list("abcé 漢")
+    texts = ["".join(rng.choice(letters, 200)) for _ in range(30)]
+    kinds = sorted(set().union(*map(toxicity.features_of, texts)))
+    chosen = tuple(kinds[i] for i in rng.choice(len(kinds), len(kinds) // 4, replace=False))
+    index = toxicity.Index(chosen)
+    for t in texts:
+        assert index.places(t) == sorted(chosen.index(x) for x in toxicity.features_of(t) if x in chosen)
