@@ -12,7 +12,17 @@ SIMILARITY_THRESHOLD = 92.0
 
 
 def _common(a: str, b: str) -> int:
-    """Length of the longest common subsequence; a row of the table is the bits of one integer."""
+    """Length of the longest common subsequence; a row of the table is the bits of one integer.
+
+    What both begin and end with is common anyway, so only the middle goes through the table.
+    """
+    low, least = 0, min(len(a), len(b))
+    while low < least and a[low] == b[low]:
+        low += 1
+    end = 0
+    while end < least - low and a[-1 - end] == b[-1 - end]:
+        end += 1
+    a, b = a[low : len(a) - end], b[low : len(b) - end]
     where: dict[str, int] = {}
     for i, c in enumerate(a):
         where[c] = where.get(c, 0) | 1 << i
@@ -21,7 +31,7 @@ def _common(a: str, b: str) -> int:
     for c in b:
         hit = row & where.get(c, 0)
         row = ((row + hit) | (row - hit)) & full
-    return len(a) - row.bit_count()
+    return low + end + len(a) - row.bit_count()
 
 
 def indel_ratio(one: str, two: str) -> Column:

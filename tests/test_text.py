@@ -50,3 +50,23 @@ def test_entry_points():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_common_subsequence():
+    import random
+
+    from lexweave.operators.compare import _common
+
+    def plain(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = row
+            row = [0]
+            for j, y in enumerate(b):
+                row.append(last[j] + 1 if x == y else max(row[j], last[j + 1]))
+        return row[-1]
+
+    random.seed(1)
+    for _ in range(300):
+        a, b = ("".join(random.choices("abc", k=random.randint(0, 12))) for _ in range(2))
+        assert _common(a, b) == plain(a, b) == _common(b, a)
