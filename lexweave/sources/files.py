@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lexweave.functions.formats import IMAGE_SUFFIXES, export_format, rtf_text, suffix, supported, without_front_matter
 from lexweave.functions.text import normalize
 from lexweave.sources.office import office_files
-from lexweave.sources.tables import MAX_BYTES, html_text, text_files
+from lexweave.sources.tables import MAX_BYTES, glob_of, html_text, text_files
 
 #: Suffixes with a reader here; the others of the format table need programs outside Spark, for which ``extra`` is the place.
 TEXT = {"txt", "md", "markdown"}
@@ -16,10 +16,6 @@ MARKUP = {"html", "htm", "rtf"}
 OFFICE = {"docx", "odt", "epub"}
 
 
-def _glob(suffixes: set[str]) -> str:
-    return "*.{" + ",".join("".join(f"[{c}{c.upper()}]" for c in s) for s in sorted(suffixes)) + "}"
-
-
 def inputs(spark: SparkSession, path: str, most: int = MAX_BYTES) -> DataFrame:
     """path, bytes, suffix, format, error of every file under a folder, without reading any; error: unsupported, too large or null."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", F.col("length").alias("bytes"))
@@ -34,8 +30,8 @@ def extract(spark: SparkSession, path: str, extra: dict[str, object] | None = No
     """
     extra = extra or {}
     listed = inputs(spark, path)
-    text = text_files(spark, path, _glob(TEXT)).select("path", without_front_matter(F.col("text")).alias("text"), "encoding_loss", F.lit(None).cast("string").alias("why"))
-    markup = text_files(spark, path, _glob(MARKUP)).select("path", F.when(suffix(F.col("path")) == "rtf", normalize(rtf_text(F.col("text")))).otherwise(normalize(html_text(F.col("text")))).alias("text"), "encoding_loss", F.lit(None).cast("string").alias("why"))
+    text = text_files(spark, path, glob_of(TEXT)).select("path", without_front_matter(F.col("text")).alias("text"), "encoding_loss", F.lit(None).cast("string").alias("why"))
+    markup = text_files(spark, path, glob_of(MARKUP)).select("path", F.when(suffix(F.col("path")) == "rtf", normalize(rtf_text(F.col("text")))).otherwise(normalize(html_text(F.col("text")))).alias("text"), "encoding_loss", F.lit(None).cast("string").alias("why"))
     office = office_files(spark, path).select("path", normalize(F.col("text")).alias("text"), F.lit(False).alias("encoding_loss"), F.col("error").alias("why"))
     found = text.unionByName(markup).unionByName(office)
     for name, reader in extra.items():

@@ -12,6 +12,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def glob_of(suffixes: set[str]) -> str:
+    """A path filter for suffixes in any case."""
+    return "*.{" + ",".join("".join(f"[{c}{c.upper()}]" for c in s) for s in sorted(suffixes)) + "}"
+
+
 def text_files(spark: SparkSession, path: str, pattern: str = "*.{[tT][xX][tT],[mM][dD],[mM][aA][rR][kK][dD][oO][wW][nN]}") -> DataFrame:
     """path, bytes, text (normalised), encoding_loss, too_large of text and Markdown files.
 
