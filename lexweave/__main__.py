@@ -1,41 +1,79 @@
-"""python -m lexweave translate FOLDER OUTPUT [--target en] [--thorough] [--no-translate] [--config FILE] | list-llms | check"""
+"""python -m lexweave translate FOLDER OUTPUT [--target en] [--thorough] [--no-translate] [--config FILE] | evaluate FOLDER | list-llms | check"""
 
 from __future__ import annotations
 
 import argparse
-import importlib.util
 import sys
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from lexweave import config
-from lexweave.functions.formats import PRICES
-from lexweave.operators.completion import mock
-from lexweave.operators.jobs import batch_status
-from lexweave.plans import service
+from lexweave import config, preflight
+from lexweave.functions.formats import OWN_FORMAT, PRICES, export_format
+from lexweave.operators.completion import client, mock
+from lexweave.operators.jobs import batch_status, results_report
+from lexweave.operators.providers import catalogue, factory
+from lexweave.plans import evaluation, service
+from lexweave.sinks.exports import exported, write_files
 from lexweave.sinks.outputs import metadata, write_texts
 from lexweave.sources.files import extract
+from lexweave.sources.pages import pymupdf
+from lexweave.sources.programs import legacy_word, readers
+
+
+def _pdf_text(content: bytes) -> tuple[str, str]:
+    return "\n".join(text for text, _ in pymupdf(content, 150)), "pymupdf"
 
 
 def translate(spark: SparkSession, a: argparse.Namespace, complete=None) -> int:
     """Exit code of the batch: 0, 3 for warnings, 2 for failures.  Without a client the mock answers."""
     settings = config.load(a.config)
-    found = extract(spark, a.folder)
+    if complete is None:
+        complete = client(factory(settings.llm, seconds=settings.llm_timeout), settings.max_retries, settings.retry_base_delay) if a.ask else mock()
+    found = extract(spark, a.folder, readers(spark, a.folder, {"doc": legacy_word(settings.subprocess_timeout), "pdf": _pdf_text}))
     documents = found.select(F.col("path").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     glossary = None if settings.glossary is None else spark.read.text(settings.glossary, wholetext=True).first()[0]
     options = service.Options(target=a.target or settings.target_lang, llm=settings.llm, thorough=a.thorough, no_translate=a.no_translate, glossary=glossary, fail_on_empty=settings.fail_on_empty_extraction)
-    got = service.run(documents, complete or mock(), options)
+    got = service.run(documents, complete, options)
     outputs = got.outputs.checkpoint()
     named = outputs.withColumn("name", F.regexp_replace("doc_id", "^.*/", ""))
     write_texts(named, f"{a.output}/texts", key="name")
     metadata(named, "name").write.mode("overwrite").parquet(f"{a.output}/metadata")
     got.issues.write.mode("overwrite").parquet(f"{a.output}/issues")
+    jobs = outputs.withColumns({"job_id": F.col("doc_id").cast("string"), "target_lang": F.lit(options.target), "no_translate": F.lit(options.no_translate), "model": F.lit(options.llm), "source_file": F.regexp_replace("doc_id", "^.*/", "")})
+    differences = None if got.discrepancies is None else got.discrepancies.withColumn("job_id", F.col("doc_id").cast("string"))
+    results_report(jobs, got.issues, differences).write.mode("overwrite").parquet(f"{a.output}/reports")
+    if a.export:
+        wanted = settings.export_format if a.export == "own" else a.export
+        fmt = export_format(F.col("doc_id"), None if wanted is None else F.lit(wanted))
+        files = named.where("status <> 'failed'").select("name", "markdown", fmt.alias("format"), F.lit(options.target).alias("lang"))
+        write_files(exported(files), f"{a.output}/files").write.mode("overwrite").parquet(f"{a.output}/exports")
     row = batch_status(outputs).first()
     print(row.asDict())
     return row["exit_code"]
 
 
+def evaluate(spark: SparkSession, a: argparse.Namespace, providers: dict[str, evaluation.Provider] | None = None) -> int:
+    """Reads a folder's files with every backend and prints a line each, or a pass rate against golden texts; 1 where there are none."""
+    native = {"native": lambda content: (lambda pages: ("\n".join(pages), len(pages), "pymupdf"))([t for t, _ in pymupdf(content, 150)])}
+    rows = evaluation.measured(spark, a.folder, providers or native).checkpoint()
+    if rows.isEmpty():
+        print(f"no files in {a.folder}", file=sys.stderr)
+        return 1
+    if a.golden or a.report:
+        cases = evaluation.golden(spark, a.golden) if a.golden else evaluation.golden_of(rows).limit(0)
+        scores = evaluation.scored(rows, cases).checkpoint()
+        total = evaluation.qa_summary(scores).first()
+        print(f"pass rate: {total['pass_rate']}% ({total['passed']} of {total['total']})")
+        if a.report:
+            with open(a.report, "w", encoding="utf-8") as f:
+                f.writelines(evaluation.html_report(scores))
+    if a.json or not (a.golden or a.report):
+        for line in evaluation.lines(rows.orderBy("file", "backend"), a.json).toLocalIterator():
+            print(line["line"])
+    return 0
+
+
 def main(arguments: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="lexweave", description=__doc__)
     commands = parser.add_subparsers(dest="command", required=True)
@@ -47,21 +85,34 @@ def main(arguments: list[str] | None = None) -> int:
     one.add_argument("--checkpoints", default=None)
     one.add_argument("--thorough", action="store_true")
     one.add_argument("--no-translate", action="store_true")
+    one.add_argument("--ask", action="store_true", help="ask the provider of the settings; else a mock answers")
+    one.add_argument("--export", choices=["own", *OWN_FORMAT], help="also write files: in the setting's or the input's own format, or in one for all")
+    two = commands.add_parser("evaluate")
+    two.add_argument("folder")
+    two.add_argument("--golden")
+    two.add_argument("--report")
+    two.add_argument("--json", action="store_true")
+    two.add_argument("--checkpoints", default="/tmp/lexweave-checkpoints")
     commands.add_parser("list-llms")
-    commands.add_parser("check")
+    three = commands.add_parser("check")
+    three.add_argument("--config")
+    three.add_argument("--format", choices=OWN_FORMAT)
+    three.add_argument("--require-ocr", action="store_true")
+    three.add_argument("--ocr-url")
     a = parser.parse_args(arguments)
     if a.command == "list-llms":
-        for name, (into, out) in sorted(PRICES.items()):
-            print(f"{name}\t{into:g}\t{out:g}")
+        for name, here in catalogue():
+            into, out = PRICES[name]
+            print(f"{name}\t{into:g}\t{out:g}\t{'built in' if here else 'own client'}")
         return 0
     if a.command == "check":
-        there = {name: importlib.util.find_spec(name) is not None for name in ("pyspark", "pyarrow", "pandas", "numpy")}
-        print("\n".join(f"{name}\t{'ok' if ok else 'missing'}" for name, ok in there.items()))
-        return 0 if all(there.values()) else 1
+        found = preflight.checks(config.load(a.config), fmt=a.format, ocr=a.require_ocr, ocr_url=a.ocr_url)
+        print("\n".join(f"{c.name}\t{c.status}\t{c.message}" for c in found))
+        return 0 if preflight.ready(found) else 1
     spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(a.checkpoints or f"{a.output}/.checkpoints")
-    return translate(spark, a)
+    return evaluate(spark, a) if a.command == "evaluate" else translate(spark, a)
 
 
 if __name__ == "__main__":

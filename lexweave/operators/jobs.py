@@ -166,12 +166,57 @@ def job_summary(jobs: DataFrame, issues: DataFrame, found: DataFrame) -> DataFra
     return out.select("job_id", head.alias("headline"), F.coalesce("warnings", none).alias("warnings"), F.coalesce("items", none).alias("items"))
 
 
-def results_report(jobs: DataFrame, issues: DataFrame) -> DataFrame:
-    """job_id, markdown: outcome, languages and a table of the issues by pos; a job's issues are one cell, as its report is one text."""
-    cell = lambda c: F.replace(F.coalesce(F.col(c), F.lit("")), F.lit("|"), F.lit("\\|"))
-    line = F.concat(F.lit("| "), cell("severity"), F.lit(" | "), cell("code"), F.lit(" | "), cell("message"), F.lit(" |"))
-    lines = issues.groupBy("job_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", line.alias("line")))), lambda x: x["line"]).alias("lines"))
-    table = F.when(F.size("lines") > 0, F.concat(F.lit("\n\n## Issues\n\n| severity | code | message |\n| --- | --- | --- |\n"), F.array_join("lines", "\n"))).otherwise("")
-    head = F.concat(F.lit("# Results\n\n**Outcome:** "), headline(F.col("status"), F.col("no_translate"), F.col("skipped"), F.col("target_lang")))
-    language = F.concat(F.lit("\n\n**Language:** "), F.col("source_lang"), F.lit(" → "), F.col("target_lang"))
-    return jobs.join(lines, "job_id", "left").select("job_id", F.concat(head, F.coalesce(language, F.lit("")), F.coalesce(table, F.lit("")), F.lit("\n")).alias("markdown"))
+def _yes(c: Column) -> Column:
+    return F.when(F.coalesce(c, F.lit(False)), "yes").otherwise("no")
+
+
+def _table(heads: list[str], cells: list[Column], rows: Column) -> Column:
+    """A Markdown table of an array of structs, or null where it is empty; a bar within a cell becomes a slash."""
+    line = lambda x: F.concat(F.lit("| "), F.concat_ws(" | ", *[F.replace(F.coalesce(c(x).cast("string"), F.lit("")), F.lit("|"), F.lit("/")) for c in cells]), F.lit(" |"))
+    head = "| " + " | ".join(heads) + " |\n|" + "|".join("-" * (len(h) + 2) for h in heads) + "|\n"
+    return F.when(F.size(rows) > 0, F.concat(F.lit(head), F.array_join(F.transform(rows, line), "\n")))
+
+
+def results_report(jobs: DataFrame, issues: DataFrame, found: DataFrame | None = None, artifacts: Column | None = None) -> DataFrame:
+    """job_id, markdown: outcome, language, classification, alerts, issues by pos, artifacts, discrepancies, what needs review, time.
+
+    ``jobs`` has job_id, status, no_translate, skipped, source_lang, target_lang and may have source_file, model, confidence, used_ai,
+    is_legal, legal_used_ai, method, pages, chunks, calls, format, exported, alerts (codes), stage, error and seconds; what it lacks is n/a.
+    ``found`` has job_id, chunk_index, sentence_index, severity, resolved, explanation.  A job's report is one text, so its rows are one cell.
+    """
+    none = F.lit("_(none)_")
+    own = lambda name, kind="string": F.col(name).cast(kind) if name in jobs.columns else F.lit(None).cast(kind)
+    or_none = lambda c: F.coalesce(c, F.lit("n/a"))
+    code = lambda c: F.concat(F.lit("`"), c, F.lit("`"))
+    lists = issues.groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("pos", "code", "severity", "stage", "message"))).alias("own_issues"))
+    out = jobs.join(lists, "job_id", "left")
+    if found is not None:
+        one = F.struct("chunk_index", "sentence_index", "severity", "resolved", "explanation")
+        out = out.join(found.groupBy("job_id").agg(F.array_sort(F.collect_list(one)).alias("own_found")), "job_id", "left")
+    differences = F.col("own_found") if found is not None else F.lit(None).cast("array<struct<chunk_index:int,sentence_index:int,severity:string,resolved:boolean,explanation:string>>")
+    get = lambda name: lambda x: x[name]
+    target, source = F.col("target_lang"), F.coalesce("source_lang", F.lit("unknown"))
+    name = language_name(target)
+    summary = F.when(F.col("status") == STATUSES[2], "The translation did not complete.").when(F.col("no_translate"), "No translation was asked for; the text is exported as it is.")
+    summary = summary.when(F.col("skipped"), F.concat(F.lit("The document is in "), name, F.lit(" already; the text is exported as it is.")))
+    summary = summary.otherwise(F.concat(F.lit("Translated from **"), source, F.lit("** to "), name, F.lit(" ("), code(target), F.lit(") by "), code(or_none(own("model"))), F.lit(".")))
+    item = lambda label, c: F.concat(F.lit(f"- {label}: "), c)
+    failure = F.when(own("error").isNotNull(), F.concat(F.lit("\n\n## Failure\n\n"), F.coalesce(F.concat(F.lit("Stage "), code(own("stage")), F.lit(": ")), F.lit("")), own("error"))).otherwise("")
+    alerts = F.array_join(F.transform(F.col("alerts"), lambda a: F.concat(F.lit("- **"), a, F.lit("**"))), "\n") if "alerts" in jobs.columns else F.lit("")
+    files = F.lit(None).cast("string") if artifacts is None else F.array_join(F.transform(F.array_sort(F.map_entries(artifacts)), lambda e: F.concat(F.lit("- "), e["key"], F.lit(": "), _yes(e["value"]))), "\n")
+    open_ones = F.filter(differences, lambda x: (x["severity"] == "breaking") & ~x["resolved"])
+    review = F.array_join(F.transform(open_ones, lambda x: F.concat(F.lit("- **Breaking** (chunk "), x["chunk_index"].cast("string"), F.lit(", sentence "), x["sentence_index"].cast("string"), F.lit("): "), F.coalesce(x["explanation"], F.lit("")))), "\n")
+    sections = {
+        "Summary": summary,
+        "Language": F.concat_ws("\n", item("Detected", code(source)), item("Target", F.concat(code(target), F.lit(" ("), name, F.lit(")"))), item("Confidence", or_none(own("confidence"))), item("Asked the model", _yes(own("used_ai", "boolean")))),
+        "Document": F.concat_ws("\n", item("Legal", _yes(own("is_legal", "boolean"))), item("Asked the model whether legal", _yes(own("legal_used_ai", "boolean"))), item("Method", or_none(own("method"))), item("Pages", or_none(own("pages"))), item("Chunks", or_none(own("chunks"))), item("Calls", or_none(own("calls"))), item("Format", or_none(own("format"))), item("Exported", _yes(own("exported", "boolean")))),
+        "Extraction alerts": F.coalesce(F.nullif(alerts, F.lit("")), none),
+        "Issues": F.coalesce(_table(["Code", "Severity", "Stage", "Message"], [get(n) for n in ("code", "severity", "stage", "message")], F.col("own_issues")), none),
+        "Artifacts": F.coalesce(F.nullif(files, F.lit("")), none),
+        "Discrepancies": F.coalesce(_table(["Chunk", "Sentence", "Severity", "Resolved", "Explanation"], [get("chunk_index"), get("sentence_index"), get("severity"), lambda x: _yes(x["resolved"]), get("explanation")], differences), F.lit("The passes do not differ.")),
+        "For review": F.coalesce(F.nullif(review, F.lit("")), none),
+    }
+    head = F.concat(F.lit("# Results\n\n**Outcome:** "), headline(F.col("status"), F.col("no_translate"), F.col("skipped"), target), F.coalesce(F.concat(F.lit("\n\nSource file: "), code(own("source_file"))), F.lit("")), failure)
+    body = F.concat(head, *[F.concat(F.lit(f"\n\n## {title}\n\n"), text) for title, text in sections.items()])
+    time = F.coalesce(F.concat(F.lit("\n\n## Time\n\n- "), F.format_number(own("seconds", "double"), 1), F.lit(" s")), F.lit(""))
+    return out.select("job_id", F.concat(body, time, F.lit("\n")).alias("markdown"))

@@ -20,6 +20,8 @@ from lexweave.operators.reconcile import discrepancies, resolved_chunks
 from lexweave.operators.translate import LEGAL_NOTE
 from lexweave.operators.translate import pending as pending_rows
 from lexweave.operators.translate import translate_documents
+from lexweave.plans import evaluation as E
+from lexweave.sources import pages as P
 from lexweave.sources.tables import ENTITIES, html_text, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -386,3 +388,54 @@ def webhook_urls(spark: SparkSession, sf: str) -> DataFrame:
 def checkpoint_names(spark: SparkSession, sf: str) -> DataFrame:
     t = F.col("turn").cast("int")
     return table(spark, sf, "conversations").select("conv_id", F.col("turn").alias("chunk_index"), U.checkpoint_name(t % 2 + 1, t).alias("name"))
+
+
+def _pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Turns as pages of their conversation: every third has no native text, every second one was recognised."""
+    t, n = F.coalesce("text", F.lit("")), F.col("turn")
+    rows = table(spark, sf, "conversations").select(F.col("conv_id").alias("path"), n.alias("page_num"), F.when(n % 3 == 0, "").otherwise(t).alias("native"), F.when(n % 2 == 0, F.concat(t, F.lit(" seen"))).alias("ocr"))
+    return P.page_rows(rows.withColumns({"method": F.lit("http"), "warning": F.lit(None).cast("string")}))
+
+
+_PAGES = rf"""SELECT conv_id, page_num, CASE WHEN used THEN ocr ELSE native END AS text, CAST(length(CASE WHEN used THEN {_STRIP.replace('(text', '(ocr', 1)} ELSE {_STRIP.replace('(text', '(native', 1)} END) AS INTEGER) AS char_count, used AS ocr, CASE WHEN used THEN 'http' ELSE 'native' END AS method
+FROM (SELECT *, length({_STRIP.replace('(text', '(native', 1)}) < 25 AND length({_STRIP.replace('(text', "(coalesce(ocr, '')", 1)}) > length({_STRIP.replace('(text', '(native', 1)}) AS used
+FROM (SELECT conv_id, turn AS page_num, CASE WHEN turn % 3 = 0 THEN '' ELSE coalesce(text, '') END AS native, CASE WHEN turn % 2 = 0 THEN coalesce(text, '') || ' seen' END AS ocr FROM conversations))"""
+
+
+@query(_PAGES)
+def page_choice(spark: SparkSession, sf: str) -> DataFrame:
+    """Of each page the native or the recognised text, and what it counts for."""
+    return _pages(spark, sf).select(F.col("path").alias("conv_id"), "page_num", "text", "char_count", "ocr", "method")
+
+
+@query(f"SELECT conv_id, {_STRIP} || chr(10) AS text, pages, ocr_pages FROM (SELECT conv_id, string_agg(text, chr(10) ORDER BY page_num) AS text, CAST(count(*) AS INTEGER) AS pages, count(*) FILTER (ocr) AS ocr_pages FROM ({_PAGES}) GROUP BY conv_id)")
+def paged_documents(spark: SparkSession, sf: str) -> DataFrame:
+    return P.documents_of_pages(_pages(spark, sf)).select(F.col("path").alias("conv_id"), "text", "pages", "ocr_pages")
+
+
+@query(rf"""SELECT conv_id, string_agg(t, chr(10) || chr(10) ORDER BY turn) FILTER (t <> '') AS text, CAST(count(*) FILTER (turn % 3 = 0) AS INTEGER) AS ocr_pages, sum(n)::BIGINT AS chars, CAST(count(*) AS INTEGER) AS pages
+FROM (SELECT conv_id, turn, length(coalesce(text, '')) AS n, {_STRIP.replace('(text', "(coalesce(text, '')", 1)} AS t FROM conversations) GROUP BY conv_id""")
+def layout_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """Layouts of conversations, a page per turn, read from their JSON; every third page was recognised."""
+    n = F.col("turn")
+    item = F.struct(F.col("text"), F.when(n % 3 == 0, 0.5).alias("confidence"))
+    page = F.struct(n.alias("page_num"), "text", F.array(item).alias("text_items"))
+    raw = table(spark, sf, "conversations").groupBy("conv_id").agg(F.to_json(F.struct(F.array_sort(F.collect_list(page)).alias("pages"))).alias("raw"))
+    rows = raw.select("conv_id", P.layout_pages(F.col("raw")).alias("p"))
+    chars = F.aggregate(P.layout_stats(F.col("p")), F.lit(0).cast("long"), lambda s, x: s + x["char_count"])
+    return rows.select("conv_id", P.text_of_layout(F.col("p")).alias("text"), P.layout_ocr_pages(F.col("p")).alias("ocr_pages"), chars.alias("chars"), F.size("p").alias("pages"))
+
+
+@query("""SELECT file, backend, passed, CASE WHEN e THEN 'extract: no reader' ELSE concat_ws('; ', CASE WHEN chars < 120 THEN 'min_chars: ' || chars || ' chars (min 120)' END, CASE WHEN pages = 0 THEN 'pages: 0 pages' END,
+CASE WHEN NOT same THEN 'hash: expected ' || substr(sha256(text || 'x'), 1, 12) || '… got ' || substr(sha256(text), 1, 12) END) END AS failures
+FROM (SELECT *, NOT e AND chars >= 120 AND pages > 0 AND same AS passed FROM (SELECT item_id AS file, backend, text, length(text) AS chars, item_id % 5 AS pages, item_id % 7 = 0 AND backend = 'layout' AS e, item_id % 3 <> 0 AS same
+FROM benchmark CROSS JOIN (VALUES ('native'), ('layout')) b(backend)))""")
+def reader_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Benchmark texts as files that two backends have read, with other golden hashes for every third and no layout reader for every seventh."""
+    i = F.col("item_id")
+    both = table(spark, sf, "benchmark").withColumn("backend", F.explode(F.array(F.lit("native"), F.lit("layout"))))
+    error = F.when((i % 7 == 0) & (F.col("backend") == "layout"), "no reader")
+    rows = both.select(i.alias("file"), "backend", F.length("text").cast("long").alias("chars"), (i % 5).cast("int").alias("pages"), F.sha2("text", 256).alias("hash"), error.alias("error"))
+    expected = F.when(i % 3 == 0, F.sha2(F.concat("text", F.lit("x")), 256)).otherwise(F.sha2("text", 256))
+    cases = both.select(i.alias("file"), "backend", F.lit(120).alias("min_chars"), expected.alias("golden_hash"))
+    return E.scored(rows, cases).select("file", "backend", "passed", F.array_join("failures", "; ").alias("failures"))

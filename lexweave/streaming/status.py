@@ -10,11 +10,16 @@ from pyspark.sql.streaming import StreamingQuery
 
 from lexweave.operators.jobs import STATUSES, latest_status
 
-# How far a job is when it enters a stage.
-PROGRESS = {"queued": 0.0, "extracting": 0.05, "detecting": 0.15}
+# How far a job is when it enters a stage; translation and reconciliation have two steps each in thorough jobs.
+PROGRESS = {"queued": 0.0, "extracting": 0.05, "detecting_language": 0.15, "translating": 0.3, "second_pass": 0.5, "translated": 0.65, "reconciling": 0.7, "exporting": 0.9, "completed": 1.0}
 EVENTS = "job_id string, stage string, status string, progress double, updated_at timestamp"
 
 
+def stage_event(job_ids: DataFrame, step: str) -> DataFrame:
+    """Events of jobs (job_id) that enter a step, for the events' table."""
+    return job_ids.select("job_id", F.lit(step).alias("stage"), F.lit("running").alias("status"), F.lit(PROGRESS[step]).alias("progress"), F.current_timestamp().alias("updated_at"))
+
+
 def latest(events: DataFrame) -> DataFrame:
     """The same of a stream as of a table: one row per job, in update or complete mode; its state grows with the open jobs."""
     return latest_status(events)

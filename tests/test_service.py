@@ -6,7 +6,7 @@ import zipfile
 import pytest
 
 from lexweave import __main__ as cli
-from lexweave import config
+from lexweave import config, preflight
 from lexweave.sinks import outputs as O
 from lexweave.sources.files import extract, inputs
 
@@ -44,7 +44,22 @@ def test_command_line(spark, tmp_path, capsys):
     texts = {p.parent.name: p.read_text() for p in (tmp_path / "out" / "texts").rglob("part-*")}
     assert set(texts) == {"name=a.txt", "name=b.txt"} and "[EN] Source language: de" in texts["name=b.txt"]
     assert json.loads(spark.read.parquet(f"{tmp_path}/out/metadata").where("name = 'a.txt'").first()["metadata"])["skipped"] is True
-    assert cli.main(["list-llms"]) == 0 and "openai:gpt-4o" in capsys.readouterr().out and cli.main(["check"]) == 0
+    assert cli.main(["list-llms"]) == 0 and "openai:gpt-4o" in capsys.readouterr().out
+    assert spark.read.parquet(f"{tmp_path}/out/reports").where("markdown LIKE '# Results%## For review%'").count() == spark.read.parquet(f"{tmp_path}/out/metadata").count()
+    (tmp_path / "in2").mkdir()
+    (tmp_path / "in2" / "x.txt").write_text("some text")
+    a = cli.argparse.Namespace(folder=str(tmp_path / "in2"), golden=None, report=str(tmp_path / "r.html"), json=False)
+    assert cli.evaluate(spark, a, {"plain": lambda c: (c.decode(), None, "plain")}) == 0 and "pass rate: 100.0% (1 of 1)" in capsys.readouterr().out
+    assert "x.txt" in (tmp_path / "r.html").read_text()
+
+
+def test_checks(tmp_path):
+    settings = config.load(None, {"LEXWEAVE_LLM": "openai:gpt-4o"})
+    found = {c.name: c for c in preflight.checks(settings, str(tmp_path), "md", layout=False, environment={"OPENAI_API_KEY": "k"})}
+    assert found["llm_key"].ok and found["llm_client"].ok and "pandoc" not in found and preflight.ready(list(found.values()))
+    found = {c.name: c for c in preflight.checks(settings, str(tmp_path), "doc", ocr=True, ocr_url="http://127.0.0.1:1/", environment={})}
+    assert found["llm_key"].status == "fail" and found["ocr_server"].status == "warn" and found["libreoffice"].required and not preflight.ready(list(found.values()))
+    assert preflight.blank_image().startswith(b"\x89PNG")
 
 
 def test_settings(tmp_path):

@@ -151,7 +151,12 @@ def test_reports(spark):
     summary = {r["job_id"]: r for r in J.job_summary(jobs, issues, found).collect()}
     assert summary["a"]["warnings"] == ["m2", "m|1"] and summary["a"]["items"] == ["why"] and summary["b"]["items"] == []
     report = {r["job_id"]: r["markdown"] for r in J.results_report(jobs, issues).collect()}
-    assert report["a"].index("m2") < report["a"].index("m\\|1") and "Issues" not in report["b"]
+    assert report["a"].index("| Y | error | s | m2 |") < report["a"].index("| X | warn | s | m/1 |") and "## Issues\n\n_(none)_" in report["b"]
+    rows = spark.createDataFrame([("a", 2, 5, "breaking", False, "a|b"), ("a", 1, 0, "low", True, None)], "job_id string, chunk_index int, sentence_index int, severity string, resolved boolean, explanation string")
+    more = jobs.withColumns({"alerts": F.array(F.lit("EMPTY")), "error": F.when(F.col("status") == "failed", "broke"), "stage": F.lit("exporting"), "seconds": F.lit(1.25), "is_legal": F.lit(True), "confidence": F.lit(0.5)})
+    full = {r["job_id"]: r["markdown"] for r in J.results_report(more, issues, rows, F.create_map(F.lit("z"), F.lit(False), F.lit("b"), F.lit(True))).collect()}
+    assert "| 1 | 0 | low | yes |  |\n| 2 | 5 | breaking | no | a/b |" in full["a"] and "- **Breaking** (chunk 2, sentence 5): a|b" in full["a"] and "- b: yes\n- z: no" in full["a"]
+    assert "Stage `exporting`: broke" in full["b"] and "## Failure" not in full["a"] and "- Confidence: 0.5" in full["a"] and "- **EMPTY**" in full["a"] and "The passes do not differ." in full["b"]
 
 
 def test_streams(spark, tmp_path):
