@@ -13,6 +13,7 @@ from lexweave.functions import text as T
 from lexweave.operators import detect as D
 from lexweave.operators import glossary as G
 from lexweave.operators import jobs as J
+from lexweave.operators import runs as N
 from lexweave.operators.chunking import chunk, document_summary, language_sample, reassemble
 from lexweave.operators.compare import flagged, sentence_pairs
 from lexweave.operators.completion import mock
@@ -439,3 +440,31 @@ def reader_scores(spark: SparkSession, sf: str) -> DataFrame:
     expected = F.when(i % 3 == 0, F.sha2(F.concat("text", F.lit("x")), 256)).otherwise(F.sha2("text", 256))
     cases = both.select(i.alias("file"), "backend", F.lit(120).alias("min_chars"), expected.alias("golden_hash"))
     return E.scored(rows, cases).select("file", "backend", "passed", F.array_join("failures", "; ").alias("failures"))
+
+
+@query("""SELECT batch, pos, CAST(sum(1) OVER w AS BIGINT) AS calls, CAST(sum(greatest(n, 0)) OVER w AS BIGINT) AS tokens_in, CAST(sum(n2) OVER w AS BIGINT) AS tokens_out
+FROM (SELECT conv_id AS batch, turn AS pos, coalesce(length(text), 0) - 40 AS n, coalesce(length(text), 0) AS n2 FROM conversations) WINDOW w AS (PARTITION BY batch ORDER BY pos ROWS UNBOUNDED PRECEDING)""")
+def running_usage(spark: SparkSession, sf: str) -> DataFrame:
+    """Turns as calls, their lengths as tokens; counts below 0 are none."""
+    n = F.coalesce(F.length("text"), F.lit(0)).cast("long")
+    calls = table(spark, sf, "conversations").select(F.col("conv_id").alias("batch"), F.col("turn").alias("pos"), F.lit(1).cast("long").alias("calls"), (n - 40).alias("tokens_in"), n.alias("tokens_out"))
+    return N.running_usage(calls)
+
+
+@query("""SELECT conv_id AS job_id, CASE WHEN conv_id % 3 = 0 AND conv_id % 4 <> 3 THEN 'completed_with_warnings' WHEN conv_id % 4 = 3 THEN 'failed' ELSE 'completed' END AS status, CASE WHEN conv_id % 3 = 0 THEN 'WEBHOOK_FAILED' END AS code
+FROM (SELECT DISTINCT conv_id FROM conversations)""")
+def undelivered_notices(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversations as ended jobs, the notices of every third of which failed."""
+    job = F.col("job_id")
+    jobs = table(spark, sf, "conversations").select(F.col("conv_id").alias("job_id")).distinct().withColumn("status", F.when(job % 4 == 3, "failed").otherwise("completed"))
+    sent = jobs.select("job_id", (job % 3 != 0).alias("delivered"), F.when(job % 3 == 0, "down").alias("error"))
+    after, issues = N.after_notices(jobs, sent)
+    return after.join(issues.select("job_id", "code"), "job_id", "left").select("job_id", "status", "code")
+
+
+@query("""SELECT event_id, error FROM (SELECT event_id, CASE WHEN event_id % 2 = 0 AND event_id % 3 = 0 THEN 'force and resume exclude each other' WHEN event_id % 3 = 0 AND event_id % 5 <> 0 THEN 'nothing to resume'
+WHEN event_id % 7 = 0 AND event_id % 2 <> 0 AND event_id % 3 <> 0 THEN 'the job exists' END AS error FROM events) WHERE error IS NOT NULL""")
+def start_errors(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as jobs that are asked for: every second to be replaced, every third resumed, every fifth with a checkpoint, every seventh there."""
+    e = F.col("event_id")
+    return table(spark, sf, "events").select("event_id", N.start_error(e % 7 == 0, e % 5 == 0, e % 2 == 0, e % 3 == 0).alias("error")).where("error IS NOT NULL")
