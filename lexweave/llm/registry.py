@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexweave.llm import forest, licenses, lines, media, mixing, oracles, packing, quality, simhash, toxicity, warc
+from lexweave.llm import bpe, forest, licenses, lines, media, mixing, oracles, packing, quality, simhash, toxicity, warc
 from lexweave.llm.common import table
 
 
@@ -60,6 +60,11 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(spark, table(spark, sf_dir, "pages")).drop("intact")
 
 
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's token ids and the text that they give again, as digests."""
+    return bpe.round_trip(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_media": op2_media,
@@ -71,5 +76,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_licenses": op8_licenses,
     "op9_quality": op9_quality,
     "op10_warc": op10_warc,
+    "op11_bpe": op11_bpe,
 }
 ORACLES: dict[str, str] = oracles.ORACLES
