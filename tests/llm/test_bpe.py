@@ -11,6 +11,7 @@ from lexweave.llm.packing import default_tokenizer
 from lexweave.llm.units import byte_vocabulary
 
 PATH = default_tokenizer()
+LIBRARY = Tokenizer.from_file(PATH)
 ALPHABET = " \n\t\x1c\x85\xa0　aab'stllve019é中文🙂́,.!?▁\x00<|>"
 
 
@@ -23,10 +24,9 @@ def texts():
 
 
 def of_library(text):
-    tokenizer = Tokenizer.from_file(PATH)
-    ids = tokenizer.encode(text, add_special_tokens=False).ids
+    ids = LIBRARY.encode(text, add_special_tokens=False).ids
     sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
-    return len(ids), sha(",".join(map(str, ids))), sha(tokenizer.decode(ids, skip_special_tokens=False))
+    return len(ids), sha(",".join(map(str, ids))), sha(LIBRARY.decode(ids, skip_special_tokens=False))
 
 
 def test_round_trip_equals_the_library(spark):
