@@ -26,6 +26,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from lexweave.llm.common import text_of
 from lexweave.llm.packing import Coder, default_tokenizer
@@ -225,7 +226,7 @@ def encode(documents: DataFrame, tokenizer: str | None = None, block: int = BLOC
             rows = [np.concatenate([words[w] for u in n for w in made.units[u]]) if len(n) else np.zeros(0, np.int32) for n in made.numbered]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(rows, pa.list_(pa.int32()))], names=[*keep, "ids"])
 
-    out = kept.schema.add("ids", "array<int>")
+    out = StructType([*kept.schema, StructField("ids", ArrayType(IntegerType()))])
     return documents.select(*keep, text_of().alias("__text")).mapInArrow(run, out)
 
 
@@ -240,4 +241,4 @@ def decode(encoded: DataFrame, tokenizer: str | None = None) -> DataFrame:
             texts = [b"".join(map(tokens.__getitem__, x or ())).decode("utf-8", "replace") for x in b.column(len(names)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(texts, pa.string())], names=[*names, "text"])
 
-    return encoded.select(*names, "ids").mapInArrow(run, encoded.select(*names).schema.add("text", "string"))
+    return encoded.select(*names, "ids").mapInArrow(run, StructType([*encoded.select(*names).schema, StructField("text", StringType())]))

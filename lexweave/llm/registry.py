@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexweave.llm import bpe, forest, licenses, lines, media, mixing, oracles, packing, quality, simhash, toxicity, warc
+from lexweave.llm import bpe, divergence, forest, licenses, lines, media, mixing, oracles, packing, quality, simhash, toxicity, warc
 from lexweave.llm.common import table
 
 
@@ -65,6 +65,11 @@ def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far every source's words are from those of the language's other sources, and the words that set it apart."""
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_media": op2_media,
@@ -77,5 +82,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality": op9_quality,
     "op10_warc": op10_warc,
     "op11_bpe": op11_bpe,
+    "op12_divergence": op12_divergence,
 }
 ORACLES: dict[str, str] = oracles.ORACLES
