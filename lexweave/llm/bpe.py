@@ -182,7 +182,7 @@ def _decimals(path: str) -> list[str]:
     return list(map(str, range(len(byte_vocabulary(path).tokens))))
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], column: int, block: int) -> Iterator[pa.RecordBatch]:
+def blocks(batches: Iterator[pa.RecordBatch], column: int, block: int) -> Iterator[pa.RecordBatch]:
     """Slices of batches, joined or cut to about ``block`` bytes of text; a longer text is a block of its own."""
     held, size = [], 0
     for b in batches:
@@ -207,7 +207,7 @@ def round_trip(documents: DataFrame, tokenizer: str | None = None, block: int =
     path = tokenizer or default_tokenizer()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _blocks(batches, 1, block):
+        for b in blocks(batches, 1, block):
             n, ids, decoded = zip(*_digests(b.column(1).to_pylist(), path))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids), pa.array(decoded)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
@@ -220,7 +220,7 @@ def encode(documents: DataFrame, tokenizer: str | None = None, block: int = BLOC
     kept = documents.select(*keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _blocks(batches, len(keep), block):
+        for b in blocks(batches, len(keep), block):
             made = encode_texts(b.column(len(keep)).to_pylist(), path)
             words = np.split(made.ids.astype(np.int32), made.ends[1:-1])
             rows = [np.concatenate([words[w] for u in n for w in made.units[u]]) if len(n) else np.zeros(0, np.int32) for n in made.numbered]

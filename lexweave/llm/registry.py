@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexweave.llm import bpe, divergence, forest, licenses, lines, media, mixing, oracles, packing, quality, simhash, toxicity, warc
+from lexweave.llm import alignment, bpe, divergence, forest, licenses, lines, media, mixing, oracles, packing, quality, simhash, toxicity, warc
 from lexweave.llm.common import table
 
 
@@ -70,6 +70,11 @@ def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the tokens of two tokenizers lie on every document."""
+    return alignment.align(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_media": op2_media,
@@ -83,5 +88,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_warc": op10_warc,
     "op11_bpe": op11_bpe,
     "op12_divergence": op12_divergence,
+    "op13_alignment": op13_alignment,
 }
 ORACLES: dict[str, str] = oracles.ORACLES
