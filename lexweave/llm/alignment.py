@@ -5,8 +5,9 @@ byte lengths of its A and B tokens.  A unit begins where both tokenizers begin a
 holds wherever it occurs.  The coded table is bucketed by block, so that all that follows is joined and windowed without moving it:
 
 - tokens are exploded with their positions, and windowed cumulative lengths give where each begins and ends;
-- A and B meet in an equi-join on unit and offset (where one token ends and the next begins); offsets of both are cuts, and the running
-  count of cuts is the group's number;
+- A and B meet by equal unit and offset (where one token ends and the next begins).  An offset is at most one token's on either side, so this
+  full equi-join is a grouping of both sides' rows, which stays where the blocks are, as an outer join would not; offsets of both are cuts,
+  and the running count of cuts is the group's number;
 - two tokens overlap exactly once between two neighbouring offsets, so the joined rows, with the last A and B token before each, are
   the links: no group is multiplied out, however long;
 - a block's distinct (document, pair) rows are counted before they are shuffled; a window finds each A id's highest count, and the counts
@@ -23,22 +24,25 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexweave.llm.bpe import blocks
 from lexweave.llm.common import materialize, scratch_path, text_of
-from lexweave.llm.packing import default_tokenizer
+from lexweave.llm.packing import Coder, default_tokenizer, shared_coder
 from lexweave.llm.units import byte_vocabulary, numbering, parts
 
 #: Bytes of text that share one dictionary of units.
 BLOCK = 32 << 20
+#: Units that the libraries encode at once: their results are large until ids are taken from them.
+SLICE = 4096
 #: Blocks that a task can number.
 _BLOCKS = 1 << 20
 CODED = "block long, row int, doc_id long, parts array<int>, unit int, a array<int>, a_bytes array<int>, b array<int>, b_bytes array<int>"
@@ -62,6 +66,8 @@ class Tokenizers:
 
         self.a, self.b = Tokenizer.from_file(a), SentencePieceProcessor(model_file=b)
         self.a.encode_special_tokens = True
+        coder = shared_coder(a)
+        self.fast = coder.fast.encode_ordinary if coder.fast else lambda text: self.a.encode(text, add_special_tokens=False).ids
         self.a_tokens = byte_vocabulary(a).tokens
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         if any("▁" in p.lstrip("▁") for p in pieces):
@@ -70,14 +76,25 @@ class Tokenizers:
         self.blank = self.b.piece_to_id("▁")
         self.a_sizes, self.b_sizes = (np.array([len(t) for t in x], dtype=np.int32) for x in (self.a_tokens, self.b_tokens))
 
-    def encode(self, units: list[str]) -> tuple[list[list[int]], list[list[int]], list[bool]]:
+    def _a_ids(self, unit: str) -> list[int]:
+        # tiktoken gives the same ids faster, but for very long words, on which it is slow.
+        return self.fast(" " + unit) if len(unit) < Coder.RUN else self.a.encode(" " + unit, add_special_tokens=False).ids
+
+    def encode(self, units: list[str]) -> tuple[pa.ListArray, pa.ListArray, np.ndarray]:
         """Of units without the blank before each: A ids, B ids, and whether both are the unit's bytes."""
-        a = [e.ids for e in self.a.encode_batch_fast([" " + u for u in units], add_special_tokens=False)]
-        # A blank alone, at the end of a text: B would add its own to no text at all.
-        b = [x if u else [self.blank] for u, x in zip(units, self.b.encode(units, num_threads=1))]
         ta, tb = self.a_tokens.__getitem__, self.b_tokens.__getitem__
-        exact = [b"".join(map(ta, x)) == (bytes_ := b" " + u.encode()) and b"".join(map(tb, y)) == bytes_ for u, x, y in zip(units, a, b)]
-        return a, b, exact
+        a, b, exact = [], [], []
+        for low in range(0, len(units), SLICE):
+            some = units[low : low + SLICE]
+            own_a = list(map(self._a_ids, some))
+            # A blank alone, at the end of a text: B would add its own to no text at all.
+            own_b = [x if u else [self.blank] for u, x in zip(some, self.b.encode(some, num_threads=1))]
+            for u, x, y in zip(some, own_a, own_b):
+                whole = b" " + u.encode()
+                exact.append(b"".join(map(ta, x)) == whole and b"".join(map(tb, y)) == whole)
+            a.append(_lists(own_a))
+            b.append(_lists(own_b))
+        return pa.concat_arrays(a), pa.concat_arrays(b), np.array(exact)
 
 
 @lru_cache(maxsize=1)
@@ -96,22 +113,34 @@ def _coded(ids: pa.Array, texts: list[str | None], block: int, t: Tokenizers) ->
     units = numbering()
     number = units.__getitem__
     rows = [list(map(number, parts(x))) if x else [] for x in texts]
-    a, b, exact = t.encode(list(units)) if units else ([], [], [])
-    wrong = {i for i, ok in enumerate(exact) if not ok}
-    if wrong:
-        rows = [[] if not wrong.isdisjoint(x) else x for x in rows]
+    if units:
+        la, lb, exact = t.encode(list(units))
+        wrong = set(np.flatnonzero(~exact).tolist())
+        if wrong:
+            rows = [[] if not wrong.isdisjoint(x) else x for x in rows]
     ints = pa.list_(pa.int32())
     names = ["block", "row", "doc_id", "parts", "unit", "a", "a_bytes", "b", "b_bytes"]
     none = lambda n, kind: pa.nulls(n, kind)
-    n, m = len(rows), len(a)
+    n, m = len(rows), len(units)
     at = lambda k: pa.array(np.full(k, block), pa.int64())
     yield pa.RecordBatch.from_arrays([at(n), pa.array(np.arange(n, dtype=np.int32)), ids, _lists(rows), none(n, pa.int32()), *[none(n, ints)] * 4], names=names)
     if m:
-        la, lb = _lists(a), _lists(b)
         sizes = lambda x, of: pa.ListArray.from_arrays(x.offsets, pa.array(of[x.values.to_numpy()]))
         yield pa.RecordBatch.from_arrays([at(m), none(m, pa.int32()), none(m, pa.int64()), none(m, ints), pa.array(np.arange(m, dtype=np.int32)), la, sizes(la, t.a_sizes), lb, sizes(lb, t.b_sizes)], names=names)
 
 
+@contextmanager
+def co_located(spark: SparkSession) -> Iterator[None]:
+    """Joins on a block and more take tables that are dealt by block alone as they are; the session's own setting returns at the end."""
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    own = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, own)
+
+
 def bucketed(df: DataFrame, name: str) -> DataFrame:
     """The table written to the shared folder in buckets of its blocks, and read as such."""
     spark, table = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
@@ -134,14 +163,13 @@ def coded(documents: DataFrame, a: str | None = None, b: str | None = None, bloc
 
 def overlaps(units: DataFrame) -> DataFrame:
     """Of units (block, unit, a, a_bytes, b, b_bytes) the links: start, a and b (ids), own_a and own_b (where the token begins there), part (group)."""
-    order = Window.partitionBy("block", "unit").orderBy("pos")
-
-    def tokens(side: str) -> DataFrame:
-        rows = units.select("block", "unit", F.posexplode(F.arrays_zip(F.col(side).alias("id"), F.col(f"{side}_bytes").alias("bytes"))).alias("pos", "t"))
-        ended = rows.select("block", "unit", F.col("t.id").alias(f"own_{side}"), "t.bytes", F.sum("t.bytes").over(order).alias("end"))
-        return ended.select("block", "unit", (F.col("end") - F.col("bytes")).alias("start"), f"own_{side}")
-
-    met = tokens("a").join(tokens("b"), ["block", "unit", "start"], "full")
+    both = F.arrays_zip(F.concat("a", "b").alias("id"), F.concat("a_bytes", "b_bytes").alias("bytes"))
+    tokens = units.select("block", "unit", F.size("a").alias("n"), F.posexplode(both).alias("pos", "t"))
+    tokens = tokens.select("block", "unit", (F.col("pos") >= F.col("n")).alias("is_b"), "pos", "t.id", "t.bytes")
+    order = Window.partitionBy("block", "unit", "is_b").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    tokens = tokens.withColumn("start", F.sum("bytes").over(order) - F.col("bytes"))
+    own = lambda b: F.max(F.when(F.col("is_b") == b, F.col("id")))
+    met = tokens.groupBy("block", "unit", "start").agg(own(False).alias("own_a"), own(True).alias("own_b"))
     running = Window.partitionBy("block", "unit").orderBy("start").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cut = F.when(F.col("own_a").isNotNull() & F.col("own_b").isNotNull(), 1).otherwise(0)
     last = lambda c: F.last(c, ignorenulls=True).over(running)
@@ -170,17 +198,18 @@ def pair_counts(rows: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def align(documents: DataFrame, a: str | None = None, b: str | None = None, block: int = BLOCK) -> DataFrame:
-    """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 of every document."""
-    both = bucketed(coded(documents, a, b, block), "coded")
-    rows = both.where("row IS NOT NULL").select("block", "row", "doc_id", "parts")
-    units = both.where("unit IS NOT NULL").select("block", "unit", "a", "a_bytes", "b", "b_bytes")
-    found = bucketed(unit_groups(overlaps(units)), "aligned")
-    counts = pair_counts(rows, found)
-    linked = found.select("block", "unit", F.explode("pairs").alias("pair")).join(counts.hint("shuffle_hash"), ["block", "pair"])
-    sums = linked.groupBy("block", "unit").agg(F.count("*").alias("n_links"), F.sum("best").alias("n_best"), F.sum("count").alias("count_sum"))
-    whole = found.drop("pairs").join(sums, ["block", "unit"])
-    numbers = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
-    occurring = rows.select("block", "row", "doc_id", F.posexplode_outer("parts").alias("pos", "unit")).join(whole.hint("shuffle_hash"), ["block", "unit"], "left")
-    written = F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("groups").isNotNull(), F.struct("pos", "groups")))), lambda x: x["groups"]), ";")
-    out = occurring.groupBy("block", "row", "doc_id").agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in numbers], written.alias("groups"))
-    return out.select("doc_id", *numbers, F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256)).alias("groups_sha256"))
+    """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 of every document, written when this returns."""
+    with co_located(documents.sparkSession):
+        both = bucketed(coded(documents, a, b, block), "coded")
+        rows = both.where("row IS NOT NULL").select("block", "row", "doc_id", "parts")
+        units = both.where("unit IS NOT NULL").select("block", "unit", "a", "a_bytes", "b", "b_bytes")
+        found = bucketed(unit_groups(overlaps(units)), "aligned")
+        counts = pair_counts(rows, found)
+        linked = found.select("block", "unit", F.explode("pairs").alias("pair")).join(counts.hint("shuffle_hash"), ["block", "pair"])
+        sums = linked.groupBy("block", "unit").agg(F.count("*").alias("n_links"), F.sum("best").alias("n_best"), F.sum("count").alias("count_sum"))
+        whole = found.drop("pairs").join(sums, ["block", "unit"])
+        numbers = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
+        occurring = rows.select("block", "row", "doc_id", F.posexplode_outer("parts").alias("pos", "unit")).join(whole.hint("shuffle_hash"), ["block", "unit"], "left")
+        written = F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("groups").isNotNull(), F.struct("pos", "groups")))), lambda x: x["groups"]), ";")
+        out = occurring.groupBy("block", "row", "doc_id").agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in numbers], written.alias("groups"))
+        return materialize(out.select("doc_id", *numbers, F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256)).alias("groups_sha256")), "alignment")
