@@ -1,7 +1,7 @@
 """How the sources of a language differ in their words: an audit by counts and joins alone.
 
-Terms are runs of letters of lower-cased text.  A row of documents gives every term with a flag at its first occurrence, so one
-aggregation by (lang, source, term), combined before it is shuffled, counts occurrences and documents.  A language keeps the terms of at
+Terms are what lies between runs of other ASCII characters in lower-cased text.  They are exploded and counted by (lang, source, term), and
+each document's distinct terms by (lang, term), both combined before they are shuffled.  A language keeps the terms of at
 least ``least`` of its documents.  Its groups (a language and a source) are crossed with the kept terms, so that absent terms are zeros: the
 kept terms are dealt over SALTS and the groups, a small table, repeated for each salt, so no language is one task's.  The dense
 table joins itself on language and term, one order of each pair of sources (the value is the same for both); values are added up
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from lexweave.llm.common import materialize, text_of
 
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+APART = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SCALE = 1_000_000_000
 LEAST = 10
@@ -41,14 +41,16 @@ def value(p: Column, q: Column) -> Column:
 
 
 def term_counts(documents: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
-    """Of all (lang, source, term) n and df; of each kept (lang, term) lang_n."""
-    named = documents.select(text_of("lang").alias("lang"), text_of("source").alias("source"), text_of().alias("text"))
-    terms = F.sort_array(F.regexp_extract_all(F.translate("text", UPPER, LOWER), F.lit(TERM), F.lit(0)))
-    # Of a document's sorted terms the first of equal ones counts the document.
-    marked = F.transform("terms", lambda x, i: F.struct(x.alias("term"), F.when((i > 0) & (x == F.get("terms", i - 1)), 0).otherwise(1).alias("first")))
-    rows = named.select("lang", "source", terms.alias("terms")).select("lang", "source", F.inline(marked))
-    counts = materialize(rows.groupBy("lang", "source", "term").agg(F.count("*").alias("n"), F.sum("first").alias("df")), "term-counts")
-    kept = counts.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("df").alias("df")).where(F.col("df") >= least).drop("df")
+    """Of all (lang, source, term) n; of each kept (lang, term) lang_n."""
+    text, lang = text_of(), text_of("lang").alias("lang")
+    # Where all characters are ASCII, lower() does what the contract asks and is cheaper.
+    low = F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
+    terms = F.split(low, APART)
+    rows = documents.select(lang, text_of("source").alias("source"), F.explode(terms).alias("term")).where("term <> ''")
+    counts = materialize(rows.groupBy("lang", "source", "term").agg(F.count("*").alias("n")), "term-counts")
+    once = documents.select(lang, F.explode(F.array_distinct(terms)).alias("term")).where("term <> ''")
+    df = once.groupBy("lang", "term").agg(F.count("*").alias("df")).where(F.col("df") >= least)
+    kept = counts.groupBy("lang", "term").agg(F.sum("n").alias("lang_n")).join(df.drop("df"), ["lang", "term"])
     return counts, materialize(kept, "kept-terms")
 
 
