@@ -39,8 +39,10 @@ from lexweave.llm.common import materialize, scratch_path, text_of
 from lexweave.llm.packing import Coder, default_tokenizer, shared_coder
 from lexweave.llm.units import byte_vocabulary, numbering, parts
 
-#: Bytes of text that share one dictionary of units.
-BLOCK = 32 << 20
+#: Bytes of text that share one dictionary of units; about as many meet in a task that joins and sorts their tokens in memory.
+BLOCK = 8 << 20
+#: More buckets than these are not made: a task then has several blocks and may spill.
+MOST_BUCKETS = 50_000
 #: Units that the libraries encode at once: their results are large until ids are taken from them.
 SLICE = 4096
 #: Blocks that a task can number.
@@ -141,10 +143,9 @@ def co_located(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(name, own)
 
 
-def bucketed(df: DataFrame, name: str) -> DataFrame:
-    """The table written to the shared folder in buckets of its blocks, and read as such."""
+def bucketed(df: DataFrame, name: str, n: int) -> DataFrame:
+    """The table written to the shared folder in n buckets of its blocks, and read as such."""
     spark, table = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     df.write.format("parquet").option("compression", "zstd").option("path", scratch_path(spark, name)).bucketBy(n, "block").saveAsTable(table)
     return spark.table(table)
 
@@ -199,11 +200,14 @@ def pair_counts(rows: DataFrame, found: DataFrame) -> DataFrame:
 
 def align(documents: DataFrame, a: str | None = None, b: str | None = None, block: int = BLOCK) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 of every document, written when this returns."""
-    with co_located(documents.sparkSession):
-        both = bucketed(coded(documents, a, b, block), "coded")
+    spark = documents.sparkSession
+    size = documents.agg(F.sum(F.octet_length(text_of())).alias("bytes")).first()["bytes"] or 0
+    n = min(max(-(-size // block), int(spark.conf.get("spark.sql.shuffle.partitions"))), MOST_BUCKETS)
+    with co_located(spark):
+        both = bucketed(coded(documents, a, b, block), "coded", n)
         rows = both.where("row IS NOT NULL").select("block", "row", "doc_id", "parts")
         units = both.where("unit IS NOT NULL").select("block", "unit", "a", "a_bytes", "b", "b_bytes")
-        found = bucketed(unit_groups(overlaps(units)), "aligned")
+        found = bucketed(unit_groups(overlaps(units)), "aligned", n)
         counts = pair_counts(rows, found)
         linked = found.select("block", "unit", F.explode("pairs").alias("pair")).join(counts.hint("shuffle_hash"), ["block", "pair"])
         sums = linked.groupBy("block", "unit").agg(F.count("*").alias("n_links"), F.sum("best").alias("n_best"), F.sum("count").alias("count_sum"))
