@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lexweave import config, preflight
 from lexweave.functions.formats import OWN_FORMAT, PRICES, export_format
-from lexweave.operators.completion import client, mock
+from lexweave.operators.completion import asking, mock
 from lexweave.operators.jobs import batch_status, results_report
 from lexweave.operators.providers import catalogue, factory
 from lexweave.plans import evaluation, service
@@ -29,7 +29,7 @@ def translate(spark: SparkSession, a: argparse.Namespace, complete=None) -> int:
     """Exit code of the batch: 0, 3 for warnings, 2 for failures.  Without a client the mock answers."""
     settings = config.load(a.config)
     if complete is None:
-        complete = client(factory(settings.llm, seconds=settings.llm_timeout), settings.max_retries, settings.retry_base_delay) if a.ask else mock()
+        complete = asking(factory(settings.llm, seconds=settings.llm_timeout, counts=True), settings.workers, settings.max_retries, settings.retry_base_delay, tasks=2 * spark.sparkContext.defaultParallelism) if a.ask else mock()
     found = extract(spark, a.folder, readers(spark, a.folder, {"doc": legacy_word(settings.subprocess_timeout), "pdf": _pdf_text}))
     documents = found.select(F.col("path").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     glossary = None if settings.glossary is None else spark.read.text(settings.glossary, wholetext=True).first()[0]
@@ -39,6 +39,7 @@ def translate(spark: SparkSession, a: argparse.Namespace, complete=None) -> int:
     named = outputs.withColumn("name", F.regexp_replace("doc_id", "^.*/", ""))
     write_texts(named, f"{a.output}/texts", key="name")
     metadata(named, "name").write.mode("overwrite").parquet(f"{a.output}/metadata")
+    got.usage.write.mode("overwrite").parquet(f"{a.output}/usage")
     got.issues.write.mode("overwrite").parquet(f"{a.output}/issues")
     jobs = outputs.withColumns({"job_id": F.col("doc_id").cast("string"), "target_lang": F.lit(options.target), "no_translate": F.lit(options.no_translate), "model": F.lit(options.llm), "source_file": F.regexp_replace("doc_id", "^.*/", "")})
     differences = None if got.discrepancies is None else got.discrepancies.withColumn("job_id", F.col("doc_id").cast("string"))

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import threading
 import time
-from collections.abc import Callable, Iterator
+from collections import deque
+from collections.abc import Callable, Iterable, Iterator
+from concurrent.futures import Executor, ThreadPoolExecutor
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lexweave.functions.text import stripped
+from lexweave.functions.text import let, stripped, token_estimate
 
 #: From a system and a user prompt to the answer.
 Completion = Callable[[Column, Column], Column]
@@ -50,22 +54,126 @@ def retryable(status: Column) -> Column:
     return status.isin(*RETRYABLE) | (status >= 500)
 
 
-def client(factory: Callable[[], Callable[[str, str], str]], retries: int = RETRIES, base: float = PAUSE) -> Completion:
-    """``factory`` runs once per Python worker; ConnectionError and TimeoutError are tried again, with their ``retry_after`` if any."""
+#: What a call gives: the answer or why there is none, tokens, attempts; null where there was nothing to ask.
+CALL = "struct<answer:string,error:string,tokens_in:bigint,tokens_out:bigint,attempts:int>"
+#: What a client's function may return: the answer, or the answer with its tokens in and out.
+Answer = str | tuple[str, int, int]
+
+
+class Asking(NamedTuple):
+    """Completions whose failures and tokens are data: a column of (system, user) to a CALL; a null user prompt is not asked.
+
+    ``tasks`` deals dear calls over as many tasks, whatever their texts' size.
+    """
+
+    call: Completion
+    tasks: int | None = None
+
+    def text(self, system: Column, user: Column) -> Column:
+        return self.call(system, user)["answer"]
+
+
+def _call(answer: Column, error: Column, into: Column, out: Column) -> Column:
+    some = F.when(error.isNull(), 1).otherwise(0)
+    return F.struct(answer.alias("answer"), error.alias("error"), (into * some).cast("long").alias("tokens_in"), (out * some).cast("long").alias("tokens_out"), F.lit(1).alias("attempts"))
+
+
+def counted(complete: Completion, fails: Completion | None = None) -> Asking:
+    """A completion as calls, its tokens by the estimate of texts; where ``fails`` gives a message the call has failed with it."""
+
+    def call(system: Column, user: Column) -> Column:
+        error = F.lit(None).cast("string") if fails is None else fails(system, user)
+        made = let(F.struct(complete(system, user).alias("answer"), error.alias("error")), lambda x: _call(
+            F.when(x["error"].isNull(), x["answer"]), x["error"], token_estimate(system) + token_estimate(user), F.coalesce(token_estimate(x["answer"]), F.lit(0)),
+        ))
+        return F.when(user.isNotNull(), made)
+
+    return Asking(call)
+
+
+class RetryClock:
+    """When a worker's threads may ask again: a server's hint to one of them holds for all."""
+
+    def __init__(self) -> None:
+        self.lock, self.until = threading.Lock(), 0.0
+
+    def hold(self, seconds: float) -> None:
+        with self.lock:
+            self.until = max(self.until, time.monotonic() + seconds)
+
+    def wait(self) -> None:
+        while (left := self.until - time.monotonic()) > 0:
+            time.sleep(left)
+
+
+def ask_once(ask: Callable[[str, str], Answer], clock: RetryClock, system: str, user: str | None, retries: int, base: float) -> tuple | None:
+    """A CALL's values: ConnectionError and TimeoutError are tried again, any other error is the call's at once."""
+    if user is None:
+        return None
+    error = ""
+    for attempt in range(1, retries + 2):
+        clock.wait()
+        try:
+            got = ask(system, user)
+        except (ConnectionError, TimeoutError) as e:
+            error = f"{type(e).__name__}: {e}"
+            if attempt <= retries:
+                clock.hold(pause(attempt - 1, getattr(e, "retry_after", None), base))
+        except Exception as e:  # the document's failure, not the job's
+            return None, f"{type(e).__name__}: {e}", 0, 0, attempt
+        else:
+            text, into, out = got if isinstance(got, tuple) else (got, estimate(system) + estimate(user), estimate(got))
+            return text, None, max(0, into), max(0, out), attempt
+    return None, error, 0, 0, retries + 1
+
+
+def estimate(text: str) -> int:
+    """Tokens of a text where a client counts none: a quarter of its characters, at least one."""
+    n = len(text.strip())
+    return max(1, -(-n // 4)) if n else 0
+
+
+def in_order(pool: Executor, function: Callable, rows: Iterable, ahead: int) -> Iterator:
+    """Results in the rows' order; at most ``ahead`` rows are taken before their turn, so a slow one holds the reading back."""
+    waiting: deque = deque()
+    for row in rows:
+        if len(waiting) >= ahead:
+            yield waiting.popleft().result()
+        waiting.append(pool.submit(function, *row))
+    while waiting:
+        yield waiting.popleft().result()
+
+
+def asking(factory: Callable[[], Callable[[str, str], Answer]], workers: int = 4, retries: int = RETRIES, base: float = PAUSE, tasks: int | None = None) -> Asking:
+    """``factory`` runs once per task, whose ``workers`` threads ask at the same time; failures are data."""
+
+    @F.pandas_udf(CALL)
+    def call(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        ask, clock = factory(), RetryClock()
+        names = ["answer", "error", "tokens_in", "tokens_out", "attempts"]
+        with ThreadPoolExecutor(workers) as pool:
+            one = lambda system, user: ask_once(ask, clock, system, user, retries, base)
+            for systems, users in batches:
+                rows = [r or (None,) * 5 for r in in_order(pool, one, zip(systems, users), 2 * workers)]
+                out = pd.DataFrame(rows, columns=names, dtype="object")
+                yield out.astype({"tokens_in": "Int64", "tokens_out": "Int64", "attempts": "Int32"})
+
+    call = call.asNondeterministic()
+    return Asking(lambda system, user: call(system, user), tasks)
+
+
+def client(factory: Callable[[], Callable[[str, str], Answer]], retries: int = RETRIES, base: float = PAUSE) -> Completion:
+    """The answers alone: a call that fails after its retries ends the job.  asking() makes failures data instead."""
 
     @F.pandas_udf("string")
     def call(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        ask = factory()
-
-        def one(system: str, user: str) -> str:
-            for attempt in range(retries + 1):
-                try:
-                    return ask(system, user)
-                except (ConnectionError, TimeoutError) as e:
-                    if attempt == retries:
-                        raise
-                    time.sleep(pause(attempt, getattr(e, "retry_after", None), base))
-            raise AssertionError
+        ask, clock = factory(), RetryClock()
+
+        def one(system: str, user: str | None) -> str | None:
+            made = ask_once(ask, clock, system, user, retries, base)
+            if made is not None and made[1] is not None:
+                raise RuntimeError(made[1])
+            return made and made[0]
 
         for systems, users in batches:
             yield pd.Series([one(s, u) for s, u in zip(systems, users)], dtype="object")

@@ -63,6 +63,23 @@ def rule(sample: Column) -> Column:
     return F.coalesce(script, let(scores(sample), best))
 
 
+def language_prompt(text: Column, threshold: float = CONFIDENT) -> tuple[Column, Column]:
+    """What asks for a text's language; the user prompt is null where the rule is sure."""
+    system = F.lit("Name the main language of the text. Answer with its two-letter ISO 639-1 code only.")
+
+    def unsure(s: Column) -> Column:
+        found = F.when(F.length(stripped(s)) >= SHORT, rule(s))
+        return F.when(F.coalesce(found["confidence"] < threshold, F.lit(True)), F.left(s, F.lit(AI_SAMPLE)))
+
+    return system, let(language_sample(text), unsure)
+
+
+def legal_prompt(text: Column) -> tuple[Column, Column]:
+    """What asks whether a text is legal; the user prompt is null where its hits decide."""
+    system = F.lit('Is this document mainly a legal contract, agreement or similar instrument? Answer with JSON: {"is_legal": bool, "confidence": number}.')
+    return system, F.when(legal_hits(text).between(1, LEGAL_HITS - 1), F.left(text, F.lit(AI_SAMPLE)))
+
+
 def language(text: Column, complete: Completion | None = None, threshold: float = CONFIDENT) -> Column:
     """(lang, confidence, used_ai) of a text, from its first, middle and last chunk.
 
@@ -70,10 +87,9 @@ def language(text: Column, complete: Completion | None = None, threshold: float
     asks the completion but keeps its own confidence, and without one its own language.
     """
     answer = lambda lang, confidence, ai: F.struct(lang.alias("lang"), confidence.cast("double").alias("confidence"), F.lit(ai).alias("used_ai"))
-    system = F.lit("Name the main language of the text. Answer with its two-letter ISO 639-1 code only.")
     sample = language_sample(text)
     # A client's answer is no part of a lambda, so the prompt is made beside it.
-    asked = None if complete is None else language_answer(complete(system, F.left(sample, F.lit(AI_SAMPLE))))
+    asked = None if complete is None else language_answer(complete(*language_prompt(text, threshold)))
     found = let(sample, lambda s: F.when(F.length(stripped(s)) >= SHORT, rule(s)))
     if asked is None:
         return let(found, lambda f: F.when(f.isNull(), answer(F.lit("unknown"), F.lit(0.0), False)).otherwise(answer(f["lang"], f["confidence"], False)))
@@ -96,7 +112,7 @@ def legal(text: Column, complete: Completion | None = None) -> Column:
     no = F.lit(False)
     if complete is None:
         return let(legal_hits(text), lambda hits: answer(hits >= 2, False, no))
-    raw = complete(F.lit('Is this document mainly a legal contract, agreement or similar instrument? Answer with JSON: {"is_legal": bool, "confidence": number}.'), F.left(text, F.lit(AI_SAMPLE)))
+    raw = complete(*legal_prompt(text))
     found = F.try_parse_json(F.nullif(F.regexp_extract(raw, LEGAL_OBJECT, 0), F.lit("")))
     said = F.coalesce(~F.try_variant_get(found, "$.is_legal", "string").isin("", "false", "0", "0.0", "[]", "{}"), no)
 

@@ -11,6 +11,7 @@ from collections.abc import Callable
 from email.utils import parsedate_to_datetime
 
 from lexweave.functions.formats import DEFAULT_PROVIDER, PRICES
+from lexweave.operators.completion import Answer
 
 # Where keys are, addresses, longest answer in tokens.
 KEYS = {"cursor": "CURSOR_API_KEY", "openai": "OPENAI_API_KEY", "anthropic": "ANTHROPIC_API_KEY", "google": "GOOGLE_API_KEY"}
@@ -81,28 +82,29 @@ def _answer(provider: str, got: dict) -> tuple[str, int, int]:
     return "".join(p.get("text", "") for p in got["candidates"][0]["content"]["parts"]), used.get("promptTokenCount") or 0, used.get("candidatesTokenCount") or 0
 
 
-def factory(selector: str, key: str | None = None, seconds: float = 300.0, send: Post = post, used: Callable[[int, int], None] | None = None) -> Callable[[], Callable[[str, str], str]]:
+def factory(selector: str, key: str | None = None, seconds: float = 300.0, send: Post = post, used: Callable[[int, int], None] | None = None, counts: bool = False) -> Callable[[], Callable[[str, str], Answer]]:
     """A client per Python worker for a selector provider:model.
 
-    The key is the given one or that of the worker's environment; ``used`` is told the tokens of every answer (an accumulator's add, say).
+    The key is the given one or that of the worker's environment; ``used`` is told the tokens of every answer (an accumulator's add, say),
+    and with ``counts`` the client returns them beside it.
     """
     provider, _, model = selector.partition(":") if ":" in selector else (DEFAULT_PROVIDER, ":", selector)
     if provider not in URLS:
         raise ValueError(f"CONFIGURATION_ERROR: {provider} has no client here; give completion.client a factory")
 
-    def make() -> Callable[[str, str], str]:
+    def make() -> Callable[[str, str], Answer]:
         own = key or os.environ.get(KEYS[provider])
         if not own:
             raise ValueError(f"CONFIGURATION_ERROR: {KEYS[provider]} is not set")
 
-        def ask(system: str, user: str) -> str:
+        def ask(system: str, user: str) -> Answer:
             headers, body = _request(provider, model, own, system, user)
             text, into, out = _answer(provider, send(URLS[provider].format(model=model), headers, body, seconds))
             if not text.strip():
                 raise RuntimeError(f"PIPELINE_FAILED: {provider} gave an empty answer")
             if used is not None:
                 used(max(0, into), max(0, out))
-            return text.strip()
+            return (text.strip(), max(0, into), max(0, out)) if counts else text.strip()
 
         return ask
 

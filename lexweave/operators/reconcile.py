@@ -11,14 +11,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexweave.functions.formats import language_name
-from lexweave.functions.text import longer_variant, protected_tokens, sentences, severity
+from lexweave.functions.text import longer_variant, protected_tokens, sentences, severity, stripped
 from lexweave.operators.compare import SIMILARITY_THRESHOLD, flagged, indel_ratio
-from lexweave.operators.completion import Completion, answer_field, answer_object, says_equivalent
+from lexweave.operators.completion import Asking, Completion, answer_field, answer_object, says_equivalent
+from lexweave.operators.translate import context_block, system_prompt, third_pass_prompt
 
 KEYS = ["doc_id", "chunk_index"]
 #: Smallest lead of a consensus that needs no adjudication.
 CONSENSUS_LEAD = 5.0
 CONTEXT = 2
+#: What prompts say of a chunk's document, where the chunks have it.
+FACTS = ["source_lang", "is_legal", "context", "summary", "heading_context"]
 
 
 def semantic_system(lang: Column) -> Column:
@@ -51,39 +54,61 @@ def consensus(rows: DataFrame, a: str, b: str, c: str) -> DataFrame:
     return rows.withColumns({"consensus": best[0]["text"], "variant": best[0]["variant"], "unclear": unclear}).drop("__ab", "__ac", "__bc")
 
 
-def discrepancies(chunks: DataFrame, complete: Completion, lang: str = "en", threshold: float = SIMILARITY_THRESHOLD, glossary: Column | None = None) -> DataFrame:
-    """A row for each flagged sentence of chunks (KEYS, source, t1, t2): its spans, analysis and resolution."""
+def discrepancies(chunks: DataFrame, complete: Completion | Asking, lang: str = "en", threshold: float = SIMILARITY_THRESHOLD, glossary: Column | None = None) -> DataFrame:
+    """A row for each flagged sentence of chunks (KEYS, source, t1, t2): its spans, analysis and resolution.
+
+    With the documents' FACTS beside them all prompts carry these, and the third pass asks as the first two did.  An Asking adds ``calls`` (every
+    call made), ``unparsed`` (which answers were no JSON object) and keeps failures as data: a failed analysis is no equivalence,
+    a failed third pass or adjudication leaves the first variant.
+    """
+    calls = isinstance(complete, Asking)
+    call = complete.call if calls else lambda system, user: F.struct(complete(system, user).alias("answer"))
+    asked = lambda c: c["attempts"].isNotNull() if calls else c.isNotNull()
+    facts = [c for c in FACTS if c in chunks.columns]
+    about, section = F.lit(""), F.lit("")
+    if len(facts) == len(FACTS):
+        about = context_block(F.col("context"), None, F.col("summary"), F.lit(""))
+        about = F.concat(F.when(F.col("is_legal"), "The document is legal: its obligations, names, dates and amounts count.\n\n").otherwise(""), about)
+        section = context_block(F.col("context"), glossary, F.col("summary"), F.col("heading_context"))
     s1, s2, src = (sentences(F.coalesce(F.col(c), F.lit(""))) for c in ("t1", "t2", "source"))
-    rows = chunks.select(*KEYS, F.coalesce("source", F.lit("")).alias("source"), s1.alias("s1"), s2.alias("s2"), src.alias("src"))
+    rows = chunks.select(*KEYS, *facts, F.coalesce("source", F.lit("")).alias("source"), s1.alias("s1"), s2.alias("s2"), src.alias("src"))
     pair = F.zip_with("s1", "s2", lambda x, y: F.struct(F.coalesce(x, F.lit("")).alias("translation_1"), F.coalesce(y, F.lit("")).alias("translation_2")))
-    rows = rows.select(*KEYS, "source", "s1", "src", F.posexplode(pair).alias("sentence_index", "p"))
+    rows = rows.select(*KEYS, *facts, "source", "s1", "src", F.posexplode(pair).alias("sentence_index", "p"))
     i = F.col("sentence_index")
     before = F.array_join(F.slice("s1", F.greatest(i - CONTEXT, F.lit(0)) + 1, F.least(i, F.lit(CONTEXT))), " ")
     after = F.when(i + 2 <= F.size("s1"), F.array_join(F.slice("s1", F.least(i + 2, F.size("s1")), F.lit(CONTEXT)), " ")).otherwise("")
     span = F.coalesce(F.try_element_at("src", i + 1), F.lit(""))
-    rows = rows.select(*KEYS, "sentence_index", "p.translation_1", "p.translation_2", span.alias("source_span"), before.alias("before"), after.alias("after"), "source")
+    rows = rows.select(*KEYS, *facts, "sentence_index", "p.translation_1", "p.translation_2", span.alias("source_span"), before.alias("before"), after.alias("after"), "source")
     rows = flagged(rows, threshold, glossary)
     code = F.lit(lang)
-    user = F.concat(F.lit("Source:\n"), "source_span", F.lit("\n\nBefore:\n"), "before", F.lit("\n\nAfter:\n"), "after", F.lit("\n\nTranslation 1:\n"), "translation_1", F.lit("\n\nTranslation 2:\n"), "translation_2")
-    rows = rows.withColumn("analysis", complete(semantic_system(code), user))
+    user = F.concat(about, F.lit("Source:\n"), "source_span", F.lit("\n\nBefore:\n"), "before", F.lit("\n\nAfter:\n"), "after", F.lit("\n\nTranslation 1:\n"), "translation_1", F.lit("\n\nTranslation 2:\n"), "translation_2")
+    rows = rows.withColumn("call_1", call(semantic_system(code), user)).withColumn("analysis", F.col("call_1.answer"))
     rows = rows.withColumns({
         "equivalent": F.coalesce(says_equivalent(F.col("analysis")), F.lit(False)),
         "severity": F.coalesce(severity(answer_field(F.col("analysis"), "severity")), F.lit("medium")),
         "explanation": F.coalesce(answer_field(F.col("analysis"), "explanation"), F.when(answer_object(F.col("analysis")).isNull(), F.lit("The analysis was no JSON object.")).otherwise("")),
     })
-    same = rows.where("equivalent").withColumns({"resolution": longer_variant(F.col("translation_1"), F.col("translation_2")), "translation_3": F.lit(None).cast("string")})
+    same = rows.where("equivalent").withColumns({"resolution": longer_variant(F.col("translation_1"), F.col("translation_2")), "translation_3": F.lit(None).cast("string"), "calls": F.filter(F.array("call_1"), asked), "unparsed": F.array().cast("array<string>")})
     other = rows.where("not equivalent")
-    other = other.withColumn("translation_3", complete(third_pass_system(code), F.when(F.col("source_span") != "", F.col("source_span")).otherwise(F.col("source"))))
+    span = F.when(F.col("source_span") != "", F.col("source_span")).otherwise(F.col("source"))
+    third = (third_pass_system(code), span)
+    if len(facts) == len(FACTS):
+        third = (system_prompt(code, glossary), third_pass_prompt(span, F.col("source_lang"), code, F.col("is_legal"), section))
+    other = other.withColumn("call_2", call(*third)).withColumn("translation_3", stripped(F.col("call_2.answer")))
     other = consensus(other, "translation_1", "translation_2", "translation_3")
-    ask = F.concat(F.lit("Source span:\n"), F.when(F.col("source_span") != "", F.col("source_span")).otherwise(F.col("source")), *[x for k in (1, 2, 3) for x in (F.lit(f"\n\nVariant {k}:\n"), F.col(f"translation_{k}"))])
+    ask = F.concat(about, F.lit("Source span:\n"), span, *[x for k in (1, 2, 3) for x in (F.lit(f"\n\nVariant {k}:\n"), F.col(f"translation_{k}"))])
     hard = F.col("unclear") | (F.col("severity") == "breaking")
-    other = other.withColumn("judged", F.when(hard, complete(adjudication_system(code), ask)))
+    hard = F.coalesce(hard, F.lit(True))
+    other = other.withColumn("call_3", F.when(hard, call(adjudication_system(code), F.when(hard, ask)))).withColumn("judged", F.col("call_3.answer"))
     unparsed = answer_object(F.col("judged")).isNull()
     decided = F.when(~hard, F.col("consensus")).when(unparsed, F.col("translation_1")).otherwise(F.coalesce(answer_field(F.col("judged"), "resolved_text"), F.col("consensus")))
     reason = F.when(~hard, F.concat(F.lit("programmatic consensus (variant "), F.col("variant").cast("string"), F.lit(")")))
     reason = reason.when(unparsed, F.lit("Fallback to variant 1")).otherwise(F.coalesce(answer_field(F.col("judged"), "rationale"), F.lit("")))
     other = other.withColumns({"resolution": decided, "explanation": F.regexp_replace(F.concat("explanation", F.lit("; "), reason), r"^[; ]+|[; ]+$", "")})
-    columns = [*KEYS, "sentence_index", "source_span", "translation_1", "translation_2", "translation_3", "similarity", "protected_token_mismatch", "equivalent", "severity", "explanation", "resolution"]
+    no_object = lambda where, raw, what: F.when(where & answer_object(F.col(raw)).isNull(), F.lit(what))
+    failed = F.array_compact(F.array(no_object(F.lit(True), "analysis", "semantic analysis"), no_object(hard, "judged", "adjudication")))
+    other = other.withColumns({"calls": F.filter(F.array("call_1", "call_2", "call_3"), asked), "unparsed": failed})
+    columns = [*KEYS, "sentence_index", "source_span", "translation_1", "translation_2", "translation_3", "similarity", "protected_token_mismatch", "equivalent", "severity", "explanation", "resolution", *(["calls", "unparsed"] if calls else [])]
     return same.select(*columns).unionByName(other.select(*columns)).withColumns({"resolved": F.lit(True), "chosen_variant": F.col("resolution")})
 
 

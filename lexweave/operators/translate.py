@@ -9,7 +9,7 @@ from lexweave.functions.formats import language_name
 from lexweave.functions.text import source_hash, stripped
 from lexweave.operators import glossary as G
 from lexweave.operators.chunking import chunk, document_summary, reassemble
-from lexweave.operators.completion import Completion
+from lexweave.operators.completion import Asking, Completion
 
 LEGAL_NOTE = " This is a legal document: keep its obligations and defined terms exactly."
 #: Columns that name a memo's row, beside a chunk's keys.
@@ -74,6 +74,60 @@ def translate_chunks(chunks: DataFrame, complete: Completion, memo: DataFrame, k
     return known.select(*wanted, "text").unionByName(made.select(*wanted, "text"))
 
 
+def attempt_chunks(chunks: DataFrame, asking: Asking, memo: DataFrame, keys: list[str], glossary: Column | None = None) -> DataFrame:
+    """All chunks as translate_chunks() takes them: keys, chunk_index, MEMO, text, error, tokens_in, tokens_out, known (from the memo).
+
+    A chunk whose call failed has an error and no text; it concerns no other chunk.  memo_rows() of the result is the memo's.
+    """
+    wanted = [*keys, "chunk_index", *MEMO]
+    context = context_block(F.col("context"), glossary, F.col("summary"), F.col("heading_context"))
+    prompt = user_prompt(F.col("chunk_index"), F.col("text"), F.col("source_lang"), F.col("target_lang"), F.col("is_legal"), context)
+    todo = pending(chunks, memo, keys)
+    if asking.tasks:
+        todo = todo.repartition(asking.tasks, *keys, "chunk_index")
+    called = todo.select(*wanted, asking.call(system_prompt(F.col("target_lang"), glossary), prompt).alias("c"))
+    made = called.select(*wanted, stripped(F.col("c.answer")).alias("text"), "c.error", "c.tokens_in", "c.tokens_out", F.lit(False).alias("known"))
+    kept = memo.groupBy(*wanted).agg(F.min("text").alias("text")).join(chunks.select(*wanted), wanted, "left_semi")
+    nothing = F.lit(0).cast("long")
+    return kept.select(*wanted, "text", F.lit(None).cast("string").alias("error"), nothing.alias("tokens_in"), nothing.alias("tokens_out"), F.lit(True).alias("known")).unionByName(made)
+
+
+def memo_rows(attempts: DataFrame, keys: list[str]) -> DataFrame:
+    """Of attempt_chunks() the rows to keep: those that succeeded."""
+    return attempts.where("error IS NULL").select(*keys, "chunk_index", *MEMO, "text")
+
+
+def failures(attempts: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, chunks, failed, first_failed (chunk_index), error of the documents with a failed chunk."""
+    bad = F.col("error").isNotNull()
+    first = F.min(F.when(bad, F.struct("chunk_index", "error"))).alias("first")
+    out = attempts.groupBy(*keys).agg(F.count("*").alias("chunks"), F.count("error").alias("failed"), first).where("failed > 0")
+    return out.select(*keys, "chunks", "failed", F.col("first.chunk_index").alias("first_failed"), F.col("first.error").alias("error"))
+
+
+def document_results(attempts: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per document of attempt_chunks(), in one aggregation: status, chunks, failed, first_failed, error, text, n_calls, tokens_in, tokens_out.
+
+    A document with a failed chunk has failed and has no text; its other chunks are in the memo all the same.
+    """
+    bad = F.col("error").isNotNull()
+    asked = (~F.col("known")) & ~bad
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", F.coalesce("text", F.lit("")).alias("text")))), lambda c: stripped(c["text"]))
+    text = F.concat(stripped(F.array_join(F.filter(parts, lambda p: p != ""), "\n\n")), F.lit("\n"))
+    first = F.min(F.when(bad, F.struct("chunk_index", "error")))
+    out = attempts.groupBy(*keys).agg(
+        F.count("*").alias("chunks"), F.count("error").alias("failed"), first.alias("first"), text.alias("text"),
+        F.count(F.when(asked, 1)).alias("n_calls"), F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"),
+    )
+    whole = F.col("failed") == 0
+    return out.select(*keys, F.when(whole, "completed").otherwise("failed").alias("status"), "chunks", "failed", F.col("first.chunk_index").alias("first_failed"), F.col("first.error").alias("error"), F.when(whole, F.col("text")).alias("text"), "n_calls", "tokens_in", "tokens_out")
+
+
+def calls_of(attempts: DataFrame, job: Column, selector: str) -> DataFrame:
+    """job_id, selector, tokens_in, tokens_out of every call that was made and answered."""
+    return attempts.where("NOT known AND error IS NULL").select(job.alias("job_id"), F.lit(selector).alias("selector"), "tokens_in", "tokens_out")
+
+
 def document_chunks(documents: DataFrame, key: str, llm: str, pass_num: int = 1, max_chars: int = 2500, overlap: int = 2) -> DataFrame:
     """Chunks of documents (key, text, source_lang, target_lang, is_legal, context) as translate_chunks() takes them.
 

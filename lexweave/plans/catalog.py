@@ -16,7 +16,8 @@ from lexweave.operators import jobs as J
 from lexweave.operators import runs as N
 from lexweave.operators.chunking import chunk, document_summary, language_sample, reassemble
 from lexweave.operators.compare import flagged, sentence_pairs
-from lexweave.operators.completion import mock
+from lexweave.operators import translate as TR
+from lexweave.operators.completion import counted, mock
 from lexweave.operators.reconcile import discrepancies, resolved_chunks
 from lexweave.operators.translate import LEGAL_NOTE
 from lexweave.operators.translate import pending as pending_rows
@@ -201,6 +202,42 @@ def language_names(spark: SparkSession, sf: str) -> DataFrame:
     return _docs(spark, sf).groupBy("lang").agg(F.first(R.language_name(F.col("lang"))).alias("language"), F.count("*").alias("n"))
 
 
+def _attempts(spark: SparkSession, sf: str) -> DataFrame:
+    """The conversations' chunks as a client answers them that fails for about an eighth, by the chunk's digest."""
+    rows = _conversations(spark, sf).withColumns({"source_lang": F.lit("de"), "target_lang": F.lit("en"), "is_legal": F.lit(False), "context": F.lit("")})
+    own = lambda user: F.regexp_extract(user, r"(?s)Chunk \d+\n\n(.*)$", 1)
+    fails = lambda system, user: F.when(F.substring(F.sha2(own(user), 256), 1, 1).isin("0", "1"), "ConnectionError: HTTP 503")
+    asking = counted(lambda system, user: F.concat(F.lit("[EN] "), own(user)), fails)
+    return TR.attempt_chunks(TR.document_chunks(rows, "conv_id", USED), asking, TR.memo_of(spark, "conv_id long"), ["conv_id"])
+
+
+USED = "openai:gpt-4o"
+_FAILS = "substr(sha256(text), 1, 1) IN ('0', '1')"
+
+
+@query(f"""SELECT conv_id, CASE WHEN bool_or({_FAILS}) THEN 'failed' ELSE 'completed' END AS status, count(*) AS chunks, count(*) FILTER ({_FAILS}) AS failed, min(chunk_index) FILTER ({_FAILS}) AS first_failed,
+CASE WHEN bool_or({_FAILS}) THEN 'ConnectionError: HTTP 503' ELSE string_agg('[EN] ' || text, chr(10) || chr(10) ORDER BY chunk_index) || chr(10) END AS error_or_text FROM ({_chunk_sql(2500, True)}) GROUP BY conv_id""")
+def partial_failures(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversations translated by a client that fails at times: the failure is its document's alone."""
+    rows = TR.document_results(_attempts(spark, sf), ["conv_id"])
+    return rows.select("conv_id", "status", "chunks", "failed", "first_failed", F.coalesce("error", "text").alias("error_or_text"))
+
+
+_SYSTEM = "You are a professional translator of documents. Translate the text faithfully into English (en). Keep the Markdown structure: headings, lists, numbering and paragraphs. In legal text keep modal verbs, names of parties, dates and amounts exactly. Return only the translated Markdown."
+_BEGIN = r"regexp_replace(substr(CASE WHEN len(c) = 1 THEN substr(c[1], 1, 250) ELSE substr(c[1], 1, 250) || chr(10) || '...' || chr(10) || substr(c[len(c)], 1, 250) END, 1, 500), '^\s+|\s+$', '', 'g')"
+_QUARTER = lambda t: f"CAST(ceil(length({t}) / 4.0) AS BIGINT)"
+
+
+@query(f"""WITH s AS (SELECT conv_id, {_BEGIN} AS summary FROM (SELECT conv_id, list(text ORDER BY chunk_index) AS c FROM ({_chunk_sql(2000, False)}) GROUP BY conv_id)),
+u AS (SELECT conv_id, {_QUARTER(f"'{_SYSTEM}'")} + {_QUARTER("'Source language: de. Target language: English (en).' || chr(10) || CASE WHEN summary <> '' THEN 'Document summary:' || chr(10) || summary || chr(10) ELSE '' END || 'Section context: ' || heading_context || chr(10) || chr(10) || 'Chunk ' || (chunk_index + 1) || chr(10) || chr(10) || text")} AS tokens_in,
+{_QUARTER("'[EN] ' || text")} AS tokens_out, NOT {_FAILS} AS ok FROM ({_chunk_sql(2500, True)}) JOIN s USING (conv_id)),
+j AS (SELECT conv_id, count(*) FILTER (ok) AS n_calls, coalesce(CAST(sum(tokens_in) FILTER (ok) AS BIGINT), 0) AS tokens_in, coalesce(CAST(sum(tokens_out) FILTER (ok) AS BIGINT), 0) AS tokens_out FROM u GROUP BY conv_id)
+SELECT CAST(conv_id AS VARCHAR) AS job_id, '{USED}' AS selector, n_calls, tokens_in, tokens_out, round_even(tokens_in * {R.PRICES[USED][0]}::DOUBLE + tokens_out * {R.PRICES[USED][1]}::DOUBLE, 0) / 1000000 AS cost FROM j WHERE n_calls > 0""")
+def usage_by_job(spark: SparkSession, sf: str) -> DataFrame:
+    """Calls, tokens and cost of each conversation's translation; a failed call costs nothing."""
+    return J.usage_cost(TR.calls_of(_attempts(spark, sf), F.col("conv_id").cast("string"), USED))
+
+
 _ISSUES = """(SELECT 'j' || (doc_id % 97) AS job_id, doc_id AS pos, CASE doc_id % 5 WHEN 0 THEN 'warn' WHEN 1 THEN 'info' ELSE 'debug' END AS severity, 'm' || doc_id AS message FROM documents)"""
 
 
