@@ -46,29 +46,33 @@ def scores(sample: Column) -> Column:
     return F.transform(found, lambda x: F.struct((-x["n"]).alias("n"), x["lang"].alias("lang")))
 
 
+def script_of(sample: Column) -> Column:
+    """(lang, confidence) by the script of a sample's letters, its share the confidence; null where no script decides."""
+    letters = F.greatest(F.regexp_count(sample, F.lit(r"\p{L}")), F.lit(1))
+    shares = F.array(*[F.struct(F.lit(lang).alias("lang"), (F.regexp_count(sample, F.lit(pattern)) / letters).alias("share")) for lang, pattern in SCRIPTS.items()])
+    answer = lambda x: F.struct(x["lang"].alias("lang"), F.least(F.lit(1.0), x["share"]).cast("double").alias("confidence"))
+    return let(F.filter(shares, lambda x: x["share"] >= SCRIPT_SHARE), lambda x: F.when(F.size(x) > 0, answer(x[0])))
+
+
 def rule(sample: Column) -> Column:
     """(lang, confidence) by script or by function words; null where neither says anything.
 
     A script's confidence is its share of the letters; that of words is the share of the best language in all function words found.
     """
     answer = lambda lang, confidence: F.struct(lang.alias("lang"), confidence.cast("double").alias("confidence"))
-    letters = F.greatest(F.regexp_count(sample, F.lit(r"\p{L}")), F.lit(1))
-    shares = F.array(*[F.struct(F.lit(lang).alias("lang"), (F.regexp_count(sample, F.lit(pattern)) / letters).alias("share")) for lang, pattern in SCRIPTS.items()])
-    script = let(F.filter(shares, lambda x: x["share"] >= SCRIPT_SHARE), lambda x: F.when(F.size(x) > 0, answer(x[0]["lang"], F.least(F.lit(1.0), x[0]["share"]))))
-
     def best(ranked: Column) -> Column:
         total = F.aggregate(ranked, F.lit(0), lambda s, x: s + x["n"])
         return F.when(total > 0, answer(ranked[0]["lang"], ranked[0]["n"] / total))
 
-    return F.coalesce(script, let(scores(sample), best))
+    return F.coalesce(script_of(sample), let(scores(sample), best))
 
 
-def language_prompt(text: Column, threshold: float = CONFIDENT) -> tuple[Column, Column]:
+def language_prompt(text: Column, threshold: float = CONFIDENT, known: Column | None = None) -> tuple[Column, Column]:
     """What asks for a text's language; the user prompt is null where the rule is sure."""
     system = F.lit("Name the main language of the text. Answer with its two-letter ISO 639-1 code only.")
 
     def unsure(s: Column) -> Column:
-        found = F.when(F.length(stripped(s)) >= SHORT, rule(s))
+        found = known if known is not None else F.when(F.length(stripped(s)) >= SHORT, rule(s))
         return F.when(F.coalesce(found["confidence"] < threshold, F.lit(True)), F.left(s, F.lit(AI_SAMPLE)))
 
     return system, let(language_sample(text), unsure)
@@ -80,17 +84,19 @@ def legal_prompt(text: Column) -> tuple[Column, Column]:
     return system, F.when(legal_hits(text).between(1, LEGAL_HITS - 1), F.left(text, F.lit(AI_SAMPLE)))
 
 
-def language(text: Column, complete: Completion | None = None, threshold: float = CONFIDENT) -> Column:
+def language(text: Column, complete: Completion | None = None, threshold: float = CONFIDENT, known: Column | None = None) -> Column:
     """(lang, confidence, used_ai) of a text, from its first, middle and last chunk.
 
+    ``known`` is a (lang, confidence) found before, as by ``ngrams.detect``, in place of the word lists.
+
     Short samples and those without any sign go to the completion (confidence 0.5), or are unknown (0) without one; an unsure rule
     asks the completion but keeps its own confidence, and without one its own language.
     """
     answer = lambda lang, confidence, ai: F.struct(lang.alias("lang"), confidence.cast("double").alias("confidence"), F.lit(ai).alias("used_ai"))
     sample = language_sample(text)
     # A client's answer is no part of a lambda, so the prompt is made beside it.
-    asked = None if complete is None else language_answer(complete(*language_prompt(text, threshold)))
-    found = let(sample, lambda s: F.when(F.length(stripped(s)) >= SHORT, rule(s)))
+    asked = None if complete is None else language_answer(complete(*language_prompt(text, threshold, known)))
+    found = known if known is not None else let(sample, lambda s: F.when(F.length(stripped(s)) >= SHORT, rule(s)))
     if asked is None:
         return let(found, lambda f: F.when(f.isNull(), answer(F.lit("unknown"), F.lit(0.0), False)).otherwise(answer(f["lang"], f["confidence"], False)))
     return let(

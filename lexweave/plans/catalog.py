@@ -13,6 +13,7 @@ from lexweave.functions import text as T
 from lexweave.operators import detect as D
 from lexweave.operators import glossary as G
 from lexweave.operators import jobs as J
+from lexweave.operators import ngrams as NG
 from lexweave.operators import runs as N
 from lexweave.operators.chunking import chunk, document_summary, language_sample, reassemble
 from lexweave.operators.compare import flagged, sentence_pairs
@@ -362,20 +363,34 @@ def severity_norm(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "orders").select(p, T.severity(F.regexp_replace(p, "^[0-9]+-", "")).alias("severity")).groupBy("o_orderpriority", "severity").agg(F.count("*").alias("n"))
 
 
+_SAMPLE = r"regexp_replace(substr(regexp_replace(text, '^\s+|\s+$', '', 'g'), 1, 8000), '^\s+|\s+$', '', 'g')"  # of texts of one paragraph
+_GRAMS = """SELECT *, unnest([CASE WHEN i > 1 THEN substr(w, i, 1) END, CASE WHEN length(w) - i >= 1 THEN substr(w, i, 2) END, CASE WHEN length(w) - i >= 2 THEN substr(w, i, 3) END]) AS gram
+FROM (SELECT *, CAST(unnest(range(1, length(word) + 2)) AS BIGINT) AS i, ' ' || word || ' ' AS w FROM {0})"""
+
+
 def _detect_sql() -> str:
-    words = r"regexp_split_to_array(lower(sample), '[^\p{L}]+')"
-    counts = ", ".join("{'n': -len(list_filter(w, lambda x: x IN (" + ", ".join(f"'{x}'" for x in own) + f"))), 'lang': '{lang}'" + "}" for lang, own in sorted(D.WORDS.items()))
+    """Profiles of all labelled texts, and each text by them; scripts decide by themselves."""
     scripts = " ".join(f"WHEN {share} >= {D.SCRIPT_SHARE} THEN {{'lang': '{lang}', 'confidence': least(1.0, {share})}}" for lang, p in D.SCRIPTS.items() for share in [f"len(regexp_extract_all(sample, '{p}'))::DOUBLE / letters"])
-    found = f"CASE {scripts} WHEN total > 0 THEN {{'lang': s[1].lang, 'confidence': -s[1].n::DOUBLE / total}} END"
-    return f"""SELECT doc_id, lang AS given, CASE WHEN length(sample) < 40 OR f IS NULL THEN 'unknown' ELSE f.lang END AS detected, CASE WHEN length(sample) < 40 OR f IS NULL THEN 0.0 ELSE f.confidence END AS confidence
-FROM (SELECT doc_id, lang, sample, {found} AS f FROM (SELECT *, -list_sum([x.n for x in s]) AS total FROM (SELECT doc_id, lang, sample, greatest(1, len(regexp_extract_all(sample, '\\p{{L}}'))) AS letters, list_sort([{counts}]) AS s
-FROM (SELECT doc_id, lang, sample, {words} AS w FROM (SELECT doc_id, lang, regexp_replace(substr({_STRIP}, 1, 8000), '^\\s+|\\s+$', '', 'g') AS sample FROM documents)))))"""
+    return rf"""WITH cw AS (SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest(regexp_split_to_array(lower(text), '[^\p{{L}}]+')) AS word FROM documents WHERE lang IS NOT NULL) WHERE word <> '' GROUP BY ALL),
+cg AS (SELECT lang, gram, CAST(sum(n) AS BIGINT) AS n FROM ({_GRAMS.format('cw')}) WHERE gram IS NOT NULL GROUP BY ALL),
+k AS (SELECT * FROM cg QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, gram) <= {NG.SIZE}),
+t AS (SELECT lang, sum(n) AS total FROM k GROUP BY lang),
+p AS (SELECT g.gram, t.lang, CAST(round({NG.SCALE} * ln((coalesce(k.n, 0) + 0.5) / (t.total + {NG.SIZE / 2}))) AS BIGINT) AS score FROM (SELECT DISTINCT gram FROM k) g CROSS JOIN t LEFT JOIN k ON k.gram = g.gram AND k.lang = t.lang),
+d AS (SELECT doc_id, lang AS given, sample, CASE WHEN length(sample) >= {D.SHORT} THEN CASE {scripts} END END AS script
+FROM (SELECT *, greatest(1, len(regexp_extract_all(sample, '\p{{L}}'))) AS letters FROM (SELECT doc_id, lang, {_SAMPLE} AS sample FROM documents))),
+dw AS (SELECT doc_id, word FROM (SELECT doc_id, unnest(list_distinct(regexp_split_to_array(lower(sample), '[^\p{{L}}]+'))) AS word FROM d WHERE length(sample) >= {D.SHORT} AND script IS NULL) WHERE word <> ''),
+s AS (SELECT x.doc_id, p.lang, sum(p.score) AS score, count(*) AS n FROM ({_GRAMS.format('dw')}) x JOIN p USING (gram) GROUP BY ALL),
+b AS (SELECT doc_id, arg_min(lang, (-score, lang)) AS lang, max(score) AS top, any_value(n) AS n FROM s GROUP BY doc_id),
+c AS (SELECT b.doc_id, b.lang, round(1 / sum(exp((s.score - b.top) / ({NG.SCALE} * sqrt(b.n)))), 4) AS confidence FROM b JOIN s USING (doc_id) GROUP BY ALL)
+SELECT d.doc_id, d.given, coalesce(d.script.lang, c.lang, 'unknown') AS detected, coalesce(d.script.confidence, c.confidence, 0.0)::DOUBLE AS confidence FROM d LEFT JOIN c USING (doc_id)"""
 
 
 @query(_detect_sql())
 def lang_detect(spark: SparkSession, sf: str) -> DataFrame:
-    found = D.language(F.col("text"))
-    return _docs(spark, sf).select("doc_id", F.col("lang").alias("given"), found.alias("f")).select("doc_id", "given", F.col("f.lang").alias("detected"), F.col("f.confidence").alias("confidence"))
+    """Every document by the n-gram profiles of the table's own languages."""
+    docs = _docs(spark, sf)
+    found = NG.detect(docs.select("doc_id", F.col("lang").alias("given"), "text"), "text", NG.profile(docs.select("lang", "text")))
+    return found.select("doc_id", "given", F.coalesce("found.lang", F.lit("unknown")).alias("detected"), F.coalesce("found.confidence", F.lit(0.0)).alias("confidence"))
 
 
 @query(f"SELECT given, detected, count(*) AS n FROM ({_detect_sql()}) GROUP BY given, detected")

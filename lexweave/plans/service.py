@@ -17,6 +17,7 @@ from lexweave.operators import jobs as J
 from lexweave.operators import translate as TR
 from lexweave.operators.chunking import reassemble
 from lexweave.operators.completion import CALL, Asking, Completion, counted
+from lexweave.operators.ngrams import Profile, detect
 from lexweave.operators.reconcile import FACTS, discrepancies, misaligned, resolved_chunks
 
 
@@ -47,7 +48,7 @@ def _size(documents: DataFrame) -> tuple[Column, Column]:
     return own("pages", "int", F.lit(None).cast("int")), own("bytes", "long", F.octet_length("text").cast("long"))
 
 
-def prepared(documents: DataFrame, options: Options, asking: Asking | None = None) -> DataFrame:
+def prepared(documents: DataFrame, options: Options, asking: Asking | None = None, profile: Profile | None = None) -> DataFrame:
     """Documents (doc_id, text, and if they have them source_lang, an override, pages and bytes of the file) with what the stages before translation find.
 
     Only texts of which the rules are unsure are asked for; ``calls`` has what was.
@@ -56,12 +57,15 @@ def prepared(documents: DataFrame, options: Options, asking: Asking | None = Non
     body = F.coalesce(normalize(F.col("text")), F.lit(""))
     pages, size = _size(documents)
     rows = documents.select("doc_id", body.alias("text"), given.alias("override"), F.contains(F.coalesce("text", F.lit("")), F.lit("�")).alias("loss"), pages.alias("pages"), size.alias("bytes"))
+    known = None
+    if profile is not None:
+        rows, known = detect(rows.withColumn("own_text", F.col("text")), "text", profile).withColumnsRenamed({"own_text": "text", "found": "known"}), F.col("known")
     calls = F.array().cast(f"array<{CALL}>")
     if asking is not None:
-        rows = rows.withColumns({"call_1": asking.call(*D.language_prompt(F.col("text"))), "call_2": asking.call(*D.legal_prompt(F.col("text")))})
+        rows = rows.withColumns({"call_1": asking.call(*D.language_prompt(F.col("text"), known=known)), "call_2": asking.call(*D.legal_prompt(F.col("text")))})
         calls = F.filter(F.array("call_1", "call_2"), lambda c: c["attempts"].isNotNull())
     answer = lambda n: None if asking is None else lambda system, user: F.col(f"call_{n}.answer")
-    rows = rows.withColumns({"found": D.language(F.col("text"), answer(1)), "law": D.legal(F.col("text"), answer(2)), "empty": stripped(F.col("text")) == ""})
+    rows = rows.withColumns({"found": D.language(F.col("text"), answer(1), known=known), "law": D.legal(F.col("text"), answer(2)), "empty": stripped(F.col("text")) == ""})
     alerts = J.alerts(stripped(F.col("text")), F.col("pages"), F.col("bytes"), F.col("loss"))
     source = F.coalesce("override", "found.lang")
     skipped = U.skip_translation(F.lit(options.no_translate), source, F.lit(options.target))
@@ -105,16 +109,17 @@ def _made_calls(rows: DataFrame, selector: str) -> DataFrame:
     return made.select("job_id", F.lit(selector).alias("selector"), "c.tokens_in", "c.tokens_out")
 
 
-def run(documents: DataFrame, complete: Completion | Asking, options: Options = Options(), memo: DataFrame | None = None, save: Callable[[DataFrame, str], DataFrame] = lambda df, name: df.checkpoint()) -> Results:
+def run(documents: DataFrame, complete: Completion | Asking, options: Options = Options(), memo: DataFrame | None = None, save: Callable[[DataFrame, str], DataFrame] = lambda df, name: df.checkpoint(), profile: Profile | None = None) -> Results:
     """Jobs of all documents: quick (one pass) or thorough (two passes, reconciled).
 
     ``save`` writes an intermediate table and reads it again (by default a checkpoint), as completions are dear and a lost executor
     would ask them again.  ``memo`` has what earlier runs translated; the result's memo has all rows, to be kept for the next run.
     Documents that are already in the target language, or are not to be translated, pass through; empty ones fail.  With an Asking a
     failed call is its document's failure and no other's: the document has no text, an issue tells the chunk, what succeeded is in the memo.
+    With a ``profile`` (ngrams.profile of labelled texts) languages are found by n-grams, else by word lists.
     """
     asking = complete if isinstance(complete, Asking) else counted(complete)
-    rows = save(prepared(documents, options, asking), "prepared")
+    rows = save(prepared(documents, options, asking, profile), "prepared")
     terms = None if options.glossary is None else G.parse(F.lit(options.glossary))
     todo = rows.where(~F.col("skipped") & ~F.col("failed"))
     known = TR.memo_of(documents.sparkSession, f"doc_id {documents.schema['doc_id'].dataType.simpleString()}") if memo is None else memo
