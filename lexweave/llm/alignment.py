@@ -5,11 +5,11 @@ byte lengths of its A and B tokens.  A unit begins where both tokenizers begin a
 holds wherever it occurs.  The coded table is bucketed by block, so that all that follows is joined and windowed without moving it:
 
 - tokens are exploded with their positions, and windowed cumulative lengths give where each begins and ends;
-- A and B meet by equal unit and offset (where one token ends and the next begins).  An offset is at most one token's on either side, so this
-  full equi-join is a grouping of both sides' rows, which stays where the blocks are, as an outer join would not; offsets of both are cuts,
-  and the running count of cuts is the group's number;
-- two tokens overlap exactly once between two neighbouring offsets, so the joined rows, with the last A and B token before each, are
-  the links: no group is multiplied out, however long;
+- A and B meet in an equi-join on unit and offset (where one token ends and the next begins), written as its merge: a window over both sides'
+  offsets, in which equal ones are neighbours, as an outer join would be shuffled; offsets of both are cuts, and the running count of cuts
+  is the group's number;
+- two tokens overlap exactly once between two neighbouring offsets, so every offset, with the last A and B token that begin there or before,
+  is a link: no group is multiplied out, however long;
 - a block's distinct (document, pair) rows are counted before they are shuffled; a window finds each A id's highest count, and the counts
   return to the pairs of each block, then to its units and documents.
 
@@ -31,7 +31,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexweave.llm.bpe import blocks
@@ -133,14 +133,17 @@ def _coded(ids: pa.Array, texts: list[str | None], block: int, t: Tokenizers) ->
 
 @contextmanager
 def co_located(spark: SparkSession) -> Iterator[None]:
-    """Joins on a block and more take tables that are dealt by block alone as they are; the session's own setting returns at the end."""
-    name = "spark.sql.requireAllClusterKeysForCoPartition"
-    own = spark.conf.get(name)
-    spark.conf.set(name, "false")
+    """Joins on a block and more take tables that are dealt by block alone as they are, and what a window has sorted is gathered as it
+    comes; the session's own settings return at the end."""
+    wanted = {"spark.sql.requireAllClusterKeysForCoPartition": "false", "spark.sql.execution.replaceHashWithSortAgg": "true"}
+    own = {name: spark.conf.get(name) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(name, own)
+        for name, value in own.items():
+            spark.conf.set(name, value)
 
 
 def bucketed(df: DataFrame, name: str, n: int) -> DataFrame:
@@ -163,27 +166,38 @@ def coded(documents: DataFrame, a: str | None = None, b: str | None = None, bloc
 
 
 def overlaps(units: DataFrame) -> DataFrame:
-    """Of units (block, unit, a, a_bytes, b, b_bytes) the links: start, a and b (ids), own_a and own_b (where the token begins there), part (group)."""
+    """Of units (block, unit, a, a_bytes, b, b_bytes) a row for each token: start, is_b, id, part (group), and pair (a * 2^32 + b) where a link begins."""
     both = F.arrays_zip(F.concat("a", "b").alias("id"), F.concat("a_bytes", "b_bytes").alias("bytes"))
     tokens = units.select("block", "unit", F.size("a").alias("n"), F.posexplode(both).alias("pos", "t"))
     tokens = tokens.select("block", "unit", (F.col("pos") >= F.col("n")).alias("is_b"), "pos", "t.id", "t.bytes")
     order = Window.partitionBy("block", "unit", "is_b").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    tokens = tokens.withColumn("start", F.sum("bytes").over(order) - F.col("bytes"))
-    own = lambda b: F.max(F.when(F.col("is_b") == b, F.col("id")))
-    met = tokens.groupBy("block", "unit", "start").agg(own(False).alias("own_a"), own(True).alias("own_b"))
-    running = Window.partitionBy("block", "unit").orderBy("start").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cut = F.when(F.col("own_a").isNotNull() & F.col("own_b").isNotNull(), 1).otherwise(0)
-    last = lambda c: F.last(c, ignorenulls=True).over(running)
-    return met.select("*", last("own_a").alias("a"), last("own_b").alias("b"), F.sum(cut).over(running).alias("part"))
+    tokens = tokens.select("block", "unit", "is_b", "id", (F.sum("bytes").over(order) - F.col("bytes")).alias("start"))
+    # Sorted by offset, equal ones of A and B are neighbours, A's first: the two sides meet as in a merge join.
+    met = Window.partitionBy("block", "unit").orderBy("start", "is_b")
+    follows = F.lead("start").over(met)
+    tokens = tokens.withColumn("joined", F.coalesce(follows == F.col("start"), F.lit(False)))
+    running = met.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = lambda b: F.last(F.when(F.col("is_b") == b, F.col("id").cast("long")), ignorenulls=True).over(running)
+    pair = F.when(~F.col("joined"), F.shiftleft(last(False), 32) + last(True))
+    return tokens.select("block", "unit", "start", "is_b", "id", F.sum(F.col("joined").cast("int")).over(running).alias("part"), pair.alias("pair"))
 
 
 def unit_groups(links: DataFrame) -> DataFrame:
-    """block, unit, n_a, n_b, n_groups, groups (as text) and pairs (of the links, a * 2^32 + b)."""
-    ordered = lambda c: F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("start", F.col(c).alias("id"))))), lambda x: x["id"].cast("string")), ",")
-    pair = F.collect_list(F.shiftleft(F.col("a").cast("long"), 32) + F.col("b"))
-    groups = links.groupBy("block", "unit", "part").agg(F.concat(ordered("own_a"), F.lit("|"), ordered("own_b")).alias("ids"), F.count("own_a").alias("n_a"), F.count("own_b").alias("n_b"), pair.alias("pairs"))
-    written = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("part", "ids"))), lambda x: x["ids"]), ";")
-    return groups.groupBy("block", "unit").agg(F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"), F.count("*").alias("n_groups"), written.alias("groups"), F.flatten(F.collect_list("pairs")).alias("pairs"))
+    """block, unit, n_a, n_b, n_groups, groups (as text) and pairs of the links.
+
+    The tokens arrive in the order of their units, so this gathers a unit at a time.
+    """
+    one = F.struct("start", "is_b", "part", "id", "pair")
+    rows = links.groupBy("block", "unit").agg(F.sort_array(F.collect_list(one)).alias("tokens"), F.sum(F.when(F.col("is_b"), 0).otherwise(1)).alias("n_a"), F.sum(F.col("is_b").cast("int")).alias("n_b"), F.max("part").alias("n_groups"))
+    rows = rows.select("*", F.filter("tokens", lambda x: ~x["is_b"]).alias("of_a"), F.filter("tokens", lambda x: x["is_b"]).alias("of_b"))
+
+    def listed(of: str) -> Column:
+        """Each group's ids by commas."""
+        apart = lambda x, i: F.when(i == 0, "").when(F.get(of, i - 1)["part"] == x["part"], ",").otherwise(";")
+        return F.split(F.array_join(F.transform(of, lambda x, i: F.concat(apart(x, i), x["id"].cast("string"))), ""), ";")
+
+    groups = F.array_join(F.zip_with(listed("of_a"), listed("of_b"), lambda x, y: F.concat(x, F.lit("|"), y)), ";")
+    return rows.select("block", "unit", "n_a", "n_b", "n_groups", groups.alias("groups"), F.array_compact(F.transform("tokens", lambda x: x["pair"])).alias("pairs"))
 
 
 def pair_counts(rows: DataFrame, found: DataFrame) -> DataFrame:
@@ -202,7 +216,8 @@ def align(documents: DataFrame, a: str | None = None, b: str | None = None, bloc
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 of every document, written when this returns."""
     spark = documents.sparkSession
     size = documents.agg(F.sum(F.octet_length(text_of())).alias("bytes")).first()["bytes"] or 0
-    n = min(max(-(-size // block), int(spark.conf.get("spark.sql.shuffle.partitions"))), MOST_BUCKETS)
+    # Twice as many as blocks, as several may fall into one.
+    n = min(max(-(-2 * size // block), int(spark.conf.get("spark.sql.shuffle.partitions"))), MOST_BUCKETS)
     with co_located(spark):
         both = bucketed(coded(documents, a, b, block), "coded", n)
         rows = both.where("row IS NOT NULL").select("block", "row", "doc_id", "parts")
