@@ -166,7 +166,10 @@ def near_links(nodes: DataFrame) -> DataFrame:
 def near_groups(documents: DataFrame) -> DataFrame:
     """doc_id, fingerprint (hexadecimal), component_id (smallest doc_id reachable over links)."""
     docs = materialize(fingerprints(documents), "simhash")
-    nodes = materialize(docs.groupBy("fp").agg(F.min("doc_id").alias("node")), "simhash-nodes")
-    found = components(near_links(nodes))
-    nodes = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return docs.join(nodes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    # A fingerprint is its own node, so links do not depend on ids; a component's smallest id is found afterwards.
+    nodes = materialize(docs.groupBy("fp").agg(F.min("doc_id").alias("doc_id")).withColumn("node", F.col("fp")), "simhash-nodes")
+    found = components(near_links(nodes.select("fp", "node")))
+    groups = nodes.join(found, "node", "left").select("fp", "doc_id", F.coalesce("component", "node").alias("component"))
+    smallest = groups.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    named = groups.join(smallest, "component").select("fp", "component_id")
+    return docs.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

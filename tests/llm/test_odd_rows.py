@@ -160,3 +160,40 @@ def test_archives_of_odd_rows(spark):
     assert kinds[1] == {("revisit", 2)} == kinds[None] and kinds[2] == {("response", None)} and kinds[7] == {("revisit", 8)} and kinds[8] == kinds[5] == kinds[6] == kinds[3] == {("response", None)}
     assert {r["payload_digest"] for r in got if r["page_id"] in (3, 4)} == {hashlib.sha1(b"").hexdigest()}
     assert warc.archive_round_trip(spark, pages.limit(0)).count() == 0
+
+
+def test_rows_without_an_id_link_others(spark, monkeypatch):
+    """Groups against brute force, run again and again: null ids 1 to 4 bits from others, ids above 2^53 beside them."""
+    import random
+
+    rng = random.Random(9)
+    rows = []
+    for g in range(12):
+        base = rng.getrandbits(64)
+        big = (1 << 60) + 1 + 10 * g
+        near = [base ^ sum(1 << b for b in rng.sample(range(64), k)) for k in (1, 2, 3, 2)]
+        rows += [(None, base), (big, near[0]), (big + 2, near[1]), (7 + g if g % 2 else None, near[2]), (None, near[3])]
+    rows += [(None, rng.getrandbits(64)), (3, rng.getrandbits(64)), (3, rows[0][1])]
+    signed = [(i, fp - (1 << 64) if fp >> 63 else fp) for i, fp in rows]
+    group = list(range(len(rows)))
+
+    def root(x):
+        while group[x] != x:
+            x = group[x]
+        return x
+
+    for x in range(len(rows)):
+        for y in range(x):
+            if (rows[x][1] ^ rows[y][1]).bit_count() <= 4:
+                group[root(x)] = root(y)
+    smallest = {}
+    for x, (i, _) in enumerate(rows):
+        if i is not None:
+            smallest[root(x)] = min(i, smallest.get(root(x), i))
+    key = lambda r: tuple((v is None, v) if not isinstance(v, str) else (False, v) for v in r)
+    want = sorted(((i, format(fp, "016x"), smallest.get(root(x))) for x, (i, fp) in enumerate(rows)), key=key)
+    monkeypatch.setattr(simhash, "fingerprints", lambda documents: documents)
+    docs = spark.createDataFrame(signed, "doc_id long, fp long")
+    for seed in range(4):
+        got = [tuple(r) for r in simhash.near_groups(docs.repartition(1 + seed)).collect()]
+        assert sorted(got, key=key) == want
