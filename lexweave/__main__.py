@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import argparse
+import re
 import sys
+import uuid
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +16,7 @@ from lexweave.operators.completion import asking, mock
 from lexweave.operators.jobs import batch_status, results_report
 from lexweave.operators.providers import catalogue, factory
 from lexweave.plans import evaluation, service
+from lexweave.sinks import folders
 from lexweave.sinks.exports import exported, write_files
 from lexweave.sinks.outputs import metadata, write_texts
 from lexweave.sources.files import extract
@@ -44,6 +47,10 @@ def translate(spark: SparkSession, a: argparse.Namespace, complete=None) -> int:
     jobs = outputs.withColumns({"job_id": F.col("doc_id").cast("string"), "target_lang": F.lit(options.target), "no_translate": F.lit(options.no_translate), "model": F.lit(options.llm), "source_file": F.regexp_replace("doc_id", "^.*/", "")})
     differences = None if got.discrepancies is None else got.discrepancies.withColumn("job_id", F.col("doc_id").cast("string"))
     results_report(jobs, got.issues, differences).write.mode("overwrite").parquet(f"{a.output}/reports")
+    if a.folders:
+        folders.register(spark)
+        relative = F.regexp_replace("doc_id", "^.*?" + re.escape(a.folder.rstrip("/").split("://")[-1]) + "/", "")
+        folders.files_of(outputs, relative).write.format("job_folders").mode("append").option("path", a.folders).option("run", a.run or uuid.uuid4().hex).save()
     if a.export:
         wanted = settings.export_format if a.export == "own" else a.export
         fmt = export_format(F.col("doc_id"), None if wanted is None else F.lit(wanted))
@@ -88,6 +95,8 @@ def main(arguments: list[str] | None = None) -> int:
     one.add_argument("--no-translate", action="store_true")
     one.add_argument("--ask", action="store_true", help="ask the provider of the settings; else a mock answers")
     one.add_argument("--export", choices=["own", *OWN_FORMAT], help="also write files: in the setting's or the input's own format, or in one for all")
+    one.add_argument("--folders", help="also write a folder for each job to this URI, as one transaction")
+    one.add_argument("--run", help="the transaction's name: one of the same name is replaced")
     two = commands.add_parser("evaluate")
     two.add_argument("folder")
     two.add_argument("--golden")

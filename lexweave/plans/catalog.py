@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lexweave.functions import formats as R
 from lexweave.functions import rules as U
 from lexweave.functions import text as T
+from lexweave.functions.tables import register as register_tables
 from lexweave.operators import detect as D
 from lexweave.operators import glossary as G
 from lexweave.operators import jobs as J
@@ -181,6 +182,14 @@ def chunk_conversations(spark: SparkSession, sf: str) -> DataFrame:
     return chunk(_conversations(spark, sf), "conv_id", "text")
 
 
+@query(_chunk_sql(2500, True))
+def sql_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """The same chunks by the table function that SQL can call."""
+    register_tables(spark)
+    rows = spark.sql("SELECT * FROM chunks(TABLE(SELECT conv_id AS key, text FROM {docs}) PARTITION BY key)", docs=_conversations(spark, sf))
+    return rows.select(F.col("key").cast("long").alias("conv_id"), "chunk_index", "text", "heading_context")
+
+
 @query(f"SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY chunk_index) || chr(10) AS text FROM ({_chunk_sql(2500, True)}) GROUP BY conv_id")
 def reassembled_conversations(spark: SparkSession, sf: str) -> DataFrame:
     return reassemble(chunk_conversations(spark, sf), "conv_id")
