@@ -78,7 +78,7 @@ def detect(documents: DataFrame, text: str, of: Profile) -> DataFrame:
     # A row without words to ask has one empty word, whose grams are none but the blanks that no profile has.
     grams = _grams(once.withColumn("word", F.coalesce("word", F.lit(""))), "row", "place", "script")
     sums = [F.sum(F.col("scores")[i]).alias(f"s{i}") for i in range(len(of.languages))]
-    scored = grams.join(F.broadcast(of.grams), "gram", "left").groupBy("place").agg(F.first("row").alias("row"), F.first("script").alias("script"), F.count("scores").alias("n"), *sums)
+    scored = grams.join(F.broadcast(of.grams), "gram", "left").groupBy("place", "row", "script").agg(F.count("scores").alias("n"), *sums)
     ranked = [F.struct((-F.col(f"s{i}")).alias("low"), F.lit(c).alias("lang")) for i, c in enumerate(of.languages)]
     best = F.least(*ranked) if len(ranked) > 1 else ranked[0]
     shares = [F.exp((F.col(f"s{i}") + best["low"]) / (SCALE * F.sqrt("n"))) for i in range(len(of.languages))]

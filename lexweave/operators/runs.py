@@ -35,14 +35,20 @@ def start_error(exists: Column, has_checkpoint: Column, force: Column, resume: C
     return out.when(resume & ~has_checkpoint, "nothing to resume").when(exists & ~force & ~resume, "the job exists")
 
 
-def running_usage(calls: DataFrame) -> DataFrame:
+def running_usage(calls: DataFrame, block: int = 1 << 16) -> DataFrame:
     """batch, pos, calls, tokens_in, tokens_out of jobs (batch, pos and the same), each with what the jobs before it in its batch used.
 
-    Negative counts are none.  A batch is what one service has run, and is one partition of the window.
+    Negative counts are none.  Places are cut into blocks of ``block``: a window adds up within each, another over the blocks' totals, so that no
+    task holds a batch, however long.  Rows of equal pos are added in any order; those without a pos come first.
     """
-    so_far = Window.partitionBy("batch").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    total = lambda c: F.sum(F.greatest(F.coalesce(c, F.lit(0)), F.lit(0))).over(so_far)
-    return calls.select("batch", "pos", *[total(F.col(c)).alias(c) for c in ("calls", "tokens_in", "tokens_out")])
+    names = ["calls", "tokens_in", "tokens_out"]
+    rows = calls.select("batch", "pos", F.coalesce(F.floor(F.col("pos") / block), F.lit(-(1 << 62))).alias("__block"), *[F.greatest(F.coalesce(c, F.lit(0)), F.lit(0)).alias(c) for c in names])
+    totals = rows.groupBy("batch", "__block").agg(*[F.sum(c).alias(f"__{c}") for c in names])
+    before = Window.partitionBy("batch").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = totals.select(F.col("batch").alias("__batch"), F.col("__block").alias("__of"), *[F.coalesce(F.sum(f"__{c}").over(before), F.lit(0)).alias(f"__{c}") for c in names])
+    within = Window.partitionBy("batch", "__block").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = rows.join(ahead, F.col("batch").eqNullSafe(F.col("__batch")) & (F.col("__block") == F.col("__of")))
+    return met.select("batch", "pos", *[(F.sum(c).over(within) + F.col(f"__{c}")).alias(c) for c in names])
 
 
 def after_notices(jobs: DataFrame, delivered: DataFrame) -> tuple[DataFrame, DataFrame]:

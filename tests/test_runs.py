@@ -33,3 +33,19 @@ def test_usage_and_notices(spark):
     after, issues = N.after_notices(jobs, sent)
     assert {r["job_id"]: r["status"] for r in after.collect()} == {"a": "completed_with_warnings", "b": "failed", "c": "completed"}
     assert sorted(r["job_id"] for r in issues.collect()) == ["a", "b"] and issues.first()["severity"] == "warn"
+
+
+def test_running_totals_in_blocks(spark):
+    import random
+
+    rng = random.Random(2)
+    rows = [(b, p, 1, rng.randrange(-5, 9), rng.choice([None, 3])) for b in ("x", "y", None) for p in rng.sample(range(-20, 400), 60)]
+    calls = spark.createDataFrame(rows, "batch string, pos long, calls long, tokens_in long, tokens_out long")
+    want, so_far = {}, {}
+    for b, p, c, i, o in sorted(rows, key=lambda r: (str(r[0]), r[1])):
+        have = so_far.get(b, (0, 0, 0))
+        want[b, p] = so_far[b] = (have[0] + c, have[1] + max(0, i), have[2] + max(0, o or 0))
+    for block in (1, 7, 1 << 16):
+        got = {(r["batch"], r["pos"]): (r["calls"], r["tokens_in"], r["tokens_out"]) for r in N.running_usage(calls, block).collect()}
+        assert got == want
+    assert N.running_usage(calls.limit(0)).collect() == []
