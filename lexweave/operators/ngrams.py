@@ -2,13 +2,14 @@
 
 Training counts the words of each language first, so the grams of a frequent word are made once; a profile keeps a language's ``size``
 commonest grams of one to three characters (a word has a blank on either side).  The profiles of all languages are one table of at
-most ``size`` x MOST_LANGUAGES rows, which is broadcast.  Scores are thousandths of natural logarithms as whole numbers, so sums do not
+most ``size`` x MOST_LANGUAGES rows, which is made once and broadcast.  Scores are thousandths of natural logarithms as whole numbers, so sums do not
 depend on their order.  A document's evidence is the grams of its sample's distinct words; as grams of a word depend on each other, n of
 them count as sqrt(n) in the confidence, which is a posterior over the languages of the profile.
 """
 
 from __future__ import annotations
 
+from math import floor, log
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
@@ -54,12 +55,14 @@ def profile(labelled: DataFrame, size: int = SIZE) -> Profile:
     grams = _grams(counted, "lang", "n").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     most = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     kept = grams.withColumn("place", F.row_number().over(most)).where(F.col("place") <= size)
-    totals = kept.groupBy("lang").agg(F.sum("n").alias("total"))
-    kept = kept.join(F.broadcast(totals), "lang")
-    wide = kept.groupBy("gram").agg(*[F.sum(F.when(F.col("lang") == c, F.col("n"))).alias(f"n{i}") for i, c in enumerate(languages)])
-    sums = totals.agg(*[F.max(F.when(F.col("lang") == c, F.col("total"))).alias(f"t{i}") for i, c in enumerate(languages)])
-    score = lambda i: F.round(SCALE * F.ln((F.coalesce(F.col(f"n{i}"), F.lit(0)) + 0.5) / (F.coalesce(F.col(f"t{i}"), F.lit(0)) + size / 2))).cast("long")
-    return Profile(wide.join(F.broadcast(sums)).select("gram", F.array(*[score(i) for i in range(len(languages))]).alias("scores")), languages)
+    # At most size x MOST_LANGUAGES rows: the whole profile is small, and every detection uses it again.
+    own: dict[str, dict[str, int]] = {c: {} for c in languages}
+    for r in kept.select("lang", "gram", "n").collect():
+        own[r["lang"]][r["gram"]] = r["n"]
+    totals = {c: sum(own[c].values()) for c in languages}
+    score = lambda c, gram: -floor(0.5 - SCALE * log((own[c].get(gram, 0) + 0.5) / (totals[c] + size / 2)))
+    rows = [(gram, [score(c, gram) for c in languages]) for gram in sorted(set().union(*own.values()))]
+    return Profile(labelled.sparkSession.createDataFrame(rows, "gram string, scores array<long>"), languages)
 
 
 def detect(documents: DataFrame, text: str, of: Profile) -> DataFrame:

@@ -6,8 +6,8 @@ small files are one task and a large one has its own.  Text files have a page af
 range leave the reader; other files are page 1.  With ``content`` false no file is opened and ``pages`` is null: a listing.  A
 file that cannot be read gives a row without content and with its ``error``.
 
-Spark hands conditions over where ``spark.sql.python.filterPushdown.enabled`` is true; else it applies them to the rows.  Where it does, load() the
-source for each query: Spark 4.1 keeps what the first query of a loaded table has pushed for its later ones.  Folders are those that pyarrow
+Set ``spark.sql.python.filterPushdown.enabled`` to true: Spark refuses sources that take conditions where it is false.  load() the source for each query:
+Spark 4.1 keeps what the first query of a loaded table has pushed for its later ones.  Folders are those that pyarrow
 opens (local, s3, gs, hdfs).  Names that begin with _ or . are no documents.  An empty folder has no rows.
 """
 
