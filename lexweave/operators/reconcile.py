@@ -54,10 +54,10 @@ def consensus(rows: DataFrame, a: str, b: str, c: str) -> DataFrame:
     return rows.withColumns({"consensus": best[0]["text"], "variant": best[0]["variant"], "unclear": unclear}).drop("__ab", "__ac", "__bc")
 
 
-def discrepancies(chunks: DataFrame, complete: Completion | Asking, lang: str = "en", threshold: float = SIMILARITY_THRESHOLD, glossary: Column | None = None) -> DataFrame:
+def discrepancies(chunks: DataFrame, complete: Completion | Asking, lang: str = "en", threshold: float = SIMILARITY_THRESHOLD, glossary: Column | None = None, terms: Column | None = None) -> DataFrame:
     """A row for each flagged sentence of chunks (KEYS, source, t1, t2): its spans, analysis and resolution.
 
-    With the documents' FACTS beside them all prompts carry these, and the third pass asks as the first two did.  An Asking adds ``calls`` (every
+    ``glossary`` has the protected tokens, ``terms`` the glossary that prompts carry.  With the documents' FACTS beside them all prompts carry these, and the third pass asks as the first two did.  An Asking adds ``calls`` (every
     call made), ``unparsed`` (which answers were no JSON object) and keeps failures as data: a failed analysis is no equivalence,
     a failed third pass or adjudication leaves the first variant.
     """
@@ -69,7 +69,7 @@ def discrepancies(chunks: DataFrame, complete: Completion | Asking, lang: str =
     if len(facts) == len(FACTS):
         about = context_block(F.col("context"), None, F.col("summary"), F.lit(""))
         about = F.concat(F.when(F.col("is_legal"), "The document is legal: its obligations, names, dates and amounts count.\n\n").otherwise(""), about)
-        section = context_block(F.col("context"), glossary, F.col("summary"), F.col("heading_context"))
+        section = context_block(F.col("context"), terms, F.col("summary"), F.col("heading_context"))
     s1, s2, src = (sentences(F.coalesce(F.col(c), F.lit(""))) for c in ("t1", "t2", "source"))
     rows = chunks.select(*KEYS, *facts, F.coalesce("source", F.lit("")).alias("source"), s1.alias("s1"), s2.alias("s2"), src.alias("src"))
     pair = F.zip_with("s1", "s2", lambda x, y: F.struct(F.coalesce(x, F.lit("")).alias("translation_1"), F.coalesce(y, F.lit("")).alias("translation_2")))
@@ -93,7 +93,7 @@ def discrepancies(chunks: DataFrame, complete: Completion | Asking, lang: str =
     span = F.when(F.col("source_span") != "", F.col("source_span")).otherwise(F.col("source"))
     third = (third_pass_system(code), span)
     if len(facts) == len(FACTS):
-        third = (system_prompt(code, glossary), third_pass_prompt(span, F.col("source_lang"), code, F.col("is_legal"), section))
+        third = (system_prompt(code, terms), third_pass_prompt(span, F.col("source_lang"), code, F.col("is_legal"), section))
     other = other.withColumn("call_2", call(*third)).withColumn("translation_3", stripped(F.col("call_2.answer")))
     other = consensus(other, "translation_1", "translation_2", "translation_3")
     ask = F.concat(about, F.lit("Source span:\n"), span, *[x for k in (1, 2, 3) for x in (F.lit(f"\n\nVariant {k}:\n"), F.col(f"translation_{k}"))])

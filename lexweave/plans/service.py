@@ -146,7 +146,7 @@ def run(documents: DataFrame, complete: Completion | Asking, options: Options =
         lost = lost.unionByName(odd.select("doc_id"))
         source = source.join(odd, "doc_id", "left_anti").select(*on, F.col("text").alias("source"), *FACTS)
         pairs = source.join(passes[0].select(*on, F.col("text").alias("t1")), on).join(passes[1].select(*on, F.col("text").alias("t2")), on)
-        found = save(discrepancies(pairs, asking, options.target, glossary=None if terms is None else G.tokens(terms)), "discrepancies")
+        found = save(discrepancies(pairs, asking, options.target, glossary=None if terms is None else G.tokens(terms), terms=terms), "discrepancies")
         calls.append(_made_calls(found, options.llm))
         unread = found.select("doc_id", F.explode("unparsed").alias("what")).groupBy("doc_id", "what").agg(F.count("*").alias("n"))
         text = F.concat(F.lit("Answers that were no JSON object ("), "what", F.lit("): "), F.col("n").cast("string"))
