@@ -1,4 +1,4 @@
-"""python -m lexweave translate FOLDER OUTPUT [--target en] [--thorough] [--no-translate] [--config FILE] | evaluate FOLDER | list-llms | check"""
+"""python -m lexweave translate FOLDER OUTPUT [--target en] [--thorough] [--no-translate] [--mock] [--config FILE] | evaluate FOLDER | list-llms | check"""
 
 from __future__ import annotations
 
@@ -29,10 +29,10 @@ def _pdf_text(content: bytes) -> tuple[str, str]:
 
 
 def translate(spark: SparkSession, a: argparse.Namespace, complete=None) -> int:
-    """Exit code of the batch: 0, 3 for warnings, 2 for failures.  Without a client the mock answers."""
+    """Exit code of the batch: 0, 3 for warnings, 2 for failures.  Without a client the settings' provider is asked, or with --mock a mock."""
     settings = config.load(a.config)
     if complete is None:
-        complete = asking(factory(settings.llm, seconds=settings.llm_timeout, counts=True), settings.workers, settings.max_retries, settings.retry_base_delay, tasks=2 * spark.sparkContext.defaultParallelism) if a.ask else mock()
+        complete = asking(factory(settings.llm, seconds=settings.llm_timeout, counts=True), settings.workers, settings.max_retries, settings.retry_base_delay, tasks=2 * spark.sparkContext.defaultParallelism) if not a.mock else mock()
     found = extract(spark, a.folder, readers(spark, a.folder, {"doc": legacy_word(settings.subprocess_timeout), "pdf": _pdf_text}))
     documents = found.select(F.col("path").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     glossary = None if settings.glossary is None else spark.read.text(settings.glossary, wholetext=True).first()[0]
@@ -93,7 +93,7 @@ def main(arguments: list[str] | None = None) -> int:
     one.add_argument("--checkpoints", default=None)
     one.add_argument("--thorough", action="store_true")
     one.add_argument("--no-translate", action="store_true")
-    one.add_argument("--ask", action="store_true", help="ask the provider of the settings; else a mock answers")
+    one.add_argument("--mock", action="store_true", help="a mock answers in place of the settings' provider, as in a rehearsal")
     one.add_argument("--export", choices=["own", *OWN_FORMAT], help="also write files: in the setting's or the input's own format, or in one for all")
     one.add_argument("--folders", help="also write a folder for each job to this URI, as one transaction")
     one.add_argument("--run", help="the transaction's name: one of the same name is replaced")

@@ -40,13 +40,15 @@ def test_command_line(spark, tmp_path, capsys):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.txt").write_text("The cat and the dog are in the house with the food for it.")
     (tmp_path / "in" / "b.txt").write_text("Der Hund und die Katze sind nicht zu Hause, das ist für uns und die Familie nicht von Belang.")
-    assert cli.main(["translate", str(tmp_path / "in"), str(tmp_path / "out"), "--folders", f"file://{tmp_path}/jobs", "--run", "r"]) == 0
+    assert cli.main(["translate", str(tmp_path / "in"), str(tmp_path / "out"), "--mock", "--folders", f"file://{tmp_path}/jobs", "--run", "r"]) == 0
     files = {(r["job_id"].split("-")[0], r["name"]) for r in spark.read.format("job_folders").option("path", f"file://{tmp_path}/jobs").load().collect()}
     assert files == {(j, n) for j in ("a_txt", "b_txt") for n in ("status.json", "translated.md")}
     assert spark.read.parquet(f"{tmp_path}/out/usage").count() == 2
     texts = {p.parent.name: p.read_text() for p in (tmp_path / "out" / "texts").rglob("part-*")}
     assert set(texts) == {"name=a.txt", "name=b.txt"} and "[EN] Source language: de" in texts["name=b.txt"]
     assert json.loads(spark.read.parquet(f"{tmp_path}/out/metadata").where("name = 'a.txt'").first()["metadata"])["skipped"] is True
+    with pytest.raises(ValueError, match="CONFIGURATION_ERROR"):  # no client of the default provider is here
+        cli.main(["translate", str(tmp_path / "in"), str(tmp_path / "out")])
     assert cli.main(["list-llms"]) == 0 and "openai:gpt-4o" in capsys.readouterr().out
     assert spark.read.parquet(f"{tmp_path}/out/reports").where("markdown LIKE '# Results%## For review%'").count() == spark.read.parquet(f"{tmp_path}/out/metadata").count()
     (tmp_path / "in2").mkdir()
