@@ -9,6 +9,8 @@
 3. ``splitting_tree``: the exact block quotas are parted among the output shards.  At each node the left half's
    quota vector is a multivariate-hypergeometric draw from the node's, so the shards' mixes differ only as chance
    has it and their sums are exact.  Shards draw disjoint runs of the permuted blocks and shuffle their documents.
+   Sources are parted in strata of STRATUM, each by a tree of its own in a task of its own: a draw has at most
+   STRATUM * BLOCKS * (most + 1) units, however many sources there are, and the driver holds no runs.
 
 What a document gives follows from the units that the tree dealt: ``taken`` sums them, ``shards`` names them.
 
@@ -22,12 +24,17 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexweave.llm.common import WORD_PATTERN, materialize, text_of
 
 BLOCKS = 4096
+#: Sources that one tree parts: at most 1,024 * 4,096 * 3 units, as numpy draws from fewer than 10**9.
+STRATUM = 1024
+#: Words of a piece, the part of a shard that one task shuffles.
+PIECE_WORDS = 16_000_000
 #: Sources up to which their table (600 bytes each) goes to all tasks; more are joined by shards.
 BROADCAST_SOURCES = 100_000
 
@@ -56,7 +63,7 @@ def targets(sizes: list[int], plan: MixPlan) -> list[float]:
     return [min(plan.most * s, level * w) for s, w in zip(sizes, weights)]
 
 
-def splitting_tree(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
+def splitting_tree(quotas: np.ndarray, shards: int, seed: int, stratum: int = 0) -> np.ndarray:
     """Blocks of each source (columns) in each shard (rows); columns sum to the quotas, rows to equal numbers of blocks or one more."""
     out = np.zeros((shards, len(quotas)), dtype=np.int64)
     nodes = [(0, shards, np.asarray(quotas, dtype=np.int64))]
@@ -67,11 +74,26 @@ def splitting_tree(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
             continue
         mid = (low + high) // 2
         draw = int(node.sum()) * (mid - low) // (high - low)
-        left = np.random.default_rng([seed, low, high]).multivariate_hypergeometric(node, draw, method="marginals")
+        left = np.random.default_rng([seed, stratum, low, high]).multivariate_hypergeometric(node, draw, method="marginals")
         nodes += [(low, mid, left), (mid, high, node - left)]
     return out
 
 
+def _dealt(sources: DataFrame, plan: MixPlan) -> DataFrame:
+    """skey, runs: for each shard, how many units of the source it and the shards before it have."""
+    shards, seed = plan.shards, _number(plan.seed)
+
+    def split(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("rank")
+        # Blocks that each source gives: whole passes, and those of the permuted order up to where its quota ends.
+        quotas = (group["passes"] * BLOCKS + group["at1"] + 1).to_numpy(dtype=np.int64)
+        tree = splitting_tree(quotas, shards, seed, int(group["rank"].iloc[0]) // STRATUM)
+        return pd.DataFrame({"skey": group["skey"], "runs": list(np.cumsum(tree, axis=0).T)})
+
+    stratum = F.floor(F.col("rank") / STRATUM).alias("stratum")
+    return sources.select("skey", "rank", "passes", "at1").groupBy(stratum).applyInPandas(split, "skey string, runs array<long>")
+
+
 def _boundary(rows: DataFrame, digits: str, before: str, sources: DataFrame, suffix: str, sent) -> DataFrame:
     """For each source, the value of ``digits`` at which the words pass the rest of the quota, and the words before it."""
     w = Window.partitionBy("skey").orderBy(digits)
@@ -87,6 +109,11 @@ def mix(documents: DataFrame, plan: MixPlan = MixPlan(), whole: bool = False, ke
     A source's taken words sum to its rounded target; the one document where the quota ends gives its first words.
     With ``whole``, that document is taken whole if at least half of it would be, else not.
     """
+    return _mix(documents, plan, whole, keep)[0]
+
+
+def _mix(documents: DataFrame, plan: MixPlan, whole: bool, keep: list[str]) -> tuple[DataFrame, int]:
+    """The rows of mix(), and the words of the whole mix."""
     spark = documents.sparkSession
     rows = documents.select(
         "doc_id",
@@ -107,20 +134,15 @@ def mix(documents: DataFrame, plan: MixPlan = MixPlan(), whole: bool = False, ke
     quota = [int(t + 0.5) for t in wanted]
     passes = [q // s if s else 0 for q, s in zip(quota, sizes)]
     rest = [q - p * s for q, p, s in zip(quota, passes, sizes)]
-    schema = "skey string, source_size long, target double, passes int, rest long, zero long"
-    sources = spark.createDataFrame([(r["skey"], s, t, p, x, 0) for r, s, t, p, x in zip(found, sizes, wanted, passes, rest)], schema)
+    schema = "skey string, rank long, source_size long, target double, passes int, rest long, zero long"
+    sources = spark.createDataFrame([(r["skey"], i, s, t, p, x, 0) for i, (r, s, t, p, x) in enumerate(zip(found, sizes, wanted, passes, rest))], schema)
 
     first = _boundary(thin, "block", "zero", sources, "1", sent)
     sources = sources.join(sent(first), "skey", "left").fillna({"at1": -1, "ahead1": 0})
     within = thin.join(sent(sources.select("skey", "at1")), "skey").where("block = at1")
     sources = materialize(sources.join(sent(_boundary(within, "sub", "ahead1", sources, "2", sent)), "skey", "left").fillna({"at2": -1, "ahead2": 0}), "mix-sources")
 
-    # Blocks that each source gives: whole passes, and those of the permuted order up to where its quota ends.
-    ends = {r["skey"]: r["at1"] for r in sources.select("skey", "at1").collect()}
-    blocks = np.array([p * BLOCKS + ends[r["skey"]] + 1 for p, r in zip(passes, found)], dtype=np.int64)
-    runs = np.cumsum(splitting_tree(blocks, plan.shards, _number(plan.seed)), axis=0).T if len(found) else np.zeros((0, plan.shards), dtype=np.int64)
-    tree = spark.createDataFrame([(r["skey"], [int(x) for x in run]) for r, run in zip(found, runs)], "skey string, runs array<long>")
-    sources = sources.join(sent(tree), "skey")
+    sources = materialize(sources.join(sent(_dealt(sources, plan)), "skey"), "mix-dealt")
 
     at = F.struct("block", "sub")
     rows = rows.join(sent(sources), "skey")
@@ -140,7 +162,7 @@ def mix(documents: DataFrame, plan: MixPlan = MixPlan(), whole: bool = False, ke
     drawn = F.when(on_edge & (part == 0), F.slice("dealt", 1, F.greatest(F.size("dealt") - 1, F.lit(0)))).otherwise(F.col("dealt"))
     taken = F.size("dealt") * F.col("size") - F.when(on_edge & (F.size("dealt") > 0), F.col("size") - part).otherwise(0)
     shards = F.transform(drawn, lambda u: F.size(F.filter("runs", lambda x: x <= u)))
-    return out.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), shards.alias("shards"), *keep)
+    return out.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), shards.alias("shards"), *keep), sum(quota)
 
 
 def _number(seed: str) -> int:
@@ -148,12 +170,18 @@ def _number(seed: str) -> int:
 
 
 def mixed_documents(documents: DataFrame, plan: MixPlan = MixPlan()) -> DataFrame:
-    """The mix itself: whole documents as often as they are taken, shard by shard, each shard shuffled."""
+    """The mix itself: whole documents as often as they are taken, in shards, each shard shuffled.
+
+    A shard's documents are put in an order of digests, and pieces of that order of some PIECE_WORDS words are sorted by tasks of their own:
+    no task holds a shard, and its pieces one after the other are the shuffled shard.
+    """
     columns = documents.columns
     rest = [c for c in columns if c != "doc_id"]
     held = documents.select("doc_id", F.struct(*rest).alias("__rest"), F.col("source"), F.col("text"))
-    chosen = mix(held, plan, whole=True, keep=["__rest"])
+    chosen, words = _mix(held, plan, whole=True, keep=["__rest"])
     copies = chosen.select("doc_id", "__rest", F.posexplode("shards").alias("copy", "shard"))
-    order = F.xxhash64(F.lit(plan.seed), "doc_id", "copy")
-    dealt = copies.repartition(plan.shards, "shard").sortWithinPartitions("shard", order)
+    pieces = -(-words // (plan.shards * PIECE_WORDS)) or 1
+    order = F.shiftrightunsigned(F.xxhash64(F.lit(plan.seed), "doc_id", "copy"), 16)
+    placed = copies.withColumn("order", order).withColumn("piece", F.floor(F.col("order") / F.lit(float(1 << 48)) * pieces))
+    dealt = placed.repartition(plan.shards * pieces, "shard", "piece").sortWithinPartitions("shard", "piece", "order")
     return dealt.select("doc_id", *[F.col(f"__rest.`{c}`").alias(c) for c in rest]).select(*columns)

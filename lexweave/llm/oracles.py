@@ -16,34 +16,6 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM m
 """
 
-ORACLES["op7_mixing"] = r"""
-WITH d AS (
-  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         md5('mix-1:' || CAST(doc_id AS VARCHAR)) AS key
-  FROM documents
-), s AS (
-  SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source
-), w AS (
-  SELECT source, source_size, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS INTEGER) + 1] AS weight,
-         row_number() OVER (ORDER BY source NULLS LAST) AS place
-  FROM s
-), r AS (
-  SELECT *, row_number() OVER o AS k, (1.5 * CAST(sum(source_size) OVER () AS DOUBLE) - (CAST(sum(2 * source_size) OVER o AS DOUBLE) - 2 * source_size))
-         / (sum(weight) OVER () - (sum(weight) OVER o - weight)) AS level, 2.0 * source_size / weight AS ratio
-  FROM w
-  WINDOW o AS (ORDER BY 2.0 * source_size / weight, place ROWS UNBOUNDED PRECEDING)
-), t AS (
-  SELECT source, source_size, least(2.0 * source_size, weight * (SELECT arg_min(level, k) FROM r WHERE level <= ratio)) AS target FROM r
-), q AS (
-  SELECT source, source_size, target, CASE WHEN source_size > 0 THEN CAST(floor(target + 0.5) AS BIGINT) // source_size ELSE 0 END AS passes,
-         CASE WHEN source_size > 0 THEN CAST(floor(target + 0.5) AS BIGINT) % source_size ELSE 0 END AS rest
-  FROM t
-)
-SELECT doc_id, size, source_size, target,
-       CAST(passes * size + greatest(0, least(size, rest - (sum(size) OVER (PARTITION BY d.source ORDER BY key, size ROWS UNBOUNDED PRECEDING) - size))) AS BIGINT) AS taken
-FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source
-"""
-
 ORACLES["op12_divergence"] = r"""
 WITH d AS (
   SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,

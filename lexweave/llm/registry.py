@@ -41,8 +41,8 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The words that the mix takes of every document; the shards of its copies, which the same units give, are left to the operator."""
-    return mixing.mix(table(spark, sf_dir, "documents")).drop("shards")
+    """The words that the mix takes of every document, and the shards to which the tree dealt its copies."""
+    return mixing.mix(table(spark, sf_dir, "documents"))
 
 
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexweave.llm.common import text_of
+from lexweave.llm.common import materialize, text_of
 
 SAMPLE = 20_000
 FEATURES = 512
@@ -106,8 +106,9 @@ def _sampled(documents: DataFrame, labels: DataFrame) -> tuple[DataFrame, float]
     ids = first(known.where("toxic = 1").select("doc_id")).withColumn("kind", F.lit("p"))
     ids = ids.unionByName(first(known.where("toxic = 0").select("doc_id")).withColumn("kind", F.lit("n")))
     ids = ids.unionByName(first(documents.select(F.col("doc_id").cast("long")).where("doc_id IS NOT NULL")).withColumn("kind", F.lit("u")))
-    # At most 3 * SAMPLE ids.
-    return documents.select(F.col("doc_id").cast("long"), text_of().alias("text")).join(F.broadcast(ids), "doc_id").select("text", "kind"), prior
+    # At most 3 * SAMPLE ids, of whose texts, where rows repeat an id, one stands for all: so many rows and no more are read by the driver.
+    rows = documents.select(F.col("doc_id").cast("long"), text_of().alias("text")).join(F.broadcast(ids), "doc_id")
+    return rows.groupBy("doc_id", "kind").agg(F.min("text").alias("text")).select("text", "kind"), prior
 
 
 def fit(documents: DataFrame, labels: DataFrame) -> Model:
@@ -122,16 +123,14 @@ def fit(documents: DataFrame, labels: DataFrame) -> Model:
                 yield pa.RecordBatch.from_pydict({"word": found, "p": [p] * len(found), "u": [1 - p] * len(found)}, pa.schema([("word", pa.binary()), ("p", pa.int64()), ("u", pa.int64())]))
 
     counted = sample.where("kind <> 'n'").mapInArrow(shares, "word binary, p long, u long").groupBy("word").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
-    counted = counted.persist()
+    counted = materialize(counted, "toxic-words")
     total = counted.where("length(word) = 0").first()
     if total is None or not total["p"] or not total["u"]:
-        counted.unpersist()
         return nothing
     n_p, n_u = float(total["p"]), float(total["u"])
     pooled = (F.col("p") + F.col("u") + 1) / F.lit(n_p + n_u + 2)
     z = (F.col("p") / F.lit(n_p) - F.col("u") / F.lit(n_u)) / F.sqrt(pooled * (1 - pooled) * F.lit(1 / n_p + 1 / n_u))
     chosen = counted.where("length(word) > 0").orderBy(F.abs(z).desc(), "word").limit(FEATURES).select("word").collect()
-    counted.unpersist()
     words = tuple(bytes(r["word"]) for r in chosen)
     if not words:
         return nothing
@@ -145,7 +144,7 @@ def fit(documents: DataFrame, labels: DataFrame) -> Model:
             packed = [r.tobytes() for r in np.packbits(bits, axis=1)]
             yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary()), b.column(1)], names=["bits", "kind"])
 
-    rows = sorted((r["kind"], bytes(r["bits"])) for r in sample.mapInArrow(vectors, "bits binary, kind string").collect())  # at most some 3 * SAMPLE rows of FEATURES bits
+    rows = sorted((r["kind"], bytes(r["bits"])) for r in sample.mapInArrow(vectors, "bits binary, kind string").collect())  # at most 3 * SAMPLE rows of FEATURES bits
     matrix = lambda kind: np.unpackbits(np.frombuffer(b"".join(x for k, x in rows if k == kind), dtype=np.uint8).reshape(-1, (len(words) + 7) // 8), axis=1, count=len(words))
     weights, bias = fit_nnpu(matrix("p"), matrix("u"), prior)
     return Model(words, weights, bias + shift(matrix("p") @ weights + bias, matrix("n") @ weights + bias))
