@@ -8,7 +8,7 @@ _PUBLIC = {
     "run": "plans.service", "resume": "plans.service", "Options": "plans.service", "Results": "plans.service",
     "Asking": "operators.completion", "asking": "operators.completion", "client": "operators.completion", "counted": "operators.completion", "mock": "operators.completion",
     "translate_documents": "operators.translate", "profile": "operators.ngrams", "detect": "operators.ngrams", "chunk": "operators.chunking", "reassemble": "operators.chunking",
-    "extract": "sources.files", "tracked": "streaming.tracker", "settled": "streaming.tracker",
+    "extract": "sources.files", "memo": "sinks.memo", "tracked": "streaming.tracker", "settled": "streaming.tracker",
 }
 __all__ = sorted(_PUBLIC)
 

@@ -1,4 +1,4 @@
-"""python -m lexweave translate FOLDER OUTPUT [--target en] [--thorough] [--no-translate] [--mock] [--config FILE] | evaluate FOLDER | list-llms | check"""
+"""python -m lexweave translate FOLDER OUTPUT [--target en] [--thorough] [--no-translate] [--mock] [--memo URI] [--config FILE] | evaluate FOLDER | list-llms | check"""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ import argparse
 import re
 import sys
 import uuid
+import zlib
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +19,7 @@ from lexweave.operators.providers import catalogue, factory
 from lexweave.plans import evaluation, service
 from lexweave.sinks import folders
 from lexweave.sinks.exports import exported, write_files
+from lexweave.sinks.memo import memo
 from lexweave.sinks.outputs import metadata, write_texts
 from lexweave.sources.files import extract
 from lexweave.sources.pages import pymupdf
@@ -37,7 +39,12 @@ def translate(spark: SparkSession, a: argparse.Namespace, complete=None) -> int:
     documents = found.select(F.col("path").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     glossary = None if settings.glossary is None else spark.read.text(settings.glossary, wholetext=True).first()[0]
     options = service.Options(target=a.target or settings.target_lang, llm=settings.llm, thorough=a.thorough, no_translate=a.no_translate, glossary=glossary, fail_on_empty=settings.fail_on_empty_extraction)
-    got = service.run(documents, complete, options)
+    run = a.run or uuid.uuid4().hex
+    known = None if a.memo is None else memo(spark, f"lexweave_memo_{zlib.crc32(a.memo.encode()):08x}", a.memo)
+    got = service.run(documents, complete, options, memo=None if known is None else known.rows(spark))
+    if known is not None:
+        known.append(got.memo, run)
+        known.compact(spark, least=32)
     outputs = got.outputs.checkpoint()
     named = outputs.withColumn("name", F.regexp_replace("doc_id", "^.*/", ""))
     write_texts(named, f"{a.output}/texts", key="name")
@@ -50,7 +57,7 @@ def translate(spark: SparkSession, a: argparse.Namespace, complete=None) -> int:
     if a.folders:
         folders.register(spark)
         relative = F.regexp_replace("doc_id", "^.*?" + re.escape(a.folder.rstrip("/").split("://")[-1]) + "/", "")
-        folders.files_of(outputs, relative).write.format("job_folders").mode("append").option("path", a.folders).option("run", a.run or uuid.uuid4().hex).save()
+        folders.files_of(outputs, relative).write.format("job_folders").mode("append").option("path", a.folders).option("run", run).save()
     if a.export:
         wanted = settings.export_format if a.export == "own" else a.export
         fmt = export_format(F.col("doc_id"), None if wanted is None else F.lit(wanted))
@@ -96,7 +103,8 @@ def main(arguments: list[str] | None = None) -> int:
     one.add_argument("--mock", action="store_true", help="a mock answers in place of the settings' provider, as in a rehearsal")
     one.add_argument("--export", choices=["own", *OWN_FORMAT], help="also write files: in the setting's or the input's own format, or in one for all")
     one.add_argument("--folders", help="also write a folder for each job to this URI, as one transaction")
-    one.add_argument("--run", help="the transaction's name: one of the same name is replaced")
+    one.add_argument("--run", help="the name of the folders' transaction and of the memo's batch: one of the same name is replaced")
+    one.add_argument("--memo", help="a shared folder that keeps translated chunks: what it has is not asked again")
     two = commands.add_parser("evaluate")
     two.add_argument("folder")
     two.add_argument("--golden")

@@ -40,7 +40,8 @@ def test_command_line(spark, tmp_path, capsys):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.txt").write_text("The cat and the dog are in the house with the food for it.")
     (tmp_path / "in" / "b.txt").write_text("Der Hund und die Katze sind nicht zu Hause, das ist für uns und die Familie nicht von Belang.")
-    assert cli.main(["translate", str(tmp_path / "in"), str(tmp_path / "out"), "--mock", "--folders", f"file://{tmp_path}/jobs", "--run", "r"]) == 0
+    assert cli.main(["translate", str(tmp_path / "in"), str(tmp_path / "out"), "--mock", "--folders", f"file://{tmp_path}/jobs", "--run", "r", "--memo", f"file://{tmp_path}/memo"]) == 0
+    assert spark.read.parquet(f"{tmp_path}/memo/buckets-256").where("batch = 'r'").count() == 1
     files = {(r["job_id"].split("-")[0], r["name"]) for r in spark.read.format("job_folders").option("path", f"file://{tmp_path}/jobs").load().collect()}
     assert files == {(j, n) for j in ("a_txt", "b_txt") for n in ("status.json", "translated.md")}
     assert spark.read.parquet(f"{tmp_path}/out/usage").count() == 2
