@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import os
 import re
 import sys
 import uuid
@@ -46,7 +47,9 @@ def translate(spark: SparkSession, a: argparse.Namespace, complete=None) -> int:
         known.append(got.memo, run)
         known.compact(spark, least=32)
     outputs = got.outputs.checkpoint()
-    named = outputs.withColumn("name", F.regexp_replace("doc_id", "^.*/", ""))
+    folder = a.folder.split("://")[-1] if "://" in a.folder else os.path.abspath(a.folder)
+    relative = F.regexp_replace("doc_id", "^.*?" + re.escape(folder.rstrip("/")) + "/", "")  # names of two folders' files may be the same
+    named = outputs.withColumn("name", relative)
     write_texts(named, f"{a.output}/texts", key="name")
     metadata(named, "name").write.mode("overwrite").parquet(f"{a.output}/metadata")
     got.usage.write.mode("overwrite").parquet(f"{a.output}/usage")
@@ -56,7 +59,6 @@ def translate(spark: SparkSession, a: argparse.Namespace, complete=None) -> int:
     results_report(jobs, got.issues, differences).write.mode("overwrite").parquet(f"{a.output}/reports")
     if a.folders:
         folders.register(spark)
-        relative = F.regexp_replace("doc_id", "^.*?" + re.escape(a.folder.rstrip("/").split("://")[-1]) + "/", "")
         folders.files_of(outputs, relative).write.format("job_folders").mode("append").option("path", a.folders).option("run", run).save()
     if a.export:
         wanted = settings.export_format if a.export == "own" else a.export

@@ -94,3 +94,15 @@ def test_notices(spark):
     assert not got["a"]["delivered"] and got["a"]["error"] == "WEBHOOK_FAILED: down" and got["b"]["delivered"]
     refused = O.deliver(O.notices(jobs, "http://10.0.0.1/"), send).collect()
     assert all(r["error"] == "address" and not r["delivered"] for r in refused)
+
+
+def test_files_of_one_name_in_two_folders(spark, tmp_path):
+    for sub in ("a", "b"):
+        (tmp_path / "in" / sub).mkdir(parents=True)
+        (tmp_path / "in" / sub / "x.txt").write_text(f"The text of folder {sub} and the food for it.")
+    assert cli.main(["translate", str(tmp_path / "in"), str(tmp_path / "out"), "--mock", "--no-translate", "--export", "md"]) == 0
+    assert {str(p.relative_to(tmp_path / "out" / "files")) for p in (tmp_path / "out" / "files").rglob("*.md")} == {"a/x.txt.md", "b/x.txt.md"}
+    for sub in ("a", "b"):
+        assert f"folder {sub}" in (tmp_path / "out" / "files" / sub / "x.txt.md").read_text()
+    assert {r["name"] for r in spark.read.parquet(f"{tmp_path}/out/metadata").collect()} == {"a/x.txt", "b/x.txt"}
+    assert len({p.parent for p in (tmp_path / "out" / "texts").rglob("part-*")}) == 2
