@@ -6,6 +6,7 @@ import argparse
 import os
 import re
 import sys
+import tempfile
 import uuid
 import zlib
 
@@ -112,7 +113,7 @@ def main(arguments: list[str] | None = None) -> int:
     two.add_argument("--golden")
     two.add_argument("--report")
     two.add_argument("--json", action="store_true")
-    two.add_argument("--checkpoints", default="/tmp/lexweave-checkpoints")
+    two.add_argument("--checkpoints", default=None, help="a folder that all machines share; needed where spark.checkpoint.dir is unset, but on one machine")
     commands.add_parser("list-llms")
     three = commands.add_parser("check")
     three.add_argument("--config")
@@ -131,7 +132,10 @@ def main(arguments: list[str] | None = None) -> int:
         return 0 if preflight.ready(found) else 1
     spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(a.checkpoints or f"{a.output}/.checkpoints")
+        where = a.checkpoints or (f"{a.output}/.checkpoints" if a.command == "translate" else None)
+        if where is None and not spark.sparkContext.master.startswith("local"):
+            parser.error("set spark.checkpoint.dir or --checkpoints to a folder that all machines share")
+        spark.sparkContext.setCheckpointDir(where or tempfile.mkdtemp(prefix="lexweave-"))
     return evaluate(spark, a) if a.command == "evaluate" else translate(spark, a)
 
 
