@@ -81,3 +81,13 @@ def test_places_are_those_of_the_features():
     index = toxicity.Index(chosen)
     for t in texts:
         assert index.places(t) == sorted(chosen.index(x) for x in toxicity.features_of(t) if x in chosen)
+
+
+def test_repeated_ids_are_sampled_once(spark):
+    """However many rows share an id, the driver reads one of its texts for each kind."""
+    docs = spark.range(200).selectExpr("id % 10 AS doc_id", "concat('text ', id) AS text")
+    labels = spark.range(10).selectExpr("id AS doc_id", "CAST(id % 2 AS int) AS toxic")
+    sample, prior = toxicity._sampled(docs, labels)
+    rows = sample.collect()
+    assert sum(r["kind"] == "u" for r in rows) == 10 and 0 < prior < 1
+    assert 0 < sum(r["kind"] != "u" for r in rows) <= 10
