@@ -27,7 +27,10 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group at a five-word similarity of 0.8 or more: that with the smallest id, then text digest.
+    """One document of each group of near copies, that with the smallest id, then text digest.
+
+    Links are those of op3's fingerprints (4 bits or fewer) at a five-word similarity of 0.8 or more, repeats counted, and those of texts whose
+    different runs of five words have that similarity.
 
     Null and empty texts are one group; rows without an id take part after all others; rows that repeat an id are told apart by their
     texts, and rows that repeat both are one; long texts are compared whole; an empty table stays empty.

@@ -26,7 +26,6 @@ from pyspark.sql import functions as F
 
 from lexweave.llm.common import materialize, text_of
 from lexweave.llm.components import components
-from lexweave.llm.nearcopies import one_of_each_group as one_of_each_group  # the stage's choice
 
 SEGMENTS = ((42, 22, 1), (21, 21, 1), (0, 21, 0))  # shift, bits, radius
 DISTANCE = 4
@@ -163,6 +162,13 @@ def near_links(nodes: DataFrame) -> DataFrame:
     return rows.repartition("key", "block").sortWithinPartitions("key", "block").mapInArrow(_links, "a long, b long")
 
 
+def one_of_each_group(documents: DataFrame) -> DataFrame:
+    """The stage's choice, which ``nearcopies`` makes of these links and others, by exact comparison."""
+    from lexweave.llm import nearcopies
+
+    return nearcopies.one_of_each_group(documents)
+
+
 def near_groups(documents: DataFrame) -> DataFrame:
     """doc_id, fingerprint (hexadecimal), component_id (smallest doc_id reachable over links)."""
     docs = materialize(fingerprints(documents), "simhash")

@@ -117,3 +117,15 @@ def test_scratch_is_dropped(spark):
     common.drop_scratch(spark)
     with pytest.raises(Exception, match="(?i)not.?exist|not.?found|PATH_NOT_FOUND|FileNotFound"):
         spark.read.parquet(kept.inputFiles()[0]).count()
+
+
+def test_near_duplicates_are_those_of_simhash_too(spark):
+    """Texts that repeat one passage and end otherwise: op3 links them, though few of their different five-word runs are equal."""
+    from lexweave.llm import simhash
+
+    ends = [" ".join(f"{name}{i}" for i in range(10)) for name in ("x", "y", "z")]
+    rows = [(7, "one two three four five " * 60 + ends[0]), (3, "One two three four five " * 60 + ends[1]), (9, "six seven eight nine ten " * 60 + ends[2]), (None, "one two three four five " * 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    groups = {r["doc_id"]: r["component_id"] for r in simhash.near_groups(docs).collect()}
+    assert groups == {7: 3, 3: 3, 9: 9, None: 3}
+    assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()) == [3, 9]
