@@ -48,10 +48,13 @@ def scores(sample: Column) -> Column:
 
 def script_of(sample: Column) -> Column:
     """(lang, confidence) by the script of a sample's letters, its share the confidence; null where no script decides."""
-    letters = F.greatest(F.regexp_count(sample, F.lit(r"\p{L}")), F.lit(1))
-    shares = F.array(*[F.struct(F.lit(lang).alias("lang"), (F.regexp_count(sample, F.lit(pattern)) / letters).alias("share")) for lang, pattern in SCRIPTS.items()])
+    # Runs are taken away and lengths compared, as a list of all single letters is dear.
+    count = lambda pattern: F.length(sample) - F.length(F.regexp_replace(sample, f"{pattern}+", ""))
+    letters = F.greatest(count(r"\p{L}"), F.lit(1))
+    shares = F.array(*[F.struct(F.lit(lang).alias("lang"), (count(pattern) / letters).alias("share")) for lang, pattern in SCRIPTS.items()])
     answer = lambda x: F.struct(x["lang"].alias("lang"), F.least(F.lit(1.0), x["share"]).cast("double").alias("confidence"))
-    return let(F.filter(shares, lambda x: x["share"] >= SCRIPT_SHARE), lambda x: F.when(F.size(x) > 0, answer(x[0])))
+    found = let(F.filter(shares, lambda x: x["share"] >= SCRIPT_SHARE), lambda x: F.when(F.size(x) > 0, answer(x[0])))
+    return F.when(F.regexp_like(sample, F.lit(f"[{''.join(p[1:-1] for p in SCRIPTS.values())}]")), found)
 
 
 def rule(sample: Column) -> Column:
