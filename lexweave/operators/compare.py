@@ -58,8 +58,7 @@ def flagged(pairs: DataFrame, threshold: float = SIMILARITY_THRESHOLD, glossary:
     tokens = lambda c: F.array_sort(F.array_union(protected_tokens(F.col(c)), g))
     empty = (F.col("translation_1") == "") | (F.col("translation_2") == "")
     same = F.col("translation_1") == F.col("translation_2")
-    # Equal pairs are never flagged, and empty ones always; only the others, which differ, are measured in Python.
-    settled = pairs.where(empty & ~same).withColumns({"similarity": F.lit(0.0), "protected_token_mismatch": F.lit(True)})
-    differs = tokens("translation_1") != tokens("translation_2")
-    measured = pairs.where(~empty & ~same).withColumns({"similarity": indel_ratio("translation_1", "translation_2"), "protected_token_mismatch": differs})
-    return settled.unionByName(measured.where((F.col("similarity") < threshold) | F.col("protected_token_mismatch")))
+    # Equal pairs are never flagged, and those with an empty side, whose similarity is 0, always; all others are measured in the same pass.
+    differs = empty | (tokens("translation_1") != tokens("translation_2"))
+    measured = pairs.where(~same).withColumns({"similarity": indel_ratio("translation_1", "translation_2"), "protected_token_mismatch": differs})
+    return measured.where((F.col("similarity") < threshold) | F.col("protected_token_mismatch"))

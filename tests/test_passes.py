@@ -1,6 +1,8 @@
 """How often plans read their input and what they move: each text is read once, no gram is exploded or shuffled."""
 
+import pytest
 from lexweave.operators import ngrams as N
+from lexweave.plans import catalog
 
 SF = "/root/testdata/sf0.001"
 
@@ -13,3 +15,8 @@ def test_grams_stay_in_their_task(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang", "text")
     made = plan(N.detect(docs, "text", N.profile(docs)))
     assert made.count("Relation [") == 1 and not any(x in made for x in ("Generate", "Join", "Aggregate"))
+
+
+@pytest.mark.parametrize("name", ["compare_passes"])
+def test_texts_are_read_once(spark, name):
+    assert plan(catalog.QUERIES[name](spark, SF)).count("Relation [") == 1
