@@ -2,6 +2,8 @@
 
 import pytest
 from lexweave.operators import ngrams as N
+from lexweave.operators.completion import mock
+from lexweave.operators.reconcile import discrepancies
 from lexweave.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -20,3 +22,7 @@ def test_grams_stay_in_their_task(spark):
 @pytest.mark.parametrize("name", ["compare_passes"])
 def test_texts_are_read_once(spark, name):
     assert plan(catalog.QUERIES[name](spark, SF)).count("Relation [") == 1
+
+
+def test_equivalent_and_other_sentences_are_one_pass(spark):
+    assert plan(discrepancies(catalog._two_passes(spark, SF), mock())).count("Relation [") == 1
