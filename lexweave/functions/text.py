@@ -30,7 +30,7 @@ def stripped(text: Column) -> Column:
 
 def normalize(text: Column) -> Column:
     """Line ends to LF, white space at both ends gone, a final LF."""
-    return F.concat(stripped(F.regexp_replace(text, "\r\n?", "\n")), F.lit("\n"))
+    return F.concat(stripped(F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))), F.lit("\n"))
 
 
 def source_hash(text: Column) -> Column:
@@ -42,11 +42,16 @@ def sentences(text: Column) -> Column:
 
 
 def legal_hits(text: Column) -> Column:
-    """How many of the legal patterns occur."""
-    total = F.lit(0)
-    for p in LEGAL_PATTERNS:
-        total = total + F.regexp_like(text, F.lit(p)).cast("int")
-    return total
+    """How many of the legal patterns occur.  Lower-cased text that lacks a pattern's letters is not searched for it."""
+
+    def count(low: Column) -> Column:
+        total = F.lit(0)
+        for p in LEGAL_PATTERNS:
+            letters = p.removeprefix("(?i)").replace(r"\b", "")
+            total = total + (F.contains(low, F.lit(letters)) & F.regexp_like(text, F.lit(p))).cast("int")
+        return total
+
+    return let(F.lower(text), count)
 
 
 def legal_class(hits: Column) -> Column:

@@ -18,7 +18,7 @@ SUMMARY_PART = 250
 
 def paragraphs(text: Column) -> Column:
     """Blocks between blank lines; a heading line starts a block too."""
-    broken = F.regexp_replace(text, r"(?m)^(?=#{1,6}[^\S\n]+\S)", "\n\n")
+    broken = let(text, lambda t: F.when(F.contains(t, F.lit("#")), F.regexp_replace(t, r"(?m)^(?=#{1,6}[^\S\n]+\S)", "\n\n")).otherwise(t))
     return F.filter(F.transform(F.split(broken, r"\n[^\S\n]*(?:\n[^\S\n]*)+"), stripped), lambda p: p != "")
 
 

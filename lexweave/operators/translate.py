@@ -54,21 +54,23 @@ def memo_of(spark, keys: str = "doc_id long") -> DataFrame:
     return spark.createDataFrame([], f"{keys}, chunk_index int, pass_num int, llm string, source_hash string, text string")
 
 
-def pending(chunks: DataFrame, memo: DataFrame, keys: list[str]) -> DataFrame:
+def pending(chunks: DataFrame, memo: DataFrame | None, keys: list[str]) -> DataFrame:
     """Chunks (keys, chunk_index, MEMO) that the memo lacks: another text, model or pass is another chunk."""
-    return chunks.join(memo, [*keys, "chunk_index", *MEMO], "left_anti")
+    return chunks if memo is None else chunks.join(memo, [*keys, "chunk_index", *MEMO], "left_anti")
 
 
-def translate_chunks(chunks: DataFrame, complete: Completion, memo: DataFrame, keys: list[str], glossary: Column | None = None) -> DataFrame:
+def translate_chunks(chunks: DataFrame, complete: Completion, memo: DataFrame | None, keys: list[str], glossary: Column | None = None) -> DataFrame:
     """The memo's rows of all chunks: keys, chunk_index, MEMO, text.
 
     Chunks have keys, chunk_index, text, heading_context, MEMO, source_lang, target_lang, is_legal, summary and context.  The rows that are
-    new come from pending(); append them to the memo as they are, a rerun finds them there.
+    new come from pending(); append them to the memo as they are, a rerun finds them there.  Without a memo all are new, and chunks are made once.
     """
     wanted = [*keys, "chunk_index", *MEMO]
     context = context_block(F.col("context"), glossary, F.col("summary"), F.col("heading_context"))
     prompt = user_prompt(F.col("chunk_index"), F.col("text"), F.col("source_lang"), F.col("target_lang"), F.col("is_legal"), context)
     made = pending(chunks, memo, keys).withColumn("text", stripped(complete(system_prompt(F.col("target_lang"), glossary), prompt)))
+    if memo is None:
+        return made.select(*wanted, "text")
     # A memo may hold a row twice, as after a retried append.
     known = memo.groupBy(*wanted).agg(F.min("text").alias("text")).join(chunks.select(*wanted), wanted, "left_semi")
     return known.select(*wanted, "text").unionByName(made.select(*wanted, "text"))
@@ -142,5 +144,4 @@ def document_chunks(documents: DataFrame, key: str, llm: str, pass_num: int = 1,
 def translate_documents(documents: DataFrame, complete: Completion, key: str, llm: str, glossary: Column | None = None, memo: DataFrame | None = None) -> DataFrame:
     """key, text: every document's translated chunks, joined again."""
     chunks = document_chunks(documents, key, llm)
-    memo = memo_of(documents.sparkSession, f"{key} {documents.schema[key].dataType.simpleString()}") if memo is None else memo
     return reassemble(translate_chunks(chunks, complete, memo, [key], glossary), key)
