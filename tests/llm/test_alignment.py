@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers as P
 import sentencepiece
 from tokenizers import Tokenizer
@@ -75,3 +76,23 @@ def test_alignment_equals_a_plain_one_of_whole_texts(spark):
 
 def test_empty_table(spark):
     assert found(spark.createDataFrame([], "doc_id long, text string")) == []
+
+
+def test_units_of_equal_byte_lengths_are_aligned_once(spark):
+    words = ["".join(x) for x in zip("abcdefghij" * 60, "klmnopqrst" * 60, "".join(c * 10 for c in "uvwxyzabcdefghijklmnopqrstuvwxyzabcdefghijklmnopqrstuvwxyzab"))]
+    coded = alignment.coded(spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[::-1]))], "doc_id long, text string").coalesce(1))
+    units = sum(len(r["shapes"]) for r in coded.where("slice IS NOT NULL").collect())
+    shapes = coded.where("shape IS NOT NULL").select("a_bytes", "b_bytes").collect()
+    assert units == len(set(words)) and len(shapes) == len({(*r["a_bytes"], 0, *r["b_bytes"]) for r in shapes}) < 20
+
+
+def test_pairs_are_counted_once_a_document_however_documents_are_sliced(monkeypatch):
+    rng, k = random.Random(3), 7
+    units = [[rng.randrange(k) for _ in range(rng.randrange(1, 5))] for _ in range(12)]
+    docs = [[rng.randrange(12) for _ in range(rng.choice([0, 1, 3, 30]))] for _ in range(40)]
+    want = Counter(p for d in docs for p in {p for u in d for p in units[u]})
+    sizes = np.array(list(map(len, units)))
+    for most in (1, 10, 1000):
+        monkeypatch.setattr(alignment, "LINKS", most)
+        got = alignment._documents_with(np.concatenate(units), np.cumsum(sizes) - sizes, sizes, np.concatenate(docs).astype(int), np.cumsum([0, *map(len, docs)]), k)
+        assert got.tolist() == [want[p] for p in range(k)]
