@@ -1,11 +1,11 @@
 """How the sources of a language differ in their words: an audit by counts and joins alone.
 
-Terms are what lies between runs of other ASCII characters in lower-cased text.  They are exploded and counted by (lang, source, term), and
-each document's distinct terms by (lang, term), both combined before they are shuffled.  A language keeps the terms of at
-least ``least`` of its documents.  Its groups (a language and a source) are crossed with the kept terms, so that absent terms are zeros: the
+Terms are what lies between runs of other ASCII characters in lower-cased text.  A document's terms and, after them, its distinct ones are
+exploded together and counted by (lang, source, term) in one pass, combined before they are shuffled.  A language keeps the terms of at
+least ``least`` of its documents, which a window over (lang, term) finds; only their counts are written.  Its groups (a language and a source) are crossed with the kept terms, so that absent terms are zeros: the
 kept terms are dealt over SALTS and the groups, a small table, repeated for each salt, so no language is one task's.  The dense
 table joins itself on language and term, one order of each pair of sources (the value is the same for both); values are added up
-per pair before a shuffle, and windows rank them.  Probabilities and values are whole numbers, computed in decimals where a product could
+per pair before a shuffle, and windows rank them.  Probabilities and values are whole numbers, computed in decimals where a product would
 pass 64 bits.
 
 Defined results: null text, language and source are empty ones, which are a text, a language and a source like others; every row is
@@ -24,6 +24,8 @@ from lexweave.llm.common import materialize, text_of
 APART = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SCALE = 1_000_000_000
+#: Counts up to this times SCALE are below 2^63.
+MOST = 9_000_000_000
 LEAST = 10
 TOP = 10
 SALTS = 32
@@ -31,8 +33,9 @@ SALTS = 32
 
 def probability(count: Column, total: Column, kept: Column) -> Column:
     """1 + floor(SCALE * (count + 2) / (total + 2 * kept)), exact for counts of any table."""
-    wide = lambda c: c.cast("decimal(19,0)")
-    return F.call_function("div", wide(count + 2) * F.lit(SCALE).cast("decimal(10,0)"), wide(total + 2 * kept)).cast("long") + 1
+    count, total = (count + 2).cast("long"), (total + 2 * kept).cast("long")
+    wide = F.call_function("div", count.cast("decimal(19,0)") * F.lit(SCALE).cast("decimal(10,0)"), total.cast("decimal(19,0)")).cast("long")
+    return F.when(count <= MOST, F.call_function("div", count * F.lit(SCALE).cast("long"), total)).otherwise(wide) + 1
 
 
 def value(p: Column, q: Column) -> Column:
@@ -41,23 +44,24 @@ def value(p: Column, q: Column) -> Column:
 
 
 def term_counts(documents: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
-    """Of all (lang, source, term) n; of each kept (lang, term) lang_n."""
+    """Of kept terms: lang, source, term, n, lang_n (of the term in the whole language) where n > 0; and lang, term, lang_n."""
     text, lang = text_of(), text_of("lang").alias("lang")
     # Where all characters are ASCII, lower() does what the contract asks and is cheaper.
     low = F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
-    terms = F.split(low, APART)
-    rows = documents.select(lang, text_of("source").alias("source"), F.explode(terms).alias("term")).where("term <> ''")
-    counts = materialize(rows.groupBy("lang", "source", "term").agg(F.count("*").alias("n")), "term-counts")
-    once = documents.select(lang, F.explode(F.array_distinct(terms)).alias("term")).where("term <> ''")
-    df = once.groupBy("lang", "term").agg(F.count("*").alias("df")).where(F.col("df") >= least)
-    kept = counts.groupBy("lang", "term").agg(F.sum("n").alias("lang_n")).join(df.drop("df"), ["lang", "term"])
-    return counts, materialize(kept, "kept-terms")
+    texts = documents.select(lang, text_of("source").alias("source"), F.split(low, APART).alias("terms"))
+    # From position k on each term of the document comes once.
+    rows = texts.select("lang", "source", F.size("terms").alias("k"), F.posexplode(F.concat("terms", F.array_distinct("terms"))).alias("pos", "term")).where("term <> ''")
+    counts = rows.groupBy("lang", "source", "term").agg(F.count_if(F.expr("pos < k")).alias("n"), F.count_if(F.expr("pos >= k")).alias("df"))
+    of_lang = Window.partitionBy("lang", "term")
+    counts = counts.select("lang", "source", "term", "n", F.sum("n").over(of_lang).alias("lang_n"), F.sum("df").over(of_lang).alias("df"))
+    found = materialize(counts.where(F.col("df") >= least).drop("df"), "term-counts")
+    return found, materialize(found.groupBy("lang", "term").agg(F.max("lang_n").alias("lang_n")), "kept-terms")
 
 
 def audit(documents: DataFrame, least: int = LEAST, top: int = TOP) -> DataFrame:
     """lang, source, part ('pair' or 'term'), item, value, rank."""
-    counts, kept = term_counts(documents, least)
-    found = counts.join(kept, ["lang", "term"]).select("lang", "source", "term", "n")
+    found, kept = term_counts(documents, least)
+    found = found.drop("lang_n")
     langs = kept.groupBy("lang").agg(F.count("*").alias("v"), F.sum("lang_n").alias("lang_total"))
     groups = documents.select(text_of("lang").alias("lang"), text_of("source").alias("source")).distinct()
     totals = found.groupBy("lang", "source").agg(F.sum("n").alias("total"))

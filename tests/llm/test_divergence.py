@@ -59,5 +59,18 @@ def test_counts_beyond_64_bits(spark):
     assert row["p"] == 1 + 10**9 * 10**13 // (3 * 10**13 + 2 * 10**6)
 
 
+def test_counts_around_the_last_that_stays_in_64_bits(spark):
+    counts = [divergence.MOST + i for i in range(-4, 5)]
+    rows = spark.createDataFrame([(c,) for c in counts], "c long").select("c", divergence.probability(divergence.F.col("c"), divergence.F.lit(10**10), divergence.F.lit(3)).alias("p")).collect()
+    assert {r["c"]: r["p"] for r in rows} == {c: 1 + 10**9 * (c + 2) // (10**10 + 6) for c in counts}
+
+
+def test_only_kept_terms_go_on_with_their_counts_in_source_and_language(spark):
+    docs = spark.createDataFrame([(1, "a A b", "en", "s"), (2, "a c c", "en", "s"), (3, "b, a", "en", None), (4, "c", "de", "s"), (5, None, "en", "s")], "doc_id long, text string, lang string, source string")
+    found, kept = divergence.term_counts(docs, 2)
+    assert sorted(tuple(r) for r in found.select("lang", "source", "term", "n", "lang_n").collect()) == [("en", "", "a", 1, 4), ("en", "", "b", 1, 2), ("en", "s", "a", 3, 4), ("en", "s", "b", 1, 2)]
+    assert sorted(tuple(r) for r in kept.collect()) == [("en", "a", 4), ("en", "b", 2)]
+
+
 def test_empty_table(spark):
     assert divergence.audit(spark.createDataFrame([], SCHEMA)).collect() == []
