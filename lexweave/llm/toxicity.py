@@ -162,17 +162,15 @@ def score(documents: DataFrame, labels: DataFrame, keep: list[str] = ()) -> Data
     """doc_id, held_out, score, predicted of every document, with the columns in ``keep``."""
     model = fit(documents, labels)
     index = Index(model.words)
-    rows = documents.select(F.col("doc_id").cast("long"), F.coalesce(held_out(), F.lit(False)).alias("held_out"), text_of().alias("__text"), F.struct(F.lit(0), *keep).alias("__kept"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            s = np.array([model.score(x, index) for x in b.column("__text").to_pylist()], dtype=np.float64)
-            predicted = pa.array((s >= THRESHOLD).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(s), predicted, b.column("__kept")], names=["doc_id", "held_out", "score", "predicted", "__kept"])
+    @F.arrow_udf("double")
+    def scored(texts: pa.Array) -> pa.Array:
+        return pa.array([model.score(x.as_py(), index) for x in texts], pa.float64())  # one text at a time as a Python string
 
-    schema = rows.drop("__text").select("doc_id", F.coalesce("held_out", F.lit(False)).alias("held_out"), F.lit(0.0).alias("score"), F.lit(0).alias("predicted"), "__kept").schema
-    out = rows.mapInArrow(run, schema)
-    return out.select("doc_id", "held_out", "score", "predicted", *[F.col(f"__kept.`{c}`").alias(c) for c in keep])
+    # Texts alone go to Python and scores alone come back: the kept columns, which may hold the text again, stay with Spark.
+    rows = documents.select(F.col("doc_id").cast("long"), F.coalesce(held_out(), F.lit(False)).alias("held_out"), scored(text_of()).alias("score"), F.struct(F.lit(0), *keep).alias("__kept"))
+    predicted = F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted")
+    return rows.select("doc_id", "held_out", "score", predicted, *[F.col(f"__kept.`{c}`").alias(c) for c in keep])
 
 
 def without_toxic(documents: DataFrame, labels: DataFrame) -> DataFrame:

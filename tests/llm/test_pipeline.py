@@ -129,3 +129,24 @@ def test_near_duplicates_are_those_of_simhash_too(spark):
     groups = {r["doc_id"]: r["component_id"] for r in simhash.near_groups(docs).collect()}
     assert groups == {7: 3, 3: 3, 9: 9, None: 3}
     assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()) == [3, 9]
+
+
+def test_stages_send_batches_of_bounded_bytes(spark, folder):
+    """Large texts go to Python a few at a time; a size that the session's owner has set stays."""
+    own, at = spark.newSession(), folder[0]
+    key, texts = "spark.sql.execution.arrow.maxBytesPerBatch", "SELECT repeat('x', 1 << 20) AS text FROM range(0, 24, 1, 1)"
+    sizes = lambda: [r["n"] for r in own.sql(texts).mapInArrow(rows_of_batches, "n long").collect()]
+    assert max(sizes()) > 8
+    corpus_pipeline.STAGES[0][1](own, own.read.parquet(f"{at}/documents.parquet"), at)
+    assert sum(sizes()) == 24 and max(sizes()) <= 8
+    other = spark.newSession()
+    other.conf.set(key, "1m")
+    corpus_pipeline.STAGES[0][1](other, other.read.parquet(f"{at}/documents.parquet"), at)
+    assert other.conf.get(key) == "1m"
+
+
+def rows_of_batches(batches):
+    import pyarrow as pa
+
+    for b in batches:
+        yield pa.RecordBatch.from_pydict({"n": [b.num_rows]})

@@ -91,3 +91,13 @@ def test_repeated_ids_are_sampled_once(spark):
     rows = sample.collect()
     assert sum(r["kind"] == "u" for r in rows) == 10 and 0 < prior < 1
     assert 0 < sum(r["kind"] != "u" for r in rows) <= 10
+
+
+def test_texts_go_to_python_once_and_rows_do_not(spark):
+    """Scoring sends a text and gets a number back; the kept row, which holds the text again, stays with Spark."""
+    docs = spark.range(40).selectExpr("id AS doc_id", "concat('fine text ', id, IF(id % 4 = 0, ' vile', '')) AS text", "repeat('x', 100) AS source")
+    marks = spark.range(40).selectExpr("id AS doc_id", "CAST(id % 4 = 0 AS int) AS toxic")
+    kept = toxicity.without_toxic(docs, marks)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and plan.count("ArrowEvalPython [") == 1
+    assert 0 < kept.count() < 40
