@@ -1,9 +1,9 @@
 """Job folders as a transactional sink: files of jobs appear together or not at all.
 
 ``df.write.format("job_folders").mode("append").option("path", uri).option("run", name).save()`` takes rows (job_id, name, content as text or bytes).  Each
-attempt of a task writes under ``data/<run>/<attempt>/<job_id>/<name>`` and tells the driver only its attempt and counts.  The commit writes
+attempt of a task writes under ``data/<run>/<write>/<attempt>/<job_id>/<name>`` and tells the driver only its attempt and counts.  The commit writes
 ``manifests/<run>.json``, which names the attempts that count: this one file is the transaction, nothing is renamed, and what other attempts left is
-removed.  An abort removes the run's data.  A run of the same name replaces the earlier one, so a rerun equals one run.  Without
+removed.  An abort removes the write's data, and its folder: where folders are real, tasks that still run cannot write any more.  A run of the same name replaces the earlier one, so a rerun equals one run.  Without
 ``run`` each write has a name of its own.  ``spark.read.format("job_folders")`` reads what the manifests name, with an attempt a partition.
 
 Rows whose job id or file name is not plain (``JOB_ID``, ``NAME``) fail the write.  A file that one attempt writes twice keeps its last content.
@@ -54,19 +54,23 @@ class FolderWriter(DataSourceWriter):
     def __init__(self, uri: str, run: str):
         if not JOB_ID.fullmatch(run):
             raise ValueError(f"no run's name: {run!r}")
-        self.uri, self.run = uri, run
+        self.uri, self.run, self.made = uri, run, f"write-{uuid.uuid4().hex[:12]}"
+        store, root = _open(uri)
+        store.create_dir(f"{root}/data/{run}/{self.made}")
 
     def write(self, iterator: Iterator) -> Written:
         store, root = _open(self.uri)
         task = TaskContext.get()
-        attempt, files, size, made = f"{task.partitionId():05d}-{task.taskAttemptId()}-{uuid.uuid4().hex[:8]}", 0, 0, set()
+        attempt, files, size, made = f"{self.made}/{task.partitionId():05d}-{task.taskAttemptId()}-{uuid.uuid4().hex[:8]}", 0, 0, set()
         for row in iterator:
             job, name, content = row["job_id"], row["name"], row["content"]
             if not JOB_ID.fullmatch(job or "") or not NAME.fullmatch(name or ""):
                 raise ValueError(f"no plain job and file name: {job!r}, {name!r}")
             folder = f"{root}/data/{self.run}/{attempt}/{job}"
             if job not in made:
-                store.create_dir(folder)
+                if not made:  # fails where an abort has removed the write's folder: a killed task runs on for a while
+                    store.create_dir(f"{root}/data/{self.run}/{attempt}", recursive=False)
+                store.create_dir(folder, recursive=False)
                 made.add(job)
             data = content.encode("utf-8") if isinstance(content, str) else bytes(content or b"")
             with store.open_output_stream(f"{folder}/{name}") as f:
@@ -81,14 +85,18 @@ class FolderWriter(DataSourceWriter):
         manifest = {"run": self.run, "attempts": sorted(m.attempt for m in good), "files": sum(m.files for m in good), "bytes": sum(m.size for m in good)}
         with store.open_output_stream(f"{root}/manifests/{self.run}.json") as f:
             f.write(json.dumps(manifest).encode())
+        counted = set(manifest["attempts"])
         for left in _listed(store, f"{root}/data/{self.run}"):
-            if left.base_name not in manifest["attempts"]:
+            if left.base_name != self.made or not counted:
+                _remove(store, left.path)
+        for left in _listed(store, f"{root}/data/{self.run}/{self.made}"):
+            if f"{self.made}/{left.base_name}" not in counted:
                 _remove(store, left.path)
 
     def abort(self, messages: list[Written | None]) -> None:
         """Only what this write made goes: attempts that a manifest of an earlier run of this name counts stay."""
         store, root = _open(self.uri)
-        kept = set(manifest_of(self.uri, self.run).get("attempts", []))
+        kept = {a.partition("/")[0] for a in manifest_of(self.uri, self.run).get("attempts", [])}
         for left in _listed(store, f"{root}/data/{self.run}"):
             if left.base_name not in kept:
                 _remove(store, left.path)

@@ -72,3 +72,29 @@ def test_files_of_jobs(spark, at):
     assert {n for j, n in got if j == "7"} == {"status.json"} and json.loads(got["7", "status.json"]) == {"doc_id": "7", "status": "failed"}
     odd = next(j for j, n in got if n == "translated.md")
     assert odd.startswith("dir___txt-") and S.JOB_ID.fullmatch(odd) and got[odd, "translated.md"] == "# x\n" and len(got) == 3
+
+
+def test_a_task_that_outlives_the_abort_leaves_nothing(tmp_path, monkeypatch):
+    """Spark aborts a write while killed tasks still run; what these go on to write must not appear."""
+
+    class Task:
+        partitionId, taskAttemptId = staticmethod(lambda: 0), staticmethod(lambda: 7)
+
+    monkeypatch.setattr(S, "TaskContext", type("Context", (), {"get": staticmethod(Task)}))
+    at = f"file://{tmp_path}/jobs"
+    row = lambda i: {"job_id": f"j{i}", "name": "a.md", "content": f"t{i}"}
+    first = S.FolderWriter(at, "one")
+    first.commit([first.write(iter([row(0)])), None])
+    before = all_files(at)
+    late = S.FolderWriter(at, "one")
+
+    def rows():
+        yield row(1)
+        late.abort([])
+        yield row(2)
+
+    for task in (rows(), iter([row(3)])):  # one that had begun, one that begins afterwards
+        with pytest.raises(OSError):
+            late.write(task)
+        assert all_files(at) == before
+    assert S.manifest_of(at, "one")["files"] == 1
